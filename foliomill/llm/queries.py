@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op8_packing
 from .pii import op10_pii
 from .rules import op6_quality_rules
 from .sharding import op2_sharding
 from .token_counts import OP7_SQL, op7_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_packing": op8_packing,
     "op10_pii": op10_pii,
 }
 
