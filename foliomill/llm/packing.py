@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, table
+from .wordcodes import slices, word_codes
 
 MARK = "\x01"
 QUEUE_BUCKETS = 256
@@ -94,15 +95,8 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of texts, and how many each has."""
-    words = pc.ascii_split_whitespace(texts)
-    coded = words.flatten().filter(pc.not_equal(words.flatten(), "")).dictionary_encode()
-    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    blank = pc.equal(words.flatten(), "").to_numpy(zero_copy_only=False)
-    if blank.any():
-        of = np.repeat(np.arange(len(texts)), counts)
-        counts = counts - np.bincount(of[blank], minlength=len(texts))
-    flat, starts, lens = encoder.encode(coded.dictionary.to_pylist())
-    index = coded.indices.to_numpy()
+    index, words, counts = word_codes(texts)
+    flat, starts, lens = encoder.encode(words.to_pylist())
     ids = flat[ranges(starts[index], lens[index])]
     ends = np.concatenate([[0], np.cumsum(lens[index])])
     stops = np.concatenate([[0], np.cumsum(counts)])
@@ -122,31 +116,28 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, segment: int, spaced:
         wide = encoder.tokenizer.get_vocab_size() > 65536 or end_id >= 65536
         kind = np.uint32 if wide else np.uint16
         uid = TaskContext.get().partitionId() << 36
-        for whole in batches:
-            step = max(1, int(whole.num_rows * batch_bytes / max(1, whole.nbytes)))
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                texts = pc.fill_null(batch.column("text"), "")
-                if spaced:
-                    ids, counts = encode_texts(texts, encoder)
-                else:
-                    each = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-                    ids, counts = np.fromiter((i for x in each for i in x), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
-                ids = np.insert(ids.astype(kind), np.cumsum(counts), end_id)
-                counts = counts + 1
-                pieces = -(-counts // segment)
-                row = np.repeat(np.arange(batch.num_rows), pieces)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = number * segment
-                length = np.minimum(segment, counts[row] - start)
-                offsets = np.concatenate([[0], np.cumsum(length)]) * ids.itemsize
-                packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + row), batch.column("doc_id").take(take), batch.column("source").take(take), pa.array(start), pa.array(length.astype(np.int32)), pa.array(counts[row]), packed],
-                    names=["uid", "doc_id", "source", "start", "length", "doc_tokens", "ids"],
-                )
-                uid += batch.num_rows
+        for batch in slices(batches, batch_bytes):
+            texts = pc.fill_null(batch.column("text"), "")
+            if spaced:
+                ids, counts = encode_texts(texts, encoder)
+            else:
+                each = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+                ids, counts = np.fromiter((i for x in each for i in x), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+            ids = np.insert(ids.astype(kind), np.cumsum(counts), end_id)
+            counts = counts + 1
+            pieces = -(-counts // segment)
+            row = np.repeat(np.arange(batch.num_rows), pieces)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = number * segment
+            length = np.minimum(segment, counts[row] - start)
+            offsets = np.concatenate([[0], np.cumsum(length)]) * ids.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uid + row), batch.column("doc_id").take(take), batch.column("source").take(take), pa.array(start), pa.array(length.astype(np.int32)), pa.array(counts[row]), packed],
+                names=["uid", "doc_id", "source", "start", "length", "doc_tokens", "ids"],
+            )
+            uid += batch.num_rows
 
     return docs.select("doc_id", "text", F.coalesce(F.col("source"), F.lit(NO_SOURCE)).alias("source")).mapInArrow(run, schema)
 
