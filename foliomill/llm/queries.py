@@ -11,11 +11,13 @@ from .line_dedup import op3_line_dedup
 from .packing import op8_packing
 from .pii import op10_pii
 from .rules import op6_quality_rules
+from .scoring import op1_lm_scoring
 from .sharding import op2_sharding
 from .token_counts import OP7_SQL, op7_token_counts
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
