@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
 from .line_dedup import op3_line_dedup
+from .near_dup import op9_ngram_jaccard
 from .packing import op8_packing
 from .pii import op10_pii
 from .rules import op6_quality_rules
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_pii": op10_pii,
 }
 
