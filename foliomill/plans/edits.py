@@ -1 +1,166 @@
-"""Queries."""
+"""Queries that replay the edit log of all documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import edits as op
+from ..sources import derive
+from . import model_sql as m
+from .layout import pages_of
+from .registry import query
+from .spans import spans_of
+
+BASE = f"{m.SPANS}, {m.EDITS}, pg AS (SELECT DISTINCT doc_id, page FROM lines)"
+LATEST = "latest AS (SELECT doc_id, span_ordinal, max_by(position, position) AS position, arg_max(kind, position) AS kind, arg_max_null(text, position) AS text, arg_max_null(start, position) AS start, arg_max_null(stop, position) AS stop, min(position) AS first_position FROM edits WHERE span_ordinal IS NOT NULL GROUP BY ALL)"
+ASCII = "regexp_full_match(s.text, '[\\x00-\\x7F]*')"
+
+
+def edits_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.edits(derive.table(spark, sf_dir, "events"), derive.table(spark, sf_dir, "documents").count())
+
+
+def longs(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int"})
+
+
+@query(
+    "latest_edits",
+    f"WITH {m.EDITS}, {LATEST} SELECT doc_id, span_ordinal::BIGINT AS span_ordinal, position::BIGINT AS position, kind, text, start::BIGINT AS start, stop::BIGINT AS stop, first_position::BIGINT AS first_position FROM latest",
+)
+def latest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(op.latest_edits(edits_of(spark, sf_dir)))
+
+
+@query(
+    "edit_references",
+    f"""WITH {BASE}, o AS (SELECT e.doc_id, e.position, e.kind, CASE WHEN e.kind = 'redact' AND s.doc_id IS NULL THEN 'error' WHEN e.kind = 'replace' AND s.doc_id IS NULL THEN 'no_span'
+WHEN e.kind IN ('insert', 'rotate', 'delete_page') AND g.doc_id IS NULL THEN 'no_page' ELSE 'ok' END AS outcome FROM edits e LEFT JOIN spans s ON e.doc_id = s.doc_id AND e.span_ordinal = s.ordinal
+LEFT JOIN pg g ON e.doc_id = g.doc_id AND e.page = g.page)
+SELECT doc_id, position::BIGINT AS position, kind, outcome, bool_or(outcome = 'error') OVER (PARTITION BY doc_id) AS request_fails FROM o""",
+)
+def edit_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op.classify_references(edits_of(spark, sf_dir), spans_of(spark, sf_dir), pages_of(spark, sf_dir))
+    return longs(found.select("doc_id", "position", "kind", "outcome", "request_fails"))
+
+
+@query(
+    "redaction_conflicts",
+    f"""WITH {m.EDITS}, b AS (SELECT *, max((kind = 'redact')::INT) OVER (PARTITION BY doc_id, span_ordinal ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM edits WHERE kind IN ('replace', 'redact'))
+SELECT doc_id, span_ordinal::BIGINT AS span_ordinal, position::BIGINT AS position FROM b WHERE kind = 'replace' AND before = 1""",
+)
+def redaction_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(op.redaction_conflicts(edits_of(spark, sf_dir)).select("doc_id", "span_ordinal", "position"))
+
+
+def redactions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = spans_of(spark, sf_dir).select("doc_id", F.col("ordinal").alias("span_ordinal"), F.col("text").alias("span_text"))
+    return edits_of(spark, sf_dir).where("kind = 'redact'").join(spans, ["doc_id", "span_ordinal"]).drop("text").withColumnRenamed("span_text", "text")
+
+
+WIDEN = f"""r0 AS (SELECT e.doc_id, e.span_ordinal, e.position, s.text, e.start, e.stop, substr(s.text, e.start + 1, 5) AS inside FROM edits e JOIN spans s ON e.doc_id = s.doc_id AND e.span_ordinal = s.ordinal WHERE e.kind = 'redact'),
+r1 AS (SELECT *, length(inside) - length(regexp_replace(inside, '^\\s+', '')) AS lead, regexp_replace(regexp_replace(inside, '^\\s+', ''), '\\s+$', '') AS trimmed FROM r0),
+r2 AS (SELECT *, start + lead AS s, start + lead + length(trimmed) AS e, stop <= length(text) AND length(trimmed) > 0 AS ok FROM r1),
+r3 AS (SELECT doc_id, span_ordinal, position, ok, s - length(regexp_extract(substr(text, 1, s::BIGINT), '([\\p{{L}}\\p{{N}}\\p{{M}}]*)$', 1)) AS start, e + length(regexp_extract(substr(text, (e + 1)::BIGINT), '^([\\p{{L}}\\p{{N}}\\p{{M}}]*)', 1)) AS stop FROM r2)"""
+
+
+@query(
+    "merged_ranges",
+    f"""WITH {BASE}, {WIDEN}, w AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, span_ordinal ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r3 WHERE ok),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, span_ordinal ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM w)
+SELECT doc_id, span_ordinal::BIGINT AS span_ordinal, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM g GROUP BY doc_id, span_ordinal, run""",
+)
+def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(op.merge_ranges(redactions_of(spark, sf_dir)))
+
+
+@query("bad_ranges", f"WITH {BASE}, {WIDEN} SELECT doc_id, span_ordinal::BIGINT AS span_ordinal, position::BIGINT AS position FROM r3 WHERE NOT ok")
+def bad_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(op.bad_ranges(redactions_of(spark, sf_dir)).select("doc_id", "span_ordinal", "position"))
+
+
+@query("page_ops")
+def page_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edits_of(spark, sf_dir).withColumn("before", F.lit(None).cast("int"))
+    docs = pages_of(spark, sf_dir).groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"))
+    return op.fold_page_ops(e, docs)
+
+
+DELETED = "gone AS (SELECT DISTINCT doc_id, page FROM edits WHERE kind = 'delete_page' AND page > 0)"
+
+
+def order_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deleted = edits_of(spark, sf_dir).where("kind = 'delete_page' and page > 0")
+    return op.page_order(pages_of(spark, sf_dir), deleted)
+
+
+ORDER = f"""{DELETED}, ord AS (SELECT p.doc_id, p.page, CASE WHEN g.doc_id IS NULL THEN sum(CASE WHEN g.doc_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.page) - 1 END AS place FROM pg p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.page = g.page)"""
+
+
+@query("page_order", f"WITH {BASE}, {ORDER} SELECT doc_id, page::BIGINT AS page, place::BIGINT AS place FROM ord")
+def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(order_of(spark, sf_dir))
+
+
+@query("history_replay")
+def history_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as one log: purchases and clicks add, views undo, signups redo, errors remove."""
+    e = derive.key_of(derive.table(spark, sf_dir, "events"))
+    action = F.when(F.col("event_type").isin("purchase", "click"), "add").when(F.col("event_type") == "view", "undo").when(F.col("event_type") == "signup", "redo").otherwise("remove")
+    log = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"), F.when(action == "remove", F.array(F.col("event_id") - F.col("k"))).otherwise(F.array("event_id")).alias("entries"), F.col("k").cast("string").alias("value"))
+    return op.replay_history(log)
+
+
+CHAINS = """ins AS (SELECT user_id AS doc_id, event_id AS entry, CASE WHEN k % 3 <> 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS replaces, CASE WHEN k % 7 = 0 THEN '' ELSE 'new ' || k END AS text FROM ev WHERE event_type = 'signup')"""
+
+
+@query(
+    "version_chains",
+    f"""WITH RECURSIVE {m.EVENTS}, {CHAINS}, c AS (SELECT doc_id, entry, entry AS root FROM ins WHERE replaces IS NULL UNION ALL SELECT i.doc_id, i.entry, c.root FROM ins i JOIN c ON i.doc_id = c.doc_id AND i.replaces = c.entry),
+l AS (SELECT c.doc_id, c.root, max(c.entry) AS entry, arg_max(i.text, c.entry) AS text FROM c JOIN ins i ON i.doc_id = c.doc_id AND i.entry = c.entry GROUP BY ALL)
+SELECT * FROM l WHERE text <> ''""",
+)
+def version_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    e = derive.key_of(derive.table(spark, sf_dir, "events")).where("event_type = 'signup'")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    ins = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("entry"), F.when(F.col("k") % 3 != 0, before).alias("replaces"), F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit("new "), F.col("k").cast("string"))).alias("text"))
+    return op.latest_versions(ins)
+
+
+@query(
+    "effective_edits",
+    f"WITH {BASE}, {LATEST} SELECT l.doc_id, l.span_ordinal::BIGINT AS span_ordinal, l.kind FROM latest l JOIN spans s ON l.doc_id = s.doc_id AND l.span_ordinal = s.ordinal WHERE NOT (l.kind = 'replace' AND l.text IS NOT DISTINCT FROM s.text)",
+)
+def effective_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.effective_edits(op.latest_edits(edits_of(spark, sf_dir)), spans_of(spark, sf_dir)).select("doc_id", "span_ordinal", "kind")
+
+
+@query(
+    "reading_diff",
+    f"""WITH {m.EDITS}, {LATEST}, was AS (SELECT doc_id, span_ordinal, arg_max(kind, position) AS kind, arg_max_null(text, position) AS text, arg_max_null(start, position) AS start, arg_max_null(stop, position) AS stop FROM edits WHERE span_ordinal IS NOT NULL AND position <= 5 GROUP BY ALL)
+SELECT coalesce(l.doc_id, w.doc_id) AS doc_id, coalesce(l.span_ordinal, w.span_ordinal)::BIGINT AS span_ordinal, CASE WHEN w.doc_id IS NULL THEN 'new' WHEN l.doc_id IS NULL THEN 'gone' ELSE 'changed' END AS change
+FROM latest l FULL JOIN was w ON l.doc_id = w.doc_id AND l.span_ordinal = w.span_ordinal WHERE (l.kind, l.text, l.start, l.stop) IS DISTINCT FROM (w.kind, w.text, w.start, w.stop)""",
+)
+def reading_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edits_of(spark, sf_dir)
+    return op.diff_readings(op.latest_edits(e), op.latest_edits(e.where("position <= 5")))
+
+
+@query("word_churn")
+def word_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = spans_of(spark, sf_dir).select("doc_id", F.col("ordinal").alias("span_ordinal"), F.col("text").alias("before"))
+    after = edits_of(spark, sf_dir).where("kind = 'replace'").withColumnRenamed("text", "after")
+    return op.word_churn(after.join(spans, ["doc_id", "span_ordinal"]))
+
+
+@query(
+    "split_documents",
+    f"""WITH {BASE}, {ORDER}, p AS (SELECT *, CASE WHEN place < 1 THEN 1 ELSE 2 END AS part FROM ord WHERE place IS NOT NULL)
+SELECT doc_id, part::BIGINT AS part, count(*)::BIGINT AS pages, arg_min(page, place)::BIGINT AS first_page, arg_max(page, place)::BIGINT AS last_page FROM p GROUP BY ALL""",
+)
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = order_of(spark, sf_dir)
+    return longs(op.split_documents(order, order.select("doc_id").distinct().withColumn("cut", F.lit(1))))
