@@ -1 +1,100 @@
-"""Queries."""
+"""Queries that find text and typed values in all documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import text as op
+from ..sources import derive
+from . import model_sql as m
+from .registry import query
+from .spans import spans_of
+
+ASKED = [op.Query("the"), op.Query("THE ", match_case=True), op.Query("en", whole_words=True)]
+FOUND = f"""{m.SPANS}, q(query, find) AS (VALUES (0, 'the'), (1, 'THE ')),
+f0 AS (SELECT s.*, q.query, q.find, CASE WHEN q.query = 0 THEN lower(s.text) ELSE s.text END AS seen FROM spans s, q),
+found AS (SELECT doc_id, page, ordinal, text, query, find, (length(seen) - length(replace(seen, find, ''))) // length(find) AS n, strpos(seen, find) - 1 AS first FROM f0 WHERE contains(seen, find))"""
+
+
+def found_of(spark: SparkSession, sf_dir: str, queries: list[op.Query]) -> DataFrame:
+    return op.find(spans_of(spark, sf_dir).select("doc_id", "page", "ordinal", "text"), queries)
+
+
+@query("find_matches", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, ordinal::BIGINT AS ordinal, n::BIGINT AS n, first::BIGINT AS first FROM found")
+def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found_of(spark, sf_dir, ASKED[:2])
+    return f.select(F.col("query").cast("long").alias("query"), "doc_id", "ordinal", F.size("matches").cast("long").alias("n"), F.col("matches")[0]["start"].cast("long").alias("first"))
+
+
+@query("replaced_texts", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, ordinal::BIGINT AS ordinal, replace(text, 'THE ', 'A ') AS changed FROM found WHERE query = 1")
+def replaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = op.replace_all(found_of(spark, sf_dir, ASKED[:2]), ["a", "A "]).where("query = 1")
+    return f.select(F.col("query").cast("long").alias("query"), "doc_id", "ordinal", "changed")
+
+
+@query(
+    "find_counts",
+    f"WITH {FOUND} SELECT query::BIGINT AS query, count(*)::BIGINT AS places, sum(n)::BIGINT AS matches, count(*) FILTER (n = 1 AND length(find) = length(text))::BIGINT AS emptied FROM found WHERE ordinal % 10 <> 0 GROUP BY query",
+)
+def find_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skip = spans_of(spark, sf_dir).where("ordinal % 10 = 0").select("doc_id", "ordinal")
+    return op.find_counts(found_of(spark, sf_dir, ASKED[:2]), skip, ["doc_id", "ordinal"]).withColumn("query", F.col("query").cast("long"))
+
+
+@query("match_index", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, page::BIGINT AS page, count(*)::BIGINT AS spans, sum(n)::BIGINT AS positions FROM found GROUP BY ALL")
+def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = op.match_index(found_of(spark, sf_dir, ASKED[:2]))
+    total = F.aggregate(F.transform(F.map_values("index"), lambda s: F.size(s)), F.lit(0), lambda a, x: a + x)
+    return i.select(F.col("query").cast("long").alias("query"), "doc_id", F.col("page").cast("long").alias("page"), F.size("index").cast("long").alias("spans"), total.cast("long").alias("positions"))
+
+
+@query(
+    "match_places",
+    f"""WITH {FOUND} SELECT query::BIGINT AS query, doc_id, ordinal::BIGINT AS ordinal, row_number() OVER w AS number, coalesce(lead(ordinal) OVER w, first_value(ordinal) OVER w)::BIGINT AS next,
+coalesce(lag(ordinal) OVER w, last_value(ordinal) OVER (PARTITION BY query, doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))::BIGINT AS previous FROM found WINDOW w AS (PARTITION BY query, doc_id ORDER BY ordinal)""",
+)
+def match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = op.places(found_of(spark, sf_dir, ASKED[:2]))
+    return p.withColumns({c: F.col(c).cast("long") for c in ("query", "number", "next", "previous")})
+
+
+@query("numeric_dates")
+def numeric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.numeric_dates(derive.table(spark, sf_dir, "documents"), 2024)
+
+
+@query("amounts")
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.amounts(derive.table(spark, sf_dir, "documents"), {"USD": 2, "EUR": 2, "GBP": 2, "JPY": 0, "INR": 2, "KWD": 3})
+
+
+@query(
+    "email_contacts",
+    r"""WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))) AS address FROM documents)
+SELECT address, count(DISTINCT doc_id)::BIGINT AS documents, count(*)::BIGINT AS occurrences FROM e GROUP BY address""",
+)
+def email_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.emails(derive.table(spark, sf_dir, "documents"))
+
+
+def values_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each digit run of a span is a value of kind number, each word a value of kind word."""
+    s = spans_of(spark, sf_dir).select("doc_id", "ordinal", "text")
+    return s.select("doc_id", F.col("ordinal").cast("int").alias("start"), (F.col("ordinal") + F.length("text") % 4 + 1).cast("int").alias("stop"), F.when(F.col("text").rlike("[0-9]"), "number").otherwise("word").alias("kind"))
+
+
+@query("resolved_values")
+def resolved_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.resolve_values(values_of(spark, sf_dir))
+
+
+@query(
+    "value_profile",
+    """WITH v AS (SELECT source, lang AS kind, n_chars::DECIMAL(18,2) AS amount FROM documents)
+SELECT source, kind, count(*)::BIGINT AS values, sum(amount)::BIGINT AS total, min(amount)::BIGINT AS least, max(amount)::BIGINT AS most FROM v GROUP BY GROUPING SETS ((source, kind), (kind), ())""",
+)
+def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derive.table(spark, sf_dir, "documents")
+    p = op.value_profile(docs.select("source", F.col("lang").alias("kind"), F.col("n_chars").cast("decimal(18,2)").alias("amount")))
+    return p.withColumns({c: F.col(c).cast("long") for c in ("total", "least", "most")})
