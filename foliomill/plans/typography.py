@@ -1 +1,233 @@
-"""Queries."""
+"""Queries over letters, widths, fonts and fidelity of all spans.
+
+Fonts: F0 draws every letter of the corpus, F1 all but those whose code point is a multiple of 13;
+a letter is 400 + 50 (code point mod 7) thousandths wide.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import edits as edits_op
+from ..operators import fidelity as fid
+from ..operators import typography as op
+from ..sources import derive
+from . import model_sql as m
+from .edits import edits_of
+from .registry import query
+from .spans import spans_of
+
+LETTERS = """let0 AS (SELECT DISTINCT unnest(regexp_extract_all(replace(text, chr(10), ''), '.')) AS letter FROM documents), let AS (SELECT letter, unicode(letter) AS cp, 400.0::DOUBLE + unicode(letter) % 7 * 50 AS width FROM let0),
+fl AS (SELECT 'F0' AS font_key, letter, width, cp FROM let UNION ALL SELECT 'F1', letter, width, cp FROM let WHERE cp % 13 <> 0)"""
+CHARS = "ch AS (SELECT s.doc_id, s.ordinal, s.font, s.size, unnest(regexp_extract_all(s.text, '.')) AS letter, generate_subscripts(regexp_extract_all(s.text, '.'), 1) AS i FROM spans s)"
+WIDE = f"{m.SPANS}, {LETTERS}, {CHARS}, cw AS (SELECT ch.*, CASE WHEN f.width IS NOT NULL THEN f.width WHEN ch.letter = ' ' THEN 250.0 END AS w FROM ch LEFT JOIN fl f ON f.font_key = ch.font AND f.letter = ch.letter)"
+
+
+def code(c):
+    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+
+
+def widths_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derive.table(spark, sf_dir, "documents")
+    letters = docs.select(F.explode(F.array_distinct(F.split(F.regexp_replace("text", "\n", ""), ""))).alias("letter")).where("letter <> ''").distinct().withColumn("cp", code(F.col("letter")))
+    both = letters.select(F.explode(F.array(F.lit("F0"), F.lit("F1"))).alias("font_key"), "letter", (400.0 + F.col("cp") % 7 * 50).alias("width"), "cp")
+    return both.where("font_key = 'F0' or cp % 13 <> 0")
+
+
+def spaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of(spark, sf_dir).select("doc_id", "ordinal", "page", "text", "font", "size", "turned", F.lit(0.0).alias("spacing"))
+
+
+@query("line_widths", f"WITH {WIDE} SELECT doc_id, ordinal::BIGINT AS ordinal, round(sum(coalesce(w, 0.0) * size / 1000), 4) AS width, count(*) FILTER (w IS NULL)::BIGINT AS unknown FROM cw GROUP BY ALL")
+def line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.line_width(spaced_spans(spark, sf_dir), widths_of(spark, sf_dir), ["doc_id", "ordinal"]).withColumn("unknown", F.col("unknown").cast("long"))
+
+
+MISSING = "mis0 AS (SELECT doc_id, ordinal, letter, min(i) AS i FROM cw WHERE w IS NULL GROUP BY ALL), mis AS (SELECT doc_id, ordinal, string_agg(letter, '' ORDER BY i) AS missing FROM mis0 GROUP BY ALL)"
+
+
+@query("missing_letters", f"WITH {WIDE}, {MISSING} SELECT doc_id, ordinal::BIGINT AS ordinal, missing FROM mis")
+def missing_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op.missing_letters(spaced_spans(spark, sf_dir), widths_of(spark, sf_dir), ["doc_id", "ordinal"])
+    return found.select("doc_id", "ordinal", F.array_join("missing", "").alias("missing"))
+
+
+@query(
+    "usual_gap",
+    f"""WITH {m.PIECES}, {LETTERS}, c AS (SELECT doc_id, page, line_no, piece_no, font, size, x1 - x0 AS wide, unnest(regexp_extract_all(text, '.')) AS letter FROM pieces),
+s AS (SELECT c.doc_id, c.page, c.line_no, c.piece_no, c.font, c.size, c.wide, count(*) FILTER (c.letter = ' ') AS spaces, coalesce(sum(coalesce(f.width, 0.0)) FILTER (c.letter <> ' '), 0.0) AS l FROM c LEFT JOIN fl f ON f.font_key = c.font AND f.letter = c.letter GROUP BY ALL)
+SELECT doc_id, page::BIGINT AS page, font, round(median(round((wide - l * size / 1000) / spaces / size, 4)), 4) AS gap FROM s WHERE spaces > 0 GROUP BY ALL""",
+)
+def usual_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = derive.pieces(derive.table(spark, sf_dir, "documents"))
+    space = spark.createDataFrame([("F0", 0.25), ("F1", 0.25)], "font string, space double")
+    return op.usual_gap(pieces, widths_of(spark, sf_dir), space).withColumn("page", F.col("page").cast("long"))
+
+
+@query("letter_spacing")
+def letter_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings' letters, every fourth heading spaced by a tenth of an em."""
+    h = derive.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1), "")).alias("i", "letter")).where("letter <> ''")
+    step = F.when(F.col("doc_id") % 4 == 0, 6.0).otherwise(5.0)
+    g = h.select("doc_id", F.lit(0).alias("span"), F.col("i").alias("drawn_no"), "letter", (F.col("i") * step).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("listed"), F.lit(5.0).alias("drawn"), F.lit(10.0).alias("size"))
+    return op.letter_spacing(g)
+
+
+def copies_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derive.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.array(F.lit("F0"), F.lit("F1"))).alias("rank", "font_key")).withColumns({"name": F.lit("Body"), "kind": F.when((F.col("doc_id") % 5 == 0) & (F.col("rank") == 1), "type1").otherwise("truetype"), "upright": F.lit(True)})
+
+
+@query(
+    "vouched_copies",
+    """SELECT doc_id, own, CASE WHEN own = 'F0' THEN 'F1' ELSE 'F0' END AS other, CASE WHEN doc_id % 5 = 0 THEN 'copy_stored_apart' END AS refusal FROM documents, (VALUES ('F0'), ('F1')) o(own)""",
+)
+def vouched_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.vouch_copies(copies_of(spark, sf_dir), widths_of(spark, sf_dir)).select("doc_id", "own", "other", "refusal")
+
+
+@query("pooled_letters")
+def pooled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = op.pool_letters(copies_of(spark, sf_dir), widths_of(spark, sf_dir))
+    return pooled.groupBy("doc_id", "lender").agg(F.count("*").alias("letters"))
+
+
+def fonts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A font name for every document, out of its source and language."""
+    style = F.element_at(F.array(*[F.lit(s) for s in ("-BoldItalic", ",Light", "", "-SemiBold", "-Oblique")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    d = derive.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "ABCDEF+").otherwise(""), F.initcap("lang"), F.lit("Sans"), style).alias("name"), F.lit(None).cast("int").alias("listed"))
+    return op.normalise_fonts(d)
+
+
+@query(
+    "font_names",
+    """SELECT doc_id, upper(lang[1]) || lang[2:] || 'Sans' AS family, CASE doc_id % 5 WHEN 0 THEN 700 WHEN 1 THEN 300 WHEN 3 THEN 600 ELSE 400 END::BIGINT AS weight, doc_id % 5 IN (0, 3) AS bold, doc_id % 5 IN (0, 4) AS slanted FROM documents""",
+)
+def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fonts_of(spark, sf_dir).select("doc_id", "family", F.col("weight").cast("long").alias("weight"), "bold", "slanted")
+
+
+FACES = [("en-r", "EnSans", False, False, "sans", True), ("en-b", "EnSans", True, False, "sans", False), ("en-bi", "EnSans", True, True, "sans", False), ("de-r", "DeSans", False, False, "sans", False)]
+
+
+@query(
+    "look_alikes",
+    """SELECT doc_id AS font, CASE WHEN lang = 'de' THEN 'de-r' WHEN lang = 'en' THEN CASE doc_id % 5 WHEN 0 THEN 'en-bi' WHEN 3 THEN 'en-b' ELSE 'en-r' END ELSE 'en-r' END AS face, lang IN ('de', 'en') AS same_family FROM documents""",
+)
+def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = spark.createDataFrame(FACES, "face string, family string, bold boolean, slanted boolean, kind string, plain boolean")
+    fonts = fonts_of(spark, sf_dir).select(F.col("doc_id").alias("font"), "family", "bold", "slanted", F.lit(None).cast("string").alias("kind"))
+    return op.look_alike(fonts, catalog)
+
+
+@query("substitutes", f"WITH {WIDE}, {MISSING} SELECT s.doc_id, s.ordinal::BIGINT AS ordinal, CASE WHEN m.missing IS NULL THEN 'F1' ELSE 'F0' END AS face FROM spans s LEFT JOIN (SELECT DISTINCT c.doc_id, c.ordinal, 'x' AS missing FROM ch c JOIN let ON let.letter = c.letter WHERE c.letter <> ' ' AND let.cp % 13 = 0) m USING (doc_id, ordinal)")
+def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spaced_spans(spark, sf_dir).select("doc_id", "ordinal", "text", F.lit("F1").alias("look_alike"))
+    faces = spark.createDataFrame([("F1", "F0")], "face string, broadest string")
+    return op.choose_substitute(texts, faces, widths_of(spark, sf_dir), ["doc_id", "ordinal"]).select("doc_id", "ordinal", "face")
+
+
+@query(
+    "width_changes",
+    f"""WITH {WIDE}, t AS (SELECT c.doc_id, c.ordinal, sum(l.width) AS own, bool_or(l.cp % 13 = 0) AS lacks FROM ch c JOIN let l ON l.letter = c.letter WHERE c.letter <> ' ' GROUP BY ALL) SELECT doc_id, ordinal::BIGINT AS ordinal, CASE WHEN NOT lacks AND own <> 0 THEN 0.0::DOUBLE END AS delta FROM t""",
+)
+def width_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spaced_spans(spark, sf_dir).select("doc_id", "ordinal", "text", F.lit("F0").alias("font"), F.lit("F1").alias("face"))
+    return op.substitute_width_delta(texts, widths_of(spark, sf_dir), ["doc_id", "ordinal"])
+
+
+@query("coverage_runs", f"WITH {LETTERS}, r AS (SELECT font_key, cp, cp - row_number() OVER (PARTITION BY font_key ORDER BY cp) AS run FROM fl) SELECT font_key, min(cp)::BIGINT AS first, max(cp)::BIGINT AS last FROM r GROUP BY font_key, run")
+def coverage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.coverage_runs(widths_of(spark, sf_dir))
+
+
+VERDICTS = f"""{WIDE}, {MISSING}, ver AS (SELECT s.doc_id, s.ordinal, s.page, s.font, d.source, m.missing, CASE WHEN s.doc_id % 7 = 0 THEN 'not_embedded' WHEN m.missing IS NOT NULL THEN 'undrawable' END AS reason FROM spans s JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN mis m ON m.doc_id = s.doc_id AND m.ordinal = s.ordinal),
+verdicts AS (SELECT *, CASE WHEN reason IS NULL THEN 'exact' WHEN reason = 'not_embedded' THEN 'substitute' ELSE 'approximate' END AS state FROM ver)"""
+
+
+def verdicts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = spaced_spans(spark, sf_dir)
+    lost = op.missing_letters(spans, widths_of(spark, sf_dir), ["doc_id", "ordinal"])
+    source = derive.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return fid.assess(spans.join(lost, ["doc_id", "ordinal"], "left").join(source, "doc_id").withColumn("embedded", F.col("doc_id") % 7 != 0))
+
+
+@query("span_verdicts", f"WITH {VERDICTS} SELECT doc_id, ordinal::BIGINT AS ordinal, state, reason FROM verdicts")
+def span_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts_of(spark, sf_dir).select("doc_id", "ordinal", "state", "reason")
+
+
+@query(
+    "green_rate",
+    f"WITH {VERDICTS}, g AS (SELECT source, doc_id, count(*)::BIGINT AS spans, round(avg((state = 'exact')::INT), 6) AS rate FROM verdicts GROUP BY ROLLUP (source, doc_id)) SELECT *, CASE WHEN rate >= 0.8 THEN 'green' WHEN rate < 0.5 THEN 'red' ELSE 'amber' END AS mark FROM g",
+)
+def green_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fid.green_rate(verdicts_of(spark, sf_dir))
+
+
+@query(
+    "mismatch_report",
+    f"WITH {VERDICTS} SELECT doc_id, state, CASE WHEN state = 'substitute' THEN font ELSE reason END AS what, count(*)::BIGINT AS places, min(ordinal)::BIGINT AS first FROM verdicts WHERE state <> 'exact' GROUP BY ALL",
+)
+def mismatch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fid.mismatch_report(verdicts_of(spark, sf_dir)).drop("letters")
+
+
+@query("disagreements", f"WITH {VERDICTS} SELECT doc_id, ordinal::BIGINT AS ordinal, CASE WHEN ordinal % 10 = 0 THEN 'notice' ELSE 'differs' END AS why FROM verdicts WHERE ordinal % 10 = 0 OR (ordinal % 7 = 0 AND state <> 'exact')")
+def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = verdicts_of(spark, sf_dir).select("doc_id", "ordinal", "state", "missing", F.lit(False).alias("too_long"), F.lit("as-is").alias("drawn"))
+    landed = v.withColumn("notice", F.when(F.col("ordinal") % 10 == 0, "skipped")).withColumn("state", F.when(F.col("ordinal") % 7 == 0, "exact").otherwise(F.col("state")))
+    return fid.disagreements(v, landed)
+
+
+@query("substitute_demand", f"WITH {VERDICTS} SELECT CASE WHEN font = 'F0' THEN font ELSE 'unlisted' END AS font, 'F1' AS face, count(*)::BIGINT AS edits, round(avg((ordinal % 2 = 0)::INT), 6) AS same_widths, round(avg((ordinal % 5)::DOUBLE), 6) AS mean_delta FROM verdicts WHERE state = 'substitute' GROUP BY 1")
+def substitute_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = verdicts_of(spark, sf_dir).where("state = 'substitute'").select("font", F.lit("F1").alias("face"), (F.col("ordinal") % 2 == 0).alias("same_widths"), (F.col("ordinal") % 5).cast("double").alias("delta"))
+    return fid.substitute_demand(e, spark.createDataFrame([("F0",)], "font string"))
+
+
+@query("font_copies", f"WITH {m.SPANS}, c AS (SELECT doc_id, font, min(ordinal) AS ordinal FROM spans GROUP BY ALL) SELECT doc_id, 'Body' AS shown, coalesce(min(font) FILTER (font = 'F1'), min(font)) AS font, bool_and(font = 'F0') AS attached, min(ordinal)::BIGINT AS first, count(*)::BIGINT AS copies FROM c GROUP BY doc_id")
+def font_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = spans_of(spark, sf_dir).groupBy("doc_id", "font").agg(F.min("ordinal").alias("ordinal"))
+    return fid.font_copies(f.select("doc_id", F.lit("Body").alias("shown"), "font", "ordinal", F.when(F.col("font") == "F1", "Face").alias("substitute"), (F.col("font") == "F0").alias("attached")))
+
+
+@query(
+    "fits",
+    f"""WITH {WIDE}, {m.EDITS}, lw AS (SELECT doc_id, ordinal, round(sum(coalesce(w, 0.0) * size / 1000), 4) AS o FROM cw GROUP BY ALL), e AS (SELECT doc_id, span_ordinal AS ordinal, position, text FROM edits WHERE kind = 'replace'),
+n0 AS (SELECT e.doc_id, e.ordinal, e.position, s.font, s.size, unnest(regexp_extract_all(e.text || ' ' || s.text, '.')) AS letter FROM e JOIN spans s USING (doc_id, ordinal)),
+nw AS (SELECT n0.doc_id, n0.ordinal, n0.position, round(sum(coalesce(f.width, CASE WHEN n0.letter = ' ' THEN 250.0 ELSE 0.0 END) * n0.size / 1000), 4) AS n FROM n0 LEFT JOIN fl f ON f.font_key = n0.font AND f.letter = n0.letter GROUP BY ALL),
+d AS (SELECT nw.*, lw.o, round(nw.n - lw.o, 4) AS delta, (nw.ordinal % 50)::DOUBLE AS room FROM nw JOIN lw USING (doc_id, ordinal))
+SELECT doc_id, ordinal::BIGINT AS ordinal, position::BIGINT AS position, delta > greatest(4.0, room + 0.1) AS too_long, CASE WHEN delta > greatest(4.0, room + 0.1) THEN greatest(1, ceil(round((delta - room) / greatest(o, 1.0) * 100, 6))) END::BIGINT AS percent,
+CASE WHEN delta > greatest(4.0, room + 0.1) THEN CASE WHEN o > 0 AND o / (o + delta) >= 0.9 THEN 'shrink' ELSE 'as-is' END END AS drawn FROM d""",
+)
+def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    widths = widths_of(spark, sf_dir)
+    spans = spaced_spans(spark, sf_dir)
+    original = op.line_width(spans, widths, ["doc_id", "ordinal"]).select("doc_id", "ordinal", F.col("width").alias("original_pt"))
+    e = edits_of(spark, sf_dir).where("kind = 'replace'").select("doc_id", F.col("span_ordinal").alias("ordinal"), F.col("position").cast("long").alias("position"), F.col("text").alias("put"))
+    new = spans.join(e, ["doc_id", "ordinal"]).withColumn("text", F.concat_ws(" ", "put", "text"))
+    wide = op.line_width(new, widths, ["doc_id", "ordinal", "position"]).withColumnRenamed("width", "new_pt")
+    both = wide.join(original, ["doc_id", "ordinal"]).withColumn("room", (F.col("ordinal") % 50).cast("double")).withColumn("asked", F.lit("shrink"))
+    return fid.fit_replacements(both).select("doc_id", "ordinal", "position", "too_long", F.col("percent").cast("long").alias("percent"), "drawn")
+
+
+@query(
+    "edit_outcomes",
+    f"""WITH {VERDICTS}, {m.EDITS}, l AS (SELECT DISTINCT doc_id, span_ordinal, arg_max(kind, position) OVER (PARTITION BY doc_id, span_ordinal) AS kind FROM edits WHERE span_ordinal IS NOT NULL)
+SELECT v.doc_id, count(*) FILTER (state = 'exact')::BIGINT AS exact, count(*) FILTER (state = 'approximate')::BIGINT AS approximate, count(*) FILTER (state = 'substitute')::BIGINT AS substitute FROM l JOIN verdicts v ON v.doc_id = l.doc_id AND v.ordinal = l.span_ordinal WHERE l.kind = 'replace' GROUP BY v.doc_id""",
+)
+def edit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits_op.edit_outcomes(edits_op.latest_edits(edits_of(spark, sf_dir)), verdicts_of(spark, sf_dir))
+
+
+@query(
+    "span_status",
+    f"""WITH {VERDICTS} SELECT source, doc_id, page::BIGINT AS page, count(*)::BIGINT AS spans, count(*) FILTER (ordinal % 9 = 0)::BIGINT AS field, count(*) FILTER (ordinal % 4 = 0)::BIGINT AS changed, count(*) FILTER (state <> 'exact')::BIGINT AS trouble,
+count(*) FILTER (ordinal % 11 = 0)::BIGINT AS redacted, count(*) FILTER (ordinal % 13 = 0)::BIGINT AS words_redacted, count(*) FILTER (ordinal % 22 = 0)::BIGINT AS still_there FROM verdicts GROUP BY ROLLUP (source, doc_id, page)""",
+)
+def span_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("ordinal")
+    v = verdicts_of(spark, sf_dir).withColumns({"field": o % 9 == 0, "changed": o % 4 == 0, "trouble": F.col("state") != "exact", "redacted": o % 11 == 0, "words_redacted": o % 13 == 0, "still_there": o % 22 == 0})
+    return fid.span_status(v).withColumn("page", F.col("page").cast("long"))

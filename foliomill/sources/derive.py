@@ -5,7 +5,7 @@ Plain column rules, the same in any SQL engine; each docstring states its rule.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -124,5 +124,9 @@ def mail_events(events: DataFrame) -> DataFrame:
 def hidden_copies(pages: DataFrame) -> DataFrame:
     """(doc_id, place, text): what a page holds out of sight: its title, meta tags, comments."""
     patterns = {"title": r"<title>([^<]*)</title>", "metadata": r"<meta ([^>]*)>", "comments": r"<!--([^>]*)-->"}
-    parts = [F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), lambda t, n=n: F.struct(F.lit(n).alias("place"), t.alias("text"))) for n, p in patterns.items()]
+
+    def copies(place: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda t: F.struct(F.lit(place).alias("place"), t.alias("text")))
+
+    parts = [copies(n, p) for n, p in patterns.items()]
     return pages.select(F.col("page_id").alias("doc_id"), F.explode(F.concat(*parts)).alias("c")).select("doc_id", "c.place", "c.text")
