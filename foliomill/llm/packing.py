@@ -50,6 +50,7 @@ class WordEncoder:
         self.tokenizer, self.limit = Tokenizer.from_str(tokenizer), limit
         self.known: dict[str, int] = {}
         self.flat, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.folds = self._ids("A Zz") == self._ids("a zz")
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {MARK} b") == self._ids("a") + mark + self._ids("b") else None
 
@@ -95,6 +96,9 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 def encode_texts(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of texts, and how many each has."""
+    # Case is lost anyway; folding it first leaves fewer distinct words. Not where a special token could arise from it.
+    if encoder.folds and not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
     index, words, counts = word_codes(texts)
     flat, starts, lens = encoder.encode(words.to_pylist())
     ids = flat[ranges(starts[index], lens[index])]
