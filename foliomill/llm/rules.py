@@ -26,7 +26,7 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son aux".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "rest")
 
 
@@ -41,26 +41,27 @@ class DivergenceRule:
     common: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
 
-def count_of(text: Column, chars: str) -> Column:
-    """How many characters of a text are among ``chars``."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def count_of(text: Column, pattern: str) -> Column:
+    """How many characters of a text a one-character pattern matches."""
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in five-word windows found twice or more in the text. ``words`` must be a plain column.
-
-    Windows are told apart by 64-bit hashes. Sorted by hash, equal windows are neighbours: n log n.
-    """
-    n = F.size(words)
-    hashes = F.when(n >= 5, F.transform(F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))).otherwise(F.array().cast("array<bigint>"))
-    return hashes
+def window_hashes(hashes: Column) -> Column:
+    """A hash of each five-word window, from the words' hashes (a plain column): pairs, then pairs of pairs, then the fifth."""
+    n = F.size(hashes)
+    both = lambda a, b: F.xxhash64(a, b)
+    pairs = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))), both)
+    fours = F.zip_with(pairs, F.slice(pairs, 3, F.greatest(n - 2, F.lit(0))), both)
+    fives = F.zip_with(fours, F.slice(hashes, 5, F.greatest(n - 4, F.lit(0))), both)
+    return F.slice(fives, 1, F.greatest(n - 4, F.lit(0)))
 
 
 def with_base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; also ``_words`` and ``_text``."""
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", lines)
-    df = df.withColumn("_hashes", repeated_words(F.col("_words")))
+    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("_hashes", F.when(F.size("_hashes") >= 5, window_hashes(F.col("_hashes"))).otherwise(F.array().cast("array<bigint>")))
     h = F.col("_hashes")
     pairs = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     df = df.withColumn("_pairs", pairs)
@@ -82,14 +83,19 @@ def with_base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("_lines", "_hashes", "_pairs", "_at")
 
 
-def char_histogram(text: Column, n_symbols: Column) -> Column:
-    """Counts of the seven classes as an array of doubles."""
-    lower, upper = (F.length(text) - F.length(F.regexp_replace(text, p, "")) for p in (r"\p{Ll}+", r"\p{Lu}+"))
-    digit = count_of(text, "0123456789")
-    space = count_of(text, " \t\n\r\x0b\x0c")
-    stop = count_of(text, ".,;:!?'\"()-")
-    known = lower + upper + digit + space + stop + n_symbols
-    return F.transform(F.array(lower, upper, digit, space, stop, n_symbols, F.length(text) - known), lambda x: x.cast("double"))
+def char_histogram(text: Column, word_chars: Column, n_symbols: Column) -> Column:
+    """Counts of the seven classes as an array of doubles; what is in no other class counts as lower."""
+    n = F.length(text)
+    upper, digit, stop = count_of(text, r"\p{Lu}"), count_of(text, "[0-9]"), count_of(text, r"[.,;:!?'\"()-]")
+    rest = count_of(text, r"[^\p{L}\x00-\x7F]")
+    space = n - word_chars
+    return F.transform(F.array(n - upper - digit - space - stop - n_symbols - rest, upper, digit, space, stop, n_symbols, rest), lambda x: x.cast("double"))
+
+
+def common_forms(common: dict[str, list[str]]) -> list[str]:
+    """The common words of all languages as texts write them: three cases, a mark or none after them."""
+    words = sorted({w for ws in common.values() for w in ws})
+    return [f + m for w in words for f in dict.fromkeys((w, w.capitalize(), w.upper())) for m in ("", ".", ",", ";", ":", "!", "?")]
 
 
 def word_histogram(words: Column, lang: Column, common: dict[str, list[str]]) -> Column:
@@ -115,16 +121,15 @@ def judge(docs: DataFrame, rule: DivergenceRule = DivergenceRule(), id_col: str
     spark = docs.sparkSession
     work = Workspace(spark, "rules")
     base = with_base_rules(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    words = F.transform(F.col("_words"), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    listed = None
-    for code, ws in rule.common.items():
-        held = F.array(*[F.lit(w) for w in ws])
-        listed = F.when(F.col("lang") == code, held) if listed is None else listed.when(F.col("lang") == code, held)
-    base = base.withColumn("_listed", listed).withColumn("_common", F.filter(words, lambda w: F.array_contains(F.col("_listed"), w)))
-    base = base.withColumn("chars", char_histogram(F.col("_text"), F.col("n_symbols"))).withColumn("n_chars", F.length("_text").cast("long"))
+    forms = common_forms(rule.common) or [""]
+    met = F.filter("_words", lambda w: w.isin(forms))  # a hash lookup; what remains is short
+    base = base.withColumn("_met", met).withColumn("_common", F.transform("_met", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))))
+    base = base.withColumn("chars", char_histogram(F.col("_text"), F.col("word_chars"), F.col("n_symbols"))).withColumn("n_chars", F.length("_text").cast("long"))
     hist = word_histogram(F.col("_common"), F.col("lang"), rule.common)
-    base = base.withColumn("commons", F.concat(hist, F.array((F.size("_words") - F.size("_common")).cast("double"))))
-    counted = work.write(base.drop("text", "_text", "_words", "_common", "_listed"), "counted")
+    base = base.withColumn("_own", hist)
+    others = F.size("_words") - F.aggregate("_own", F.lit(0.0), lambda s, x: s + x)
+    base = base.withColumn("commons", F.concat("_own", F.array(others)))
+    counted = work.write(base.drop("text", "_text", "_words", "_met", "_common", "_own"), "counted")
 
     width = len(CLASSES)
     reference = counted.groupBy("lang").agg(
