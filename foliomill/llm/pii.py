@@ -68,8 +68,8 @@ def mod97(text: Column) -> Column:
 def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         # leading zeros aside, a part has at most three digits
-        return F.forall(F.split(match, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(
-            F.split(match, r"\."), lambda p: F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 4).try_cast("int"), F.lit(0)) <= 255
+        return F.forall(F.split(match, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(
+            F.split(match, r"\."), lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 4).try_cast("int"), F.lit(0)) <= 255
         )
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "card":
