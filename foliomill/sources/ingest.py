@@ -22,8 +22,10 @@ def read_spans(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
 
 def scan_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines that fit the schema, and the others as (path, note). An unreadable line stops nothing."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("_path", F.col("_metadata.file_path"))
-    return rows.where("_corrupt is null").drop("_corrupt", "_path"), rows.where("_corrupt is not null").select(F.col("_path").alias("path"), F.col("_corrupt").alias("note"))
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("path"))
+    rows = lines.withColumn("_r", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    good, bad = F.col("_r._corrupt").isNull(), F.col("_r._corrupt").isNotNull()
+    return rows.where(good).select("_r.*").drop("_corrupt"), rows.where(bad).select("path", F.col("value").alias("note"))
 
 
 def scan_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
