@@ -98,3 +98,27 @@ def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = derive.table(spark, sf_dir, "documents")
     p = op.value_profile(docs.select("source", F.col("lang").alias("kind"), F.col("n_chars").cast("decimal(18,2)").alias("amount")))
     return p.withColumns({c: F.col(c).cast("long") for c in ("total", "least", "most")})
+
+
+MONTHS = [("en", n, i) for i, n in enumerate("January February March April May June July August September October November December".split(), 1)]
+MONTHS += [("fr", n, i) for i, n in enumerate("janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(), 1)]
+MONTHS += [("de", n, i) for i, n in enumerate("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(), 1)]
+MONTHS += [("es", n, i) for i, n in enumerate("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(), 1)]
+
+
+@query("named_dates")
+def named_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.named_dates(derive.table(spark, sf_dir, "documents"), spark.createDataFrame(MONTHS, "language string, name string, idx int"))
+
+
+@query("settled_languages")
+def settled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.settle_language(named_dates(spark, sf_dir), ["en", "de", "fr", "es"])
+
+
+@query("rewritten_values")
+def rewritten_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = derive.table(spark, sf_dir, "documents")
+    dates = op.numeric_dates(docs, 2024)
+    changes = dates.select("doc_id", F.col("date").alias("old"), F.date_add("date", 30).alias("new")).distinct()
+    return op.rewrite_values(docs.select("doc_id", "text"), dates, changes).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))

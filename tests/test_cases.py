@@ -113,6 +113,13 @@ def test_dates(spark):
     assert got == [(0, "03/04/2021", "2021-04-03"), (0, "13/02/2020", "2020-02-13"), (2, "2021-02-28", "2021-02-28"), (4, "2020年3月4日", "2020-03-04"), (5, "12/13/99", "1999-12-13"), (5, "13/12/99", "1999-12-13"), (6, "05.05.24", "2024-05-05")]
 
 
+def test_dates_are_rewritten_as_written(spark):
+    df = spark.createDataFrame([(0, "13/02/2020, 2020-02-13 and 13.2.20; 14/02/2020"), (1, "02/13/2020"), (2, "nothing")], "doc_id long, text string")
+    changes = spark.createDataFrame([(i, "2020-02-13", "2021-11-05") for i in range(3)], "doc_id long, old string, new string").select("doc_id", F.to_date("old").alias("old"), F.to_date("new").alias("new"))
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.numeric_dates(df, 2024), changes).collect()}
+    assert got == {0: "05/11/2021, 2021-11-05 and 05.11.21; 14/02/2020", 1: "11/05/2021", 2: "nothing"}
+
+
 def test_named_dates_and_language(spark):
     names = spark.createDataFrame([("en", "March", 3), ("de", "März", 3), ("fr", "mars", 3), ("en", "April", 4), ("de", "April", 4)], "language string, name string, idx int")
     df = spark.createDataFrame([(0, "on 14 March 2020, April 2nd, 2021"), (1, "13–14 March 2020"), (2, "am 3. April 2020"), (3, "31 April 2020")], "doc_id long, text string")
