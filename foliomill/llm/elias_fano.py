@@ -88,7 +88,8 @@ class EliasFano:
     def successor(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The least index in [first, last) with an element >= value; ``last`` if none. The high part bounds the search, halving of lows ends it."""
         h = np.minimum(values >> np.uint64(self.low_bits), np.uint64(len(self.high) * 64)).astype(np.int64)
-        begin = np.where(h > 0, self.select0(np.maximum(h - 1, 0)) + 1 - h, 0)
+        before = self.select0(np.maximum(h - 1, 0))
+        begin = np.where(h == 0, 0, np.where(before < len(self.high) * 64, before + 1 - h, self.n))
         end = self.select0(h) - h
         low, high = np.clip(begin, first, last), np.clip(end, first, last)
         want = values & np.uint64((1 << self.low_bits) - 1)

@@ -33,8 +33,9 @@ from .wordcodes import hashes, mixed, slices, word_codes
 
 END = np.uint64(0x5BD1E9955BD1E995)
 NONE = np.uint32(0xFFFFFFFF)
-BUCKET_WORDS = 1_500_000
-SHARD_TOKENS = 4_000_000
+BUCKET_WORDS = 600_000
+SHARD_TOKENS = 1_500_000
+CHUNK_BYTES = 6 << 20
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -65,7 +66,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
-        for batch in slices(batches):
+        for batch in slices(batches, CHUNK_BYTES):
             if not batch.num_rows:
                 continue
             codes, words, counts = word_codes(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
