@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 LINE = r"^(\S+) (DEBUG|INFO|WARN|ERROR) (\S+) (\S+) (\S+)(?: (.*))?$"
@@ -94,6 +96,26 @@ def admit(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
     return requests.select("key", "request", "us").groupBy("key").applyInPandas(walk, "key long, request long, us long, admitted boolean")
 
 
+@F.pandas_udf(StringType())
+def _block(s: pd.Series) -> pd.Series:
+    def of(text: str) -> str:
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return text
+        if address.version == 6 and address.ipv4_mapped:
+            return str(address.ipv4_mapped)
+        return str(address) if address.version == 4 else str(ipaddress.ip_network((int(address) >> 64 << 64, 64)))
+
+    return s.map(of, na_action="ignore")
+
+
+def with_address_block(requests: DataFrame, col: str = "address") -> DataFrame:
+    """Adds ``key``, what a request counts against: an IPv4 address as it is, a mapped one unwrapped, an IPv6 address's /64, anything else unchanged. Each distinct address is read once."""
+    blocks = requests.select(col).distinct().withColumn("key", _block(F.col(col)))
+    return requests.join(blocks, col, "left")
+
+
 def request_rate(requests: DataFrame, window_s: int) -> DataFrame:
     """``requests`` with ``rate``: the key's requests in the window that ends with this one, its start exclusive."""
     w = Window.partitionBy("key").orderBy("us").rangeBetween(-(window_s * 1_000_000 - 1), 0)

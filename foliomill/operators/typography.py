@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..params import DEFAULTS, Params
@@ -62,6 +66,30 @@ def missing_letters(texts: DataFrame, coverage: DataFrame, key: list[str], col:
     return lost.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "letter"))), lambda x: x["letter"]).alias("missing"))
 
 
+@F.pandas_udf(StringType())
+def composed(s: pd.Series) -> pd.Series:
+    """NFC; Spark has no built-in."""
+    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def decomposed(s: pd.Series) -> pd.Series:
+    """NFD; Spark has no built-in."""
+    return s.map(lambda t: unicodedata.normalize("NFD", t), na_action="ignore")
+
+
+def best_spelling(texts: DataFrame, coverage: DataFrame, key: list[str]) -> DataFrame:
+    """Texts (key, font, text) with ``spelling``: as typed, composed or decomposed, the first their font lacks nothing of; else composed. ASCII texts have one spelling."""
+    plain = F.col("text").rlike(r"^[\x00-\x7F]*$")
+    ascii_, others = texts.where(plain).withColumn("spelling", F.col("text")), texts.where(~plain)
+    forms = others.select(*key, "font", F.posexplode(F.array("text", composed("text"), decomposed("text"))).alias("form", "text"))
+    lost = missing_letters(forms, coverage, [*key, "form"])
+    rated = forms.join(lost, [*key, "form"], "left").withColumn("_lacks", F.col("missing").isNotNull())
+    rank = F.struct("_lacks", F.when(F.col("_lacks"), F.when(F.col("form") == 1, 0).otherwise(1)).otherwise(F.col("form")).alias("r"))
+    best = rated.groupBy(*key).agg(F.min_by("text", rank).alias("spelling"))
+    return ascii_.unionByName(others.join(best, key))
+
+
 def vouch_copies(copies: DataFrame, widths: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Pairs of a document's copies of one font name (doc_id, name, font_key, kind, upright): whether the second may lend letters to the first, else why not.
 
@@ -83,8 +111,6 @@ def pool_letters(copies: DataFrame, widths: DataFrame, p: Params = DEFAULTS) ->
 
     Whether a copy joins depends on those that joined before, so one font's copies are walked together; a document has few.
     """
-    import pandas as pd
-
     held = copies.join(widths, "font_key").groupBy("doc_id", "name", "font_key", "rank").agg(F.collect_list(F.struct("letter", "width")).alias("letters"))
 
     def pool(key, group: pd.DataFrame) -> pd.DataFrame:

@@ -241,3 +241,24 @@ def test_ledger_ties_and_late_reads(spark):
     applied = usage.apply_events(usage.ledger(e))
     assert rows(applied.select("id", "outcome")) == [(1, "applied"), (2, "superseded"), (3, "applied"), (4, "no_account")]
     assert rows(usage.paid_state(applied).select("account", "paid_until")) == [(7, 300)]
+
+
+def test_spellings(spark):
+    cover = spark.createDataFrame([("a", c) for c in "caf\u00e9"] + [("b", c) for c in ("c", "a", "f", "e", "\u0301")], "font_key string, letter string")
+    df = spark.createDataFrame([(1, "a", "cafe\u0301"), (2, "b", "caf\u00e9"), (3, "a", "caf\u00e9\u0416"), (4, "a", "zz")], "k long, font string, text string")
+    got = {r.k: r.spelling for r in typography.best_spelling(df, cover, ["k"]).collect()}
+    assert got == {1: "caf\u00e9", 2: "cafe\u0301", 3: "caf\u00e9\u0416", 4: "zz"}
+
+
+def test_address_blocks(spark):
+    cases = {"1.2.3.4": "1.2.3.4", "::ffff:1.2.3.4": "1.2.3.4", "2001:db8:1:2:3::4": "2001:db8:1:2::/64", "nobody": "nobody", None: None}
+    got = {r.address: r.key for r in logs.with_address_block(spark.createDataFrame([(a,) for a in cases], "address string")).collect()}
+    assert got == cases
+
+
+def test_catalog_files(spark):
+    catalog = spark.createDataFrame([("Foo", "f-static", 400, "normal", True, False), ("Foo", "f-var", 400, "normal", False, False), ("Bar", "b-var", 400, "normal", False, True)], "family string, path string, weight int, style string, static boolean, reserved boolean")
+    fonts = spark.createDataFrame([(1, "Old Foo", 400, "normal"), (2, "Foo", 700, "normal"), (3, "Bar", 400, "normal"), (4, "Foo", 400, "italic"), (5, "Nil", 400, "normal")], "font long, family string, weight int, style string")
+    aliases = spark.createDataFrame([("Old Foo", "Foo")], "old string, new string")
+    got = {r.font: (r.path, r.reason) for r in typography.catalog_file(fonts, catalog, aliases).collect()}
+    assert got == {1: ("f-static", None), 2: ("f-var", None), 3: (None, "reserved_name"), 4: (None, "no_style"), 5: (None, "no_family")}
