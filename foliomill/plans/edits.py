@@ -67,7 +67,7 @@ r3 AS (SELECT doc_id, span_ordinal, position, ok, s - length(regexp_extract(subs
 
 @query(
     "merged_ranges",
-    f"""WITH {BASE}, {WIDEN}, w AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, span_ordinal ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r3 WHERE ok),
+    f"""WITH {BASE}, {WIDEN}, w AS (SELECT *, max(stop) OVER (PARTITION BY doc_id, span_ordinal ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT doc_id, span_ordinal, start, stop FROM r3 WHERE ok)),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, span_ordinal ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM w)
 SELECT doc_id, span_ordinal::BIGINT AS span_ordinal, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM g GROUP BY doc_id, span_ordinal, run""",
 )
