@@ -60,3 +60,8 @@ class Workspace:
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of a key as text, modulo n: the folds of the contracts. A null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """A join's small side: broadcast if a count proves it has at most ``most_rows`` rows, else left to a shuffled join. ``df`` should be a written table."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

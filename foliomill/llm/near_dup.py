@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, small_side, table
 from .components import components
 from .wordcodes import SHINGLE, hashes, mixed, shingle_hashes, slices, word_codes
 
@@ -41,6 +41,8 @@ BANDS = HASHES // ROWS
 CHECKS = (32, 64, 96, 128)
 BLOCK = 512
 BLOCK_SHINGLES = 1_000_000
+#: Rows of ids and numbers that may be broadcast, some 30 MB; more are shuffled.
+SMALL = 500_000
 MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFTS = mixed(np.arange(HASHES + 1, 2 * HASHES + 1, dtype=np.uint64))
 
@@ -252,9 +254,9 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for every row of ``docs`` (doc_id, text).
+    """(doc_id, digest, class_id, n_links, n_copies) for every row of ``docs`` (doc_id, text).
 
-    ``class_id`` is the least doc_id of the class, ``n_links`` the number of other texts linked to
+    ``digest`` is that of the row's words, ``class_id`` the least doc_id of the class, ``n_links`` the number of other texts linked to
     this one, ``n_copies`` the number of rows with the same words.
     """
     spark = docs.sparkSession
@@ -272,7 +274,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 
     joined = work.write(joined.withColumnRenamed("node", "tid").join(texts.select("tid", "rep", "digest", "n"), "tid"), "joined")
     sizes = joined.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    members = joined.join(sizes, "root").withColumnsRenamed({"root": "comp", "rep": "_id"})
+    # Where few texts have candidates, the others' words stay where they are.
+    members = work.write(joined.join(sizes, "root").withColumnsRenamed({"root": "comp", "rep": "_id"}).drop("n"), "members")
+    members = small_side(members, SMALL)
     with_text = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).select("comp", "tid", "digest", "parts", "text")
     links = work.write(verified(dealt(with_text, "comp", F.col("parts")), threshold), "links")
 
@@ -282,15 +286,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     told = named.join(least, "root").join(counted, "tid").select("tid", "class_id", "n_links")
     per_text = texts.join(told, "tid", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return rows.select("doc_id", "digest").join(per_text, "digest").select("doc_id", "class_id", "n_links", "n_copies")
+    return rows.select("doc_id", "digest").join(per_text, "digest")
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """``docs`` with the document of least doc_id of every class, once. Rows without an id cannot be told apart and stay."""
-    found = near_duplicates(docs, threshold, tolerance).where("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    work = Workspace(docs.sparkSession, "one-of-each")
+    found = work.write(near_duplicates(docs, threshold, tolerance).select("doc_id", "class_id", "digest"), "classes")
+    stays = F.bool_or(F.col("doc_id") == F.col("class_id"))
+    gone = work.write(found.where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id"), "gone")
+    kept = docs.join(small_side(gone, SMALL), "doc_id", "left_anti")
+    # A row that is there twice goes once; only then do texts have to meet.
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
