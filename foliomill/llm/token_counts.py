@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_folder, table, words_of
+from .common import Workspace, shared_folder, table, words_of
 
 KEY = ["doc_id", "version"]
 GROUP = ["source", "lang", "version"]
@@ -88,30 +88,25 @@ class TokenRollup:
         return out.where("docs <> 0") if drop_empty else out
 
 
-def counted(docs: DataFrame, version: str, op: str, seq: int = 0, count: Column | None = None) -> DataFrame:
-    """Changes for all ``docs``: their tokens by one tokenizer version."""
-    tokens = VERSIONS[version](F.col("text")) if count is None else count
-    return docs.select(
-        "doc_id", F.lit(version).alias("version"), F.lit(op).alias("op"), "source", "lang", tokens.cast("long").alias("tokens"), F.lit(seq).cast("long").alias("seq")
-    )
-
-
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all documents under both versions, delete those labelled toxic, revise those labelled of low quality (license and markup
     symbols no longer count), commit the last batch twice, and return the totals."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     store = TokenRollup(spark, f"{shared_folder(spark)}/token-counts-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
-    both = F.array(*[F.struct(F.lit(v).alias("version"), count(F.col("text")).alias("tokens")) for v, count in VERSIONS.items()])
-    loaded = docs.select("doc_id", "source", "lang", F.explode(both).alias("x")).select(
-        "doc_id", "x.version", F.lit("insert").alias("op"), "source", "lang", "x.tokens", F.lit(0).cast("long").alias("seq")
-    )
-    store.commit("0001-load", loaded)
-    toxic = docs.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    gone = toxic.select("doc_id", "source", "lang", F.explode(F.array(*[F.lit(v) for v in VERSIONS])).alias("version"))
-    store.commit("0002-remove", gone.select("doc_id", "version", F.lit("delete").alias("op"), "source", "lang", F.lit(None).cast("long").alias("tokens"), F.lit(0).cast("long").alias("seq")))
-    poor = docs.join(labels.where("quality = 0 and toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    plain = poor.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", " "))
-    revised = counted(plain, "words-1", "revise").unionByName(counted(plain, "pieces-2", "revise"))
+    # Texts are counted where they are read; only numbers are shuffled.
+    plain = F.regexp_replace("text", r"[#*$%&|<>]+", " ")
+    both = F.array(*[F.struct(F.lit(v).alias("version"), count(F.col("text")).alias("tokens"), count(plain).alias("revised")) for v, count in VERSIONS.items()])
+    work = Workspace(spark, "token-counts")
+    counts = work.write(docs.select("doc_id", "source", "lang", F.explode(both).alias("x")).select("doc_id", "source", "lang", "x.*"), "counts")
+
+    def changes(of: DataFrame, op: str, tokens: Column) -> DataFrame:
+        return of.select("doc_id", "version", F.lit(op).alias("op"), "source", "lang", tokens.cast("long").alias("tokens"), F.lit(0).cast("long").alias("seq"))
+
+    store.commit("0001-load", changes(counts, "insert", F.col("tokens")))
+    toxic = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    store.commit("0002-remove", changes(toxic, "delete", F.lit(None)))
+    poor = counts.join(labels.where("quality = 0 and toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    revised = changes(poor, "revise", F.col("revised"))
     store.commit("0003-revise", revised)
     store.commit("0003-revise", revised)
     return store.totals()
