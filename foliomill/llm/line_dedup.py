@@ -1,12 +1,12 @@
 """Line dedup by content-defined chunks: the first place of a repeated passage stays, all others go.
 
-A text's lines are hashed; a rolling hash over ``roll`` line hashes ends a chunk where it is 0
-modulo ``divisor``. As only the lines themselves decide, a passage put into another text is cut
-at the same lines, wherever it stands. A line of ``long_line`` words or more is a chunk of its
+A text's lines are hashed; a rolling hash over ``roll`` line hashes ends a chunk where it is less
+than at both neighbours, so chunks have two lines or more. As only nearby lines decide, a passage
+put into another text is cut at the same lines, wherever it stands, but for its first and last. A line of ``long_line`` words or more is a chunk of its
 own, so a passage on one line is found between any neighbours. Chunks of ``max_lines`` lines are
 cut there, which bounds a chunk.
 
-A chunk counts as a passage if it has at least ``min_words`` words. Chunks whose hash occurs more
+A chunk counts as a passage if it is a long line, or has several lines and at least ``min_words`` words. Chunks whose hash occurs more
 than once are grouped by hash and then by their very bytes. Of equal chunks the one with the
 smallest (doc_id, place) stays; the others' lines are taken out. Shorter repeated chunks (a
 heading, a license line) stay everywhere.
@@ -23,15 +23,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, table
+from .common import SPACES, Workspace, small_side, table
+
+
+#: Rows of ids and chunk numbers that may be broadcast, some 30 MB; more are shuffled.
+SMALL = 300_000
 
 
 @dataclass(frozen=True)
 class ChunkRule:
     roll: int = 2
-    divisor: int = 4
-    long_line: int = 40
-    min_words: int = 50
+    long_line: int = 50
+    min_words: int = 20
     max_lines: int = 64
 
 
@@ -43,20 +46,21 @@ def with_chunks(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
     """``docs`` and ``_lines``, and ``_ends``: the index of each chunk's last line."""
     df = docs.withColumn("_lines", F.split("text", "\n", -1))
     df = df.withColumn("_marks", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.size(F.split(F.trim(x), SPACES)) >= rule.long_line).alias("long"))))
-    m = F.col("_marks")
+    m, r = F.col("_marks"), F.col("_rolled")
+    df = df.withColumn("_rolled", F.transform(m, lambda x, i: F.xxhash64(x["h"], *[F.get(m, i - k)["h"] for k in range(1, rule.roll)])))
     last = F.size(m) - 1
 
     def ends(i: Column) -> Column:
-        rolled = F.xxhash64(*[F.get(m, i - k)["h"] for k in range(rule.roll)])
+        least = (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1))
         here, after = F.get(m, i)["long"], F.coalesce(F.get(m, i + 1)["long"], F.lit(True))
-        return here | after | (F.pmod(rolled, F.lit(rule.divisor)) == 0) | (F.pmod(i + 1, F.lit(rule.max_lines)) == 0)
+        return here | after | F.coalesce(least, F.lit(False)) | (F.pmod(i + 1, F.lit(rule.max_lines)) == 0)
 
     df = df.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), ends))
-    return df.drop("_marks")
+    return df.drop("_marks", "_rolled")
 
 
-def chunk_array(with_text: bool) -> Column:
-    """Chunks as an array of structs: number, first line, number of lines, and the text or its hash."""
+def chunk_array() -> Column:
+    """Chunks as an array of structs: number, first line, number of lines, and the text."""
     e, lines = F.col("_ends"), F.col("_lines")
 
     def chunk(end: Column, k: Column) -> Column:
@@ -71,24 +75,27 @@ def removals(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
     """(doc_id, _text, gone): for each document with removed chunks, by id and hash of its text, the removed chunks' numbers."""
     work = Workspace(docs.sparkSession, "line-dedup")
     cut = with_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), rule)
-    chunks = cut.select("doc_id", "_text", F.explode(chunk_array(True)).alias("c")).where(n_words(F.col("c.text")) >= rule.min_words)
+    chunks = cut.select("doc_id", "_text", F.explode(chunk_array()).alias("c"))
+    several = (F.col("c.lines") > 1) & (n_words(F.col("c.text")) >= rule.min_words)
+    chunks = chunks.where(several | (n_words(F.col("c.text")) >= rule.long_line))
     rows = work.write(chunks.select("doc_id", "_text", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("key")).distinct(), "chunks")
     repeated = work.write(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
     # The bytes of chunks with a repeated hash; equal bytes meet in one group, partial sums first.
-    passages = chunks.select("doc_id", "_text", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("key"), F.col("c.text").alias("body")).join(repeated, "key", "left_semi")
+    passages = chunks.select("doc_id", "_text", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("key"), F.col("c.text").alias("body")).join(small_side(repeated, SMALL), "key", "left_semi")
     place = F.struct("doc_id", "_text", "k")
     kept = work.write(passages.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.sha2("body", 256).alias("digest"), "first"), "first")
-    others = passages.select("doc_id", "_text", "k", "key", F.sha2("body", 256).alias("digest")).join(kept, ["key", "digest"])
+    others = passages.select("doc_id", "_text", "k", "key", F.sha2("body", 256).alias("digest")).join(small_side(kept, SMALL), ["key", "digest"])
     gone = others.where(~place.eqNullSafe(F.col("first")))
     return work.write(gone.groupBy("doc_id", "_text").agg(F.collect_set("k").alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
     """``docs`` with ``text`` cut, and ``n_lines``, ``n_chunks``, ``n_gone_chunks``, ``n_gone_lines`` (of null text: null, null, 0, 0)."""
-    gone = removals(docs, rule).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
+    # Where few documents lose lines, the others' texts stay where they are.
+    gone = small_side(removals(docs, rule), SMALL).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     joined = docs.join(gone, same, "left")
-    cut = with_chunks(joined, rule).withColumn("_chunks", chunk_array(True))
+    cut = with_chunks(joined, rule).withColumn("_chunks", chunk_array())
     out = F.filter("_chunks", lambda c: F.array_contains("gone", c["k"]))
     left = F.filter("_chunks", lambda c: ~F.array_contains("gone", c["k"]))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
