@@ -179,7 +179,7 @@ def pack(
     shares: dict[str, float] | None = None,
     spaced: bool = True,
     with_ids: bool = True,
-    batch_bytes: int = 12 << 20,
+    batch_bytes: int = 6 << 20,
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids as little-endian uint32).
 

@@ -14,12 +14,13 @@ SHINGLE = 5
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 12 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``most_bytes``; a row stays whole."""
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about ``most_bytes``; a row stays whole. After each, memory that Arrow no longer needs goes back."""
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+            pa.default_memory_pool().release_unused()
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
