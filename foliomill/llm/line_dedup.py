@@ -1,110 +1,131 @@
-"""Line dedup by content-defined chunks: the first place of a repeated passage stays, all others go.
-
-A text's lines are hashed; a rolling hash over ``roll`` line hashes ends a chunk where it is less
-than at both neighbours, so chunks have two lines or more. As only nearby lines decide, a passage
-put into another text is cut at the same lines, wherever it stands, but for its first and last. A line of ``long_line`` words or more is a chunk of its
-own, so a passage on one line is found between any neighbours. Chunks of ``max_lines`` lines are
-cut there, which bounds a chunk.
-
-A chunk counts as a passage if it is a long line, or has several lines and at least ``min_words`` words. Chunks whose hash occurs more
-than once are grouped by hash and then by their very bytes. Of equal chunks the one with the
-smallest (doc_id, place) stays; the others' lines are taken out. Shorter repeated chunks (a
-heading, a license line) stay everywhere.
-
-Edge cases: null text stays null and has no chunks; lines are split at \\n only; a text all of
+"""Line dedup: the first place of a repeated passage of ``min_words`` words or more stays, all others go.
+
+Passages are told by windows of whole lines. From each line with words one window goes forward, and
+to each one window comes from behind, both as short as ``min_words`` words allow. Only a passage's
+own lines decide where the windows inside it lie, and together they cover it: the forward ones from its first
+line on, the backward ones up to its last. So a repeated passage is found whole, wherever it stands
+and however its words are spread over lines.
+
+Windows whose hash occurs more than once are grouped by the SHA-256 of their very bytes. Of equal
+windows the one with the smallest (doc_id, text hash, place) stays; the others' lines are taken out. Where a
+window overlaps its own first place (lines that repeat at once), the lines of that place stay.
+A line is so taken out only if an equal line stays at an earlier place.
+
+Edge cases: null text stays null and has no windows; lines are split at \\n only; lines without
+words are part of a window only between its lines, so some may be left around what was taken out;
+shorter repeats (a heading, a license line) stay everywhere; a text all of
 whose lines go becomes empty; rows with the same doc_id and text count as one and are treated
 alike; a null doc_id sorts first; tables without rows or with more columns are fine.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, small_side, table
+from .common import Workspace, small_side, table
 
 
-#: Rows of ids and chunk numbers that may be broadcast, some 30 MB; more are shuffled.
+#: Rows of ids and window places that may be broadcast, some 30 MB; more are shuffled.
 SMALL = 300_000
 
 
 @dataclass(frozen=True)
 class ChunkRule:
-    roll: int = 2
-    long_line: int = 50
-    min_words: int = 20
-    max_lines: int = 64
+    min_words: int = 50
 
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def with_chunks(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
-    """``docs`` and ``_lines``, and ``_ends``: the index of each chunk's last line."""
-    df = docs.withColumn("_lines", F.split("text", "\n", -1))
-    df = df.withColumn("_marks", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.size(F.split(F.trim(x), SPACES)) >= rule.long_line).alias("long"))))
-    m, r = F.col("_marks"), F.col("_rolled")
-    df = df.withColumn("_rolled", F.transform(m, lambda x, i: F.xxhash64(x["h"], *[F.get(m, i - k)["h"] for k in range(1, rule.roll)])))
-    last = F.size(m) - 1
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def reaches(counts: Column, least: int) -> Column:
+    """For each of ``counts`` (positive) the index at which the sum from it on reaches ``least``; the array's size or more if none does.
+
+    Sums of 1, 2, 4 ... counts, then a descent through them: log2(least) steps a line.
+    """
+    steps = [1 << k for k in range(least.bit_length())]
+
+    def further(s: Column, step: int) -> Callable[[Column], Column]:
+        more = lambda a: a["n"] + F.coalesce(F.get(s, a["at"]), F.lit(0))
+        return lambda a: F.when(more(a) < least, F.struct(more(a).alias("n"), (a["at"] + step).alias("at"))).otherwise(a)
+
+    def descend(sums: list[Column]) -> Column:
+        at = F.transform(counts, lambda x, i: F.struct(F.lit(0).alias("n"), i.alias("at")))
+        for step, s in reversed(list(zip(steps, sums, strict=True))):
+            at = F.transform(at, further(s, step))
+        return F.transform(at, lambda a: a["at"])
 
-    def ends(i: Column) -> Column:
-        least = (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1))
-        here, after = F.get(m, i)["long"], F.coalesce(F.get(m, i + 1)["long"], F.lit(True))
-        return here | after | F.coalesce(least, F.lit(False)) | (F.pmod(i + 1, F.lit(rule.max_lines)) == 0)
+    def build(sums: list[Column]) -> Column:
+        if len(sums) == len(steps):
+            return descend(sums)
+        s, step = sums[-1], steps[len(sums) - 1]
+        return let(F.transform(s, lambda x, i: x + F.coalesce(F.get(s, i + step), F.lit(0))), lambda t: build([*sums, t]))
 
-    df = df.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), ends))
-    return df.drop("_marks", "_rolled")
+    return build([counts])
 
 
-def chunk_array() -> Column:
-    """Chunks as an array of structs: number, first line, number of lines, and the text."""
-    e, lines = F.col("_ends"), F.col("_lines")
+def windows(lines: Column, rule: ChunkRule = ChunkRule()) -> Column:
+    """The distinct windows of a text's ``lines`` as longs: first line * 2^32 + last line."""
 
-    def chunk(end: Column, k: Column) -> Column:
-        first = F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1)
-        text = F.array_join(F.slice(lines, first + 1, end - first + 1), "\n")
-        return F.struct(k.alias("k"), first.alias("first"), (end - first + 1).alias("lines"), text.alias("text"))
+    def of(held: Column) -> Column:
+        n = F.size(held)
+        pair = lambda a, b: F.get(held, a)["i"].cast("long") * (1 << 32) + F.get(held, b)["i"]
+        forward = lambda c: F.transform(reaches(c, rule.min_words), lambda e, i: F.when(e < n, pair(i, e)))
+        backward = lambda c: F.transform(reaches(c, rule.min_words), lambda e, i: F.when(e < n, pair(n - 1 - e, n - 1 - i)))
+        counts = F.transform(held, lambda x: x["n"])
+        both = F.concat(let(counts, forward), let(F.reverse(counts), backward))
+        return F.array_distinct(F.filter(both, lambda x: x.isNotNull()))
 
-    return F.transform(e, chunk)
+    marks = F.transform(lines, lambda x, i: F.struct(i.alias("i"), n_words(x).alias("n")))
+    return let(F.filter(marks, lambda x: x["n"] > 0), of)
 
 
 def removals(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
-    """(doc_id, _text, gone): for each document with removed chunks, by id and hash of its text, the removed chunks' numbers."""
+    """(doc_id, _text, gone): for each document with repeats, by id and hash of its text, the windows (first, low, last) of which the lines from low on go."""
     work = Workspace(docs.sparkSession, "line-dedup")
-    cut = with_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), rule)
-    chunks = cut.select("doc_id", "_text", F.explode(chunk_array()).alias("c"))
-    several = (F.col("c.lines") > 1) & (n_words(F.col("c.text")) >= rule.min_words)
-    chunks = chunks.where(several | (n_words(F.col("c.text")) >= rule.long_line))
-    rows = work.write(chunks.select("doc_id", "_text", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("key")).distinct(), "chunks")
+    cut = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.split("text", "\n", -1).alias("_lines"))
+    cut = cut.select("doc_id", "_text", "_lines", F.explode(windows(F.col("_lines"), rule)).alias("w"))
+    first, last = F.shiftright("w", 32).cast("int"), F.col("w").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    body = F.array_join(F.slice("_lines", first + 1, last - first + 1), "\n")
+    # The digest tells bytes apart; its hash only finds what may be repeated.
+    found = cut.select("doc_id", "_text", first.alias("first"), last.alias("last"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    rows = work.write(found.withColumn("key", F.xxhash64("digest")), "windows")
     repeated = work.write(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
-    # The bytes of chunks with a repeated hash; equal bytes meet in one group, partial sums first.
-    passages = chunks.select("doc_id", "_text", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("key"), F.col("c.text").alias("body")).join(small_side(repeated, SMALL), "key", "left_semi")
-    place = F.struct("doc_id", "_text", "k")
-    kept = work.write(passages.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.sha2("body", 256).alias("digest"), "first"), "first")
-    others = passages.select("doc_id", "_text", "k", "key", F.sha2("body", 256).alias("digest")).join(small_side(kept, SMALL), ["key", "digest"])
-    gone = others.where(~place.eqNullSafe(F.col("first")))
-    return work.write(gone.groupBy("doc_id", "_text").agg(F.collect_set("k").alias("gone")), "gone")
+    rows = work.write(rows.join(small_side(repeated, SMALL), "key", "left_semi").drop("key"), "again")
+    work.free("windows")
+    place = F.struct("doc_id", "_text", "first")
+    kept = work.write(rows.groupBy("digest").agg(F.min(place).alias("kept")), "kept")
+    others = rows.join(small_side(kept, SMALL), "digest").where(~place.eqNullSafe(F.col("kept")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("_text") == F.col("kept._text"))
+    low = F.when(same, F.greatest("first", F.col("kept.first") + F.col("last") - F.col("first") + 1)).otherwise(F.col("first"))
+    others = others.select("doc_id", "_text", F.struct("first", low.alias("low"), "last").alias("w"))
+    return work.write(others.groupBy("doc_id", "_text").agg(F.collect_set("w").alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
-    """``docs`` with ``text`` cut, and ``n_lines``, ``n_chunks``, ``n_gone_chunks``, ``n_gone_lines`` (of null text: null, null, 0, 0)."""
+    """``docs`` with ``text`` cut, and ``n_lines``, ``n_chunks`` (windows), ``n_gone_chunks``, ``n_gone_lines`` (of null text: null, null, 0, 0)."""
     # Where few documents lose lines, the others' texts stay where they are.
-    gone = small_side(removals(docs, rule), SMALL).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda w: F.sequence(w["low"], w["last"]))))
+    gone = removals(docs, rule).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"), F.size("gone").alias("_n"), out.alias("_out"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = docs.join(gone, same, "left")
-    cut = with_chunks(joined, rule).withColumn("_chunks", chunk_array())
-    out = F.filter("_chunks", lambda c: F.array_contains("gone", c["k"]))
-    left = F.filter("_chunks", lambda c: ~F.array_contains("gone", c["k"]))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
-    return cut.select(
+    joined = docs.join(small_side(gone, SMALL), same, "left").withColumn("_lines", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_out"))
+    text = F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_ends").cast("long").alias("n_chunks"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone_chunks"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate(F.transform(out, lambda c: c["lines"]), F.lit(0), lambda a, x: a + x)).cast("long").alias("n_gone_lines"),
+        F.size(windows(F.col("_lines"), rule)).cast("long").alias("n_chunks"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_gone_chunks"),
+        F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("n_gone_lines"),
     )
 
 

@@ -192,6 +192,22 @@ def test_passages_go_from_all_but_the_first(spark):
     assert got[5].text == docs[4][1] and len(got[6].text) < len(docs[5][1]) / 2
 
 
+def test_passages_of_short_lines_go_whole(spark):
+    r, docs, want = random.Random(4), [], {}
+    for k, (n, m) in enumerate((n, m) for n in range(2, 21) for m in (3, 8, 15, 30) if n * m >= 50):
+        passage = [words(m, 1000 * k + i, 10**6) for i in range(n)]
+        a, b, c, d = ([words(r.randrange(1, 40), r.random(), 10**6) for _ in range(r.randrange(4))] for _ in range(4))
+        docs += [(2 * k, "\n".join([*a, *passage, *b])), (2 * k + 1, "\n".join([*c, *passage, *d]))]
+        want |= {2 * k: docs[-2][1], 2 * k + 1: "\n".join([*c, *d])}
+    row, short = words(9, 1), "\n".join(words(7, i) for i in range(7))
+    docs += [(900, "\n".join(["x", *[row] * 40, "y"])), (901, "a\n" + short + "\nb"), (902, "c\n" + short + "\nd")]
+    want |= {900: "\n".join(["x", *[row] * 6, "y"]), 901: docs[-2][1], 902: docs[-1][1]}
+    blank = [words(20, 80 + i) for i in range(4)]
+    docs += [(910, "\n\n".join(blank)), (911, "p\n" + "\n\n".join(blank) + "\nq")]
+    want |= {910: docs[-2][1], 911: "p\nq"}
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
