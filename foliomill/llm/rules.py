@@ -3,7 +3,10 @@
 Every document gets two histograms: seven character classes, and the language's common words plus
 one bin for all other words. The reference of a language is the sum of its documents' histograms.
 A document fails when the Jensen-Shannon distance of either histogram from the reference is over
-its limit; documents under ``min_words`` words or ``min_chars`` characters have too few counts to be
+its limit. That of words follows from the reference: ``max_word_share`` of the distance at which a text
+without one common word lies, and what chance adds to the distance of a text of so few words
+(squared, bins / (8 ln 2 words), times ``noise``), but never so much that a text without common words
+passes. Documents under ``min_words`` words or ``min_chars`` characters have too few counts to be
 judged and pass.
 
 Edge cases: null text counts as empty; a null language is a language of its own; a language without
@@ -12,6 +15,7 @@ a list of common words is judged by characters alone. All built-in functions, no
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +36,11 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "rest")
 
 @dataclass(frozen=True)
 class DivergenceRule:
-    """Limits of the rule; distances lie between 0 and 1."""
+    """Limits of the rule; distances lie between 0 and 1, ``max_word_share`` is a share of the distance of a text without common words."""
 
     max_char_distance: float = 0.28
-    max_word_distance: float = 0.60
+    max_word_share: float = 0.50
+    noise: float = 1.3
     min_words: int = 50
     min_chars: int = 200
     common: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
@@ -116,6 +121,12 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
+def word_limit(none: Column, bins: Column, n_words: Column, rule: DivergenceRule) -> Column:
+    """The largest word distance of a text of ``n_words`` words, where a text without common words lies at ``none`` and ``bins`` common words occur."""
+    chance = rule.noise * bins / (8 * math.log(2) * F.greatest(n_words, F.lit(1)))
+    return F.least(F.sqrt(F.pow(rule.max_word_share * none, F.lit(2)) + chance), 0.97 * none)
+
+
 def judge(docs: DataFrame, rule: DivergenceRule = DivergenceRule(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per document the base counts, both distances (null where the length guard holds) and ``kept``."""
     spark = docs.sparkSession
@@ -137,11 +148,13 @@ def judge(docs: DataFrame, rule: DivergenceRule = DivergenceRule(), id_col: str
         F.array(*[F.sum(F.get("commons", F.lit(i))) for i in range(1 + max(map(len, rule.common.values()), default=0))]).alias("_ref_words"),
     )
     reference = reference.withColumn("ref_words", F.filter("_ref_words", lambda x: x.isNotNull())).drop("_ref_words").withColumnRenamed("lang", "ref_lang")
+    reference = reference.withColumn("_none", F.transform("ref_words", lambda x, i: (i == F.size("ref_words") - 1).cast("double")))
+    reference = reference.withColumn("ref_none", js_distance(F.col("_none"), F.col("ref_words"))).withColumn("ref_bins", F.size(F.filter("ref_words", lambda x: x > 0)) - 1).drop("_none")
     both = counted.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     long_enough = (F.col("n_words") >= rule.min_words) & (F.col("n_chars") >= rule.min_chars)
     both = both.withColumn("char_distance", F.when(long_enough, js_distance(F.col("chars"), F.col("ref_chars"))))
     both = both.withColumn("word_distance", F.when(long_enough & F.col("commons").isNotNull(), js_distance(F.col("commons"), F.col("ref_words"))))
-    near = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= rule.max_char_distance) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= rule.max_word_distance)
+    near = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= rule.max_char_distance) & F.coalesce(F.col("word_distance") <= word_limit(F.col("ref_none"), F.col("ref_bins"), F.col("n_words"), rule), F.lit(True))
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance"
     )

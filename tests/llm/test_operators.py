@@ -307,6 +307,20 @@ def test_rules_drop_only_the_strange(spark):
     assert not got.pop(100) and all(got.values())
 
 
+def test_rules_drop_wrong_languages_and_salad(spark):
+    r = random.Random(9)
+    made = lambda n: ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(n)]
+    rest = made(500)
+    text = lambda lang, n: " ".join(r.choice(rules.COMMON_WORDS[lang]) if lang and r.random() < 0.27 else r.choice(rest) for _ in range(n))
+    size = lambda: r.choice([60, 100, 300, 900])
+    clean = [(i, text(lang, size()), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 75)]
+    salad = [(1000 + i, text(None, size()), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 2)]
+    wrong = [(2000 + i, text(a, 300), b) for i, (a, b) in enumerate((a, b) for a in rules.COMMON_WORDS for b in rules.COMMON_WORDS if a != b)]
+    got = {x.doc_id: (x.kept, x.base_failed) for x in rules.judge(spark.createDataFrame(clean + salad + wrong, "doc_id long, text string, lang string")).collect()}
+    assert not any(base for _, base in got.values())
+    assert {i for i, (kept, _) in got.items() if kept} == {i for i, _, _ in clean}
+
+
 def test_token_rollup_is_idempotent(spark, tmp_path, odd):
     store = token_counts.TokenRollup(spark, str(tmp_path / "r"))
     make = lambda rows: spark.createDataFrame(rows, token_counts.CHANGES)
