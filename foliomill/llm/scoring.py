@@ -159,7 +159,8 @@ class Chunk:
         spread = np.where(first_count > hot, mixed(keys), mixed(keys >> np.uint64(32)))
         self.shard = (spread % np.uint64(shards)).astype(np.int64)
         self.first_count = np.where(first_count > hot, first_count, 0)
-        context = np.roll(self.at2, 1)
+        # the bigram before each token, known or not; the first token has none
+        context = self.context = np.roll(self.at2, 1)
         context[first] = -1
         both = np.flatnonzero((context >= 0) & (self.ids != NONE))
         self.at3 = np.full(len(self.ids), -1, np.int64)
@@ -262,10 +263,11 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         for s, i2, i3 in c.by_shard():
             two[i2], keep[i2], three[i3] = (expand(x) for x in got[s])
         p1 = (c.counts + 0.1) / (total + 0.1 * (distinct + 1))
-        here, before = np.maximum(c.at2, 0), np.maximum(np.roll(c.at2, 1), 0)
+        here, before = np.maximum(c.at2, 0), np.maximum(c.context, 0)
         share = lambda codes, at, i: LEVELS[np.where(at >= 0, codes[i], 0)] if len(codes) else np.zeros(len(at))
         p2 = share(two, c.at2, here) + prior / (c.before_counts + prior) * p1
-        left_over = share(keep, c.at3, before)
+        # a context leaves its weight to shorter ones whether or not the word is known
+        left_over = share(keep, c.context, before)
         p3 = share(three, c.at3, np.maximum(c.at3, 0)) + np.where(left_over > 0, left_over, 1.0) * p2
         starts = np.cumsum(c.lens) - c.lens
         add = lambda x: np.add.reduceat(x, starts)

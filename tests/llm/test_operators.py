@@ -126,6 +126,15 @@ def test_scores_equal_brute_force(spark, odd, monkeypatch, hot):
         assert abs(g[5] - w[5]) <= 0.06 * w[1]  # probabilities are quantised
 
 
+def test_unknown_words_after_frequent_bigrams(spark):
+    docs = [(i, "a b " * 200 + "c") for i in range(20)] + [(100, "a b new a b newer"), (101, "new"), (102, "a b"), (103, "b new newer a b newest a")]
+    held = [i >= 100 for i, _ in docs]
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in scoring.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    for (i, _), (n, known, _, _, want) in zip(docs, lm([t for _, t in docs], held), strict=True):
+        assert got[i][:2] == (n, known)
+        assert abs(got[i][2] - want) <= 0.06 * n
+
+
 def test_scores_of_no_rows_and_no_training(spark, none):
     assert scoring.score_texts(none, F.lit(False)).count() == 0
     got = scoring.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(True)).first()
