@@ -262,3 +262,10 @@ def test_catalog_files(spark):
     aliases = spark.createDataFrame([("Old Foo", "Foo")], "old string, new string")
     got = {r.font: (r.path, r.reason) for r in typography.catalog_file(fonts, catalog, aliases).collect()}
     assert got == {1: ("f-static", None), 2: ("f-var", None), 3: (None, "reserved_name"), 4: (None, "no_style"), 5: (None, "no_family")}
+
+
+def test_long_version_chains(spark):
+    chain = [(1, i, None if i == 0 else i - 1, f"v{i}") for i in range(100)]
+    side = [(1, 200, None, "a"), (1, 201, 200, ""), (2, 5, None, "b"), (2, 7, 5, "c"), (2, 9, None, "d")]
+    got = edits.latest_versions(spark.createDataFrame(chain + side, "doc_id long, entry long, replaces long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 99, "v99"), (2, 5, 7, "c"), (2, 9, 9, "d")]
