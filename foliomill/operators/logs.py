@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -81,19 +83,24 @@ def admit(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
     """
     span = int(window_s * 1_000_000)
 
-    def walk(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "request"])
-        times, out = deque(), []
-        for us in rows["us"]:
-            while times and times[0] <= us - span:
-                times.popleft()
-            ok = len(times) < limit
-            if ok:
-                times.append(us)
-            out.append(ok)
-        return rows.assign(admitted=out)
-
-    return requests.select("key", "request", "us").groupBy("key").applyInPandas(walk, "key long, request long, us long, admitted boolean")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, times = object(), deque()
+        for batch in batches:
+            out = []
+            for key, us in zip(batch.column("key").to_pylist(), batch.column("us").to_pylist(), strict=True):
+                if key != now:
+                    now, times = key, deque()
+                while times and times[0] <= us - span:
+                    times.popleft()
+                ok = len(times) < limit
+                if ok:
+                    times.append(us)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "admitted"])
+
+    # Streamed in order: only the times of one window are held, however long a key's log is.
+    r = requests.select(*[F.col(c).cast("long").alias(c) for c in ("key", "request", "us")])
+    return r.repartition("key").sortWithinPartitions("key", "us", "request").mapInArrow(walk, "key long, request long, us long, admitted boolean")
 
 
 @F.pandas_udf(StringType())

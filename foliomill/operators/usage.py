@@ -6,7 +6,9 @@ time are broken by event id or arrival, so every result is deterministic.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,20 +40,25 @@ def meter_browsers(opens: DataFrame, free: int) -> DataFrame:
     Whether a list has lapsed depends on what was admitted before, so a browser's opens are walked in order.
     """
 
-    def walk(key, log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(["us", "event_id"])
-        held, until, out = set(), None, []
-        for row in log.itertuples():
-            if until is not None and row.us >= until:
-                held = set()
-            ok = row.digest in held or len(held) < free
-            if ok and row.digest not in held:
-                held = held | {row.digest}
-                until = row.us + KEPT_S * 1_000_000
-            out.append(ok)
-        return log.assign(admitted=out)[["browser", "digest", "event_id", "us", "admitted"]]
-
-    return opens.select("browser", "digest", "event_id", "us").groupBy("browser").applyInPandas(walk, "browser long, digest string, event_id long, us long, admitted boolean")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, until = object(), set(), None
+        for batch in batches:
+            out = []
+            for browser, digest, us in zip(*(batch.column(c).to_pylist() for c in ("browser", "digest", "us")), strict=True):
+                if browser != now:
+                    now, held, until = browser, set(), None
+                if until is not None and us >= until:
+                    held = set()
+                ok = digest in held or len(held) < free
+                if ok and digest not in held:
+                    held.add(digest)
+                    until = us + KEPT_S * 1_000_000
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "admitted"])
+
+    # Streamed in order: only one list of free documents is held, however long a browser's log is.
+    o = opens.select(F.col("browser").cast("long").alias("browser"), F.col("digest").cast("string").alias("digest"), *[F.col(c).cast("long").alias(c) for c in ("event_id", "us")])
+    return o.repartition("browser").sortWithinPartitions("browser", "us", "event_id").mapInArrow(walk, "browser long, digest string, event_id long, us long, admitted boolean")
 
 
 def exempt_at(opens: DataFrame, accounts: DataFrame, paid: DataFrame) -> DataFrame:

@@ -269,3 +269,32 @@ def test_long_version_chains(spark):
     side = [(1, 200, None, "a"), (1, 201, 200, ""), (2, 5, None, "b"), (2, 7, 5, "c"), (2, 9, None, "d")]
     got = edits.latest_versions(spark.createDataFrame(chain + side, "doc_id long, entry long, replaces long, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, 0, 99, "v99"), (2, 5, 7, "c"), (2, 9, 9, "d")]
+
+
+def test_long_logs_are_streamed(spark):
+    r = random.Random(3)
+    log = [(k, i, r.randrange(200) * 10**5) for i, k in enumerate([None, 1, 1, 2**60 + 1] * 60)]
+    opens = [(k, f"d{r.randrange(9)}", i, r.randrange(40) * 40 * 86400 * 10**6) for i, k in enumerate([None, 1, 1, 2] * 60)]
+    want, free = [], []
+    for key in (None, 1, 2**60 + 1):
+        times = []
+        for _, i, us in sorted((x for x in log if x[0] == key), key=lambda x: (x[2], x[1])):
+            ok = len([t for t in times if t > us - 10**6]) < 2
+            times += [us] * ok
+            want.append((key, i, us, ok))
+    for key in (None, 1, 2):
+        held, until = set(), None
+        for _, d, i, us in sorted((x for x in opens if x[0] == key), key=lambda x: (x[3], x[2])):
+            held = set() if until is not None and us >= until else held
+            ok = d in held or len(held) < 3
+            until = us + 365 * 86400 * 10**6 if ok and d not in held else until
+            held |= {d} if ok else set()
+            free.append((key, d, i, us, ok))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        a = logs.admit(spark.createDataFrame(log, "key long, request long, us long"), 2, 1.0)
+        m = usage.meter_browsers(spark.createDataFrame(opens, "browser long, digest string, event_id long, us long"), 3)
+        assert {tuple(x) for x in a.collect()} == set(want) and {tuple(x) for x in m.collect()} == set(free)
+        assert not [1 for df in (a, m) if "FlatMapGroups" in df._jdf.queryExecution().toString()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
