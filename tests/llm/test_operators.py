@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -307,6 +308,77 @@ def test_rules_equal_brute_force(spark, odd, none):
     assert rules.judge(none).count() == 0
 
 
+def distances_brute(rows, rule):
+    """(kept, character distance, word distance) of rows (text, lang), by dictionaries."""
+
+    def classes(t):
+        out = dict.fromkeys(rules.CLASSES, 0)
+        for c in t:
+            if c in " \t\n\x0b\x0c\r":
+                k = "space"
+            elif unicodedata.category(c) == "Lu":
+                k = "upper"
+            elif c in "0123456789":
+                k = "digit"
+            elif c in ".,;:!?'\"()-":
+                k = "stop"
+            elif c in "#*$%&|<>":
+                k = "symbol"
+            elif ord(c) < 128 and not c.isalpha():
+                k = "sign"
+            else:
+                k = "lower" if unicodedata.category(c)[0] == "L" else "rest"
+            out[k] += 1
+        return list(out.values())
+
+    def commons(t, listed):
+        w = re.findall(SPACE, t)
+        forms = {f: f.lower().strip('.,;:!?"()') for f in rules.common_forms(rule.common)}
+        seen = Counter(forms[x] for x in w if x in forms and forms[x] in listed)
+        return [*(seen[x] for x in listed), len(w) - seen.total()]
+
+    def distance(a, b):
+        p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        half = lambda u, v: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(u, v) if x)
+        return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+    told = []
+    for t, lang in rows:
+        n, _, _, _, again = rules_brute(t)
+        told.append((lang, n, n < 10 or 100 * again > 20 * n, classes(t or ""), commons(t or "", rule.common[lang]) if lang in rule.common else None, len(t or "")))
+    total = lambda lang, k: [sum(x) for x in zip(*(d[k] for d in told if d[0] == lang and not d[2]))]
+    out = []
+    for lang, n, failed, chars, words_, size in told:
+        long = n >= rule.min_words and size >= rule.min_chars and total(lang, 3)
+        a = distance(chars, total(lang, 3)) if long else None
+        b = distance(words_, total(lang, 4)) if long and words_ else None
+        near = True
+        if b is not None:
+            ref = total(lang, 4)
+            none, bins = distance([0] * (len(ref) - 1) + [1], ref), sum(x > 0 for x in ref[:-1])
+            near = b <= min(math.sqrt((rule.max_word_share * none) ** 2 + rule.noise * bins / (8 * math.log(2) * n)), 0.97 * none)
+        out.append((not failed and near and (a is None or a <= rule.max_char_distance), a, b))
+    return out
+
+
+def test_distances_equal_brute_force(spark, odd):
+    r = random.Random(6)
+    made = lambda: "".join(r.choice("abcdeéüABÖ09.;-_/[]{}~^\\@#$µ“") for _ in range(r.randrange(1, 8)))
+    rows = []
+    for i in range(120):
+        lang = r.choice(["en", "de", "fr", None, "xx"])
+        listed = rules.COMMON_WORDS.get(lang, ["the"])
+        form = lambda w: r.choice([w, w.capitalize(), w.upper(), f'"{w}', f"({w}", f"{w},", f'{w}"'])
+        rows.append((i, " ".join(form(r.choice(listed)) if r.random() < r.choice([0.05, 0.3]) else made() for _ in range(r.randrange(5, 160))), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(odd.select("doc_id", "text", "lang").where("doc_id > 4 and doc_id not in (7, 9)"))
+    all_rows = docs.collect()
+    want = {x.doc_id: w for x, w in zip(all_rows, distances_brute([(x.text, x.lang) for x in all_rows], rules.DivergenceRule()), strict=True)}
+    got = {x.doc_id: (x.kept, x.char_distance, x.word_distance) for x in rules.judge(docs).collect()}
+    assert got.keys() == want.keys() and len({w[0] for w in want.values()}) == 2
+    for k, (kept, *far) in want.items():
+        assert got[k][0] == kept and all(a == b if b is None else a == pytest.approx(b, abs=1e-7) for a, b in zip(got[k][1:], far, strict=True)), (k, got[k], kept, far)
+
+
 def test_rules_drop_only_the_strange(spark):
     r = random.Random(8)
     listed = "the of and to cat runs house tree over under Then it, was. river stone bread light".split()
