@@ -7,9 +7,11 @@ leaves in round ceil(E / (s W)): the schedule has a closed form over running sum
 partitions carry deficits exactly without any worker seeing the queue before its own part. The
 segments in order of (round, source, queue position) form one stream, cut every W tokens.
 
-Shares default to the sources' shares of all tokens, so that all queues run dry together; given
-``shares`` set other targets, and what a source holds beyond them follows at the end. At any cut a
-source is at most about one segment off its target.
+Shares default to the sources' shares of all tokens, so that all queues run dry together. Given
+``shares`` set other targets, of all of which the sum is one window: while every such queue holds
+tokens, at any cut a source is at most about one segment off its target. Once one has run dry the
+others go on in their proportions; sources not named, or with a share of 0, follow when all named
+ones are done, in proportion to what they hold.
 
 Running sums go over buckets: per queue, then per block of rounds. Neither a hot source nor the
 whole stream meets in one task; only sums per block do.
@@ -21,6 +23,8 @@ window goes on in later windows; only the last window is shorter than W.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,48 +40,92 @@ from .common import Workspace, table
 from .wordcodes import slices, word_codes
 
 MARK = "\x01"
-QUEUE_BUCKETS = 256
+#: Segments of a queue that are added up in one bucket.
+BUCKET_SEGMENTS = 1 << 15
 ROUNDS_A_BLOCK = 1024
 NO_SOURCE = "\x00none"
 
 
+# Fixed value: the pre-tokenizer's pattern under which a run of letters is encoded apart from marks after it.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = '.,;:!?")'
+
+
+class Pieces:
+    """Ids of distinct strings, remembered: where each one's ids start in ``flat``, and how many they are."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def add(self, new: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
+
+    def places(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        index = np.fromiter((self.known[w] for w in asked), np.int64, len(asked))
+        return (np.cumsum(self.lens) - self.lens)[index], self.lens[index]
+
+
 class WordEncoder:
-    """Token ids of white-space separated words, by a tokenizer that drops white space; ``limit`` words are remembered."""
+    """Token ids of white-space separated words, by a tokenizer that drops white space; about ``limit`` words are remembered.
+
+    Where the tokenizer cuts between letters and the marks after them, both are encoded apart: there are fewer of them than of words.
+    Of these, runs of small letters a to z skip the tokenizer's normalisation, which leaves them as they are.
+    """
 
     def __init__(self, tokenizer: str, limit: int = 400_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_str(tokenizer), limit
-        self.known: dict[str, int] = {}
-        self.flat, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.words, self.pieces = Pieces(), Pieces()
         self.folds = self._ids("A Zz") == self._ids("a zz")
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {MARK} b") == self._ids("a") + mark + self._ids("b") else None
+        steps = (json.loads(tokenizer).get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.apart = len(steps) == 2 and steps[0].get("pattern", {}).get("Regex") == LETTER_RUNS and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.plain = Tokenizer.from_str(tokenizer)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, words: list[str], tokenizer: object) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, and how many each has."""
         if self.mark is None or any(MARK in w for w in words):
             each = [self._ids(w) for w in words]
             return np.fromiter((i for x in each for i in x), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
         joined = [f" {MARK} ".join(words[i : i + 256]) + f" {MARK}" for i in range(0, len(words), 256)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]) if joined else np.empty(0, np.uint32)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]) if joined else np.empty(0, np.uint32)
         at = np.flatnonzero(ids == self.mark)
         return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        if not self.apart:
+            return self._batch(words, self.tokenizer)
+        both = []
+        for w in words:
+            head = w.rstrip(MARKS)
+            # the last sign must stay a letter under the tokenizer's normalisation
+            cut = head and (head[-1].isalpha() if head[-1].isascii() else unicodedata.normalize("NFC", head[-1]).lower().isalpha())
+            both += (head, w[len(head) :]) if cut else (w, "")
+        new = [p for p in dict.fromkeys(both) if p not in self.pieces.known]
+        plain = [p.isascii() and p.isalpha() and p.islower() for p in new]
+        for held, tokenizer in ((True, self.plain), (False, self.tokenizer)):
+            mine = [p for p, is_plain in zip(new, plain, strict=True) if is_plain == held]
+            self.pieces.add(mine, *self._batch(mine, tokenizer))
+        starts, lens = self.pieces.places(both)
+        return self.pieces.flat[ranges(starts, lens)], lens[0::2] + lens[1::2]
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: flat ids, and where each word's ids start and how many they are."""
-        if len(self.known) > self.limit:
-            self.known, self.flat, self.lens = {}, np.empty(0, np.uint32), np.empty(0, np.int64)
-        new = [w for w in words if w not in self.known]
-        flat, lens = self.fresh(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
-        starts = np.cumsum(self.lens) - self.lens
-        index = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        return self.flat, starts[index], self.lens[index]
+        if len(self.words.known) > self.limit:
+            self.words, self.pieces = Pieces(), Pieces()
+        new = [w for w in words if w not in self.words.known]
+        self.words.add(new, *self.fresh(new))
+        return self.words.flat, *self.words.places(words)
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -100,7 +148,7 @@ def encode_texts(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.
     if encoder.folds and not pc.any(pc.match_substring(texts, "<|")).as_py():
         texts = pc.ascii_lower(texts)
     index, words, counts = word_codes(texts)
-    flat, starts, lens = encoder.encode(words.to_pylist())
+    flat, starts, lens = encoder.encode(words.to_numpy(zero_copy_only=False).tolist())
     ids = flat[ranges(starts[index], lens[index])]
     ends = np.concatenate([[0], np.cumsum(lens[index])])
     stops = np.concatenate([[0], np.cumsum(counts)])
@@ -147,27 +195,29 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, segment: int, spaced:
 
 
 def schedule(segments: DataFrame, window: int, shares: dict[str, float] | None = None) -> DataFrame:
-    """(uid, start, at): where in the packed stream each segment begins."""
-    meta = segments.select("uid", "start", "length", "source").withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(QUEUE_BUCKETS)))
+    """(uid, start, at): where in the packed stream each segment begins. ``shares`` are positive or 0."""
+    size = segments.agg(F.sum("length").alias("tokens"), F.count("*").alias("n")).first()
+    buckets = max(1, -(-size["n"] // BUCKET_SEGMENTS))
+    meta = segments.select("uid", "start", "length", "source").withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
     per_bucket = meta.groupBy("source", "bucket").agg(F.sum("length").alias("n"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     queue = Window.partitionBy("source")
     firsts = per_bucket.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("held", F.sum("n").over(queue)).drop("n")
-    total = segments.agg(F.sum("length")).first()[0] or 1
-    share = F.col("held") / F.lit(float(total))
-    if shares:
-        given = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v) / sum(shares.values())))])
-        share = F.coalesce(given[F.col("source")], share)
+    share, late = F.col("held") / F.lit(float(size["tokens"] or 1)), F.lit(0)
+    named = {k: float(v) / sum(shares.values()) for k, v in (shares or {}).items() if v > 0}
+    if named:
+        given = F.create_map(*[x for k, v in named.items() for x in (F.lit(k), F.lit(v))])
+        share, late = F.coalesce(F.try_element_at(given, F.col("source")), share), (~F.col("source").isin(list(named))).cast("int")
     inside = Window.partitionBy("source", "bucket").orderBy("uid", "start").rowsBetween(Window.unboundedPreceding, 0)
     queued = meta.withColumn("run", F.sum("length").over(inside)).join(firsts, ["source", "bucket"]).withColumn("end", F.col("first") + F.col("run"))
-    timed = queued.withColumn("round", F.ceil(F.col("end") / (share * window))).select(
-        "uid", "start", "length", "source", "end", "round", F.floor(F.col("round") / ROUNDS_A_BLOCK).alias("block")
+    timed = queued.withColumn("late", late).withColumn("round", F.ceil(F.col("end") / (share * window))).select(
+        "uid", "start", "length", "source", "end", "late", "round", F.floor(F.col("round") / ROUNDS_A_BLOCK).alias("block")
     )
     # One row per block of rounds: the only sums that meet in one task.
-    blocks = timed.groupBy("block").agg(F.sum("length").alias("n"))
-    blocks = blocks.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = Window.partitionBy("block").orderBy("round", "source", "end").rowsBetween(Window.unboundedPreceding, 0)
-    return timed.withColumn("run", F.sum("length").over(within)).join(blocks, "block").select("uid", "start", (F.col("first") + F.col("run") - F.col("length")).alias("at"))
+    blocks = timed.groupBy("late", "block").agg(F.sum("length").alias("n"))
+    blocks = blocks.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("late", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = Window.partitionBy("late", "block").orderBy("round", "source", "end").rowsBetween(Window.unboundedPreceding, 0)
+    return timed.withColumn("run", F.sum("length").over(within)).join(blocks, ["late", "block"]).select("uid", "start", (F.col("first") + F.col("run") - F.col("length")).alias("at"))
 
 
 def pack(

@@ -9,8 +9,10 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -451,6 +453,45 @@ def test_packing_keeps_the_mixture(spark):
     assert (np.abs(small - (big + small) * 0.25) <= 300).all()
 
 
+@pytest.mark.parametrize("shares", [None, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 3, "b": 1}, {"a": 0.5, "b": 0.5, "c": 0.0}, {"nobody": 1.0}, {"a": 0.0}])
+def test_schedule_equals_a_walked_round_robin(spark, monkeypatch, shares):
+    monkeypatch.setattr(packing, "BUCKET_SEGMENTS", 16)
+    monkeypatch.setattr(packing, "ROUNDS_A_BLOCK", 3)
+    r = random.Random(2)
+    rows = [(uid, 8 * k, r.choice([8, 8, 3]), source) for uid in range(90) for source in [r.choice("aaabcd")] for k in range(r.randrange(1, 4))]
+    at = {(x.uid, x.start): x.at for x in packing.schedule(spark.createDataFrame(rows, "uid long, start long, length int, source string"), 64, shares).collect()}
+    stream = sorted(rows, key=lambda x: at[x[:2]])
+    assert [at[x[:2]] for x in stream] == list(np.cumsum([0] + [x[2] for x in stream])[:-1])
+    queues, held = defaultdict(list), Counter()
+    for x in stream:
+        queues[x[3]].append(x)
+        held[x[3]] += x[2]
+    named = {k: Fraction(v) / sum(Fraction(x) for x in shares.values()) for k, v in (shares or {}).items() if v}
+    want = []
+    for group in ([s for s in queues if s in named], [s for s in queues if s not in named]):
+        deficit = dict.fromkeys(sorted(group), Fraction(0))
+        while any(queues[s] for s in group):
+            for s in deficit:
+                deficit[s] += 64 * named.get(s, Fraction(held[s], sum(held.values())))
+                while queues[s] and queues[s][0][2] <= deficit[s]:
+                    deficit[s] -= queues[s][0][2]
+                    want.append(queues[s].pop(0))
+    assert [x[3] for x in stream] == [x[3] for x in want] and stream == want
+
+
+def test_words_are_encoded_as_within_their_texts():
+    from tokenizers import Tokenizer
+
+    raw = packing.default_tokenizer()
+    t, encoder = Tokenizer.from_str(raw), packing.WordEncoder(raw, limit=300)
+    r = random.Random(3)
+    parts = ["haus", "Haus", "é", "e\u0301", "it's", "'s", "x.'s", "...", ".", '!")', "9", "12.5", "a.b,", "ß!", "ﬁn.", "\u0130.", "_", "#tag;", "ab\u0301.", "<|endoftext|>", "中文。", "\x01", "İ"]
+    for _ in range(30):
+        texts = [" ".join("".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(40)) for _ in range(5)]
+        ids, counts = packing.encode_texts(pa.array(texts), encoder)
+        assert np.split(ids, np.cumsum(counts))[:-1] and [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_whole_text_tokenizers(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
