@@ -1 +1 @@
-"""functions of foliomill."""
+"""Column functions that Spark has no built-in for."""
