@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace, shared_folder
+
+__all__ = ["SPACES", "Workspace", "crc_bucket", "shared_folder", "small_side", "table", "words_of"]
+
 #: A word is a run of anything but these six characters.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -21,42 +22,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one of this machine where it is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
-    if not base:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = given.get() if given.isDefined() else None
-    if not base:
-        base = tempfile.mkdtemp(prefix="foliomill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-class Workspace:
-    """Written intermediates of one job, in the shared folder.
-
-    A written table cuts lineage: a lost executor costs its running tasks, not the stages before.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def free(self, *names: str) -> None:
-        """Delete intermediates that no later step reads."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_bucket(key: Column, n: int) -> Column:
     """crc32 of a key as text, modulo n: the folds of the contracts. A null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .common import Workspace, small_side, table
 
 
@@ -42,11 +43,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def reaches(counts: Column, least: int) -> Column:
     """For each of ``counts`` (positive) the index at which the sum from it on reaches ``least``; the array's size or more if none does.
 

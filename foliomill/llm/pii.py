@@ -1,16 +1,17 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score.
 
-Five kinds: email, ip, card (Luhn), phone, iban (mod 97). Matches are leftmost and do not overlap
-within a kind; one that fails its validator is dropped and not retried shorter. Each span has a
-score: a prior by kind, raised where a word that speaks for the kind stands within
-``context_chars`` characters on either side, lowered by a word that speaks against it. A span with
-a checksum or a fixed form (the first four kinds) is always kept; an IBAN must also reach
-``min_score``.
+Six kinds: email, ip, card (Luhn), phone, iban (mod 97) and secret (a run of letters and digits in
+hexadecimal or base 64). Matches are leftmost and do not overlap within a kind; one that fails its
+validator is dropped and not retried shorter. Each span has a score: a prior by kind, raised where
+a word that speaks for the kind stands within ``context_chars`` characters on either side, lowered
+by a word that speaks against it; context does not reach past the next match of the kind. A span
+with a checksum or a fixed form (the first four kinds) is always kept; an IBAN or a secret must
+also reach ``min_score``, which a secret does only by its context.
 
 Positions count code points from 0, end exclusive. Built-in functions only: ``split`` gives the
-text between matches, ``regexp_extract_all`` the matches, running lengths the positions. Patterns
-are possessive and start only where a run starts, so long runs cost linear time. A text without
-the characters a kind needs is not searched for it.
+text between matches, ``regexp_extract_all`` the matches, running sums of lengths the positions.
+Patterns are possessive and start only where a run starts, so long runs cost linear time, as do
+many matches. A text without the characters a kind needs is not searched for it.
 
 Edge cases: null text counts as empty; repeated rows each give a row; no span gives the hash of
 the empty string and an empty ``spans``.
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import matches_of
 from .common import table
 
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -42,12 +44,14 @@ class Kind:
 
 
 # Fixed patterns; where a run may only be entered at its start, or where the last match ended, the match is the same and the cost linear.
+# A card is a whole run of digits with at most one space or hyphen between two; runs of other lengths than 14 to 19 would be dropped anyway.
 KINDS = (
     Kind("email", r"@", rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"e-?mail|contact|mailto|write|correo|courriel", r"example|noreply"),
     Kind("ip", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.7, r"\bip\b|address|host|server|login", r"version|section|release|chapter"),
-    Kind("card", r"[0-9](?:[ -]?[0-9]){13}", r"[0-9](?:[ -]?[0-9])++", 0.7, r"card|visa|master|credit|carte|karte|tarjeta", r"order|tracking|isbn|serial"),
+    Kind("card", r"[0-9](?:[ -]?[0-9]){13}", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", 0.7, r"card|visa|master|credit|carte|karte|tarjeta", r"order|tracking|isbn|serial"),
     Kind("phone", r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]", 0.7, r"tel|phone|call|mobile|fax|anruf", r"order|id"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}[ ]?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.6, r"iban|bank|konto|account|compte|cuenta", r"serial|licen[sc]e|model", always=False),
+    Kind("secret", r"[A-Za-z0-9+/_-]{24}", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,200}+(?![A-Za-z0-9+/_-])", 0.4, r"token|secret|password|passwd|api.?key|access.?key|credential", r"sha-?[0-9]+|checksum|digest|commit", always=False),
 )
 
 
@@ -79,29 +83,17 @@ def valid(kind: str, match: Column) -> Column:
     if kind == "iban":
         plain = F.translate(match, " ", "")
         return F.length(plain).between(15, 34) & mod97(plain)
+    if kind == "secret":
+        return F.length(digits).between(4, F.length(match) - 4)
     return F.lit(True)
 
 
 def find_kind(kind: Kind, order: int, text: Column, context_chars: int, min_score: float) -> Column:
     """Array of spans of one kind: start, end, order, kind, match, score."""
-    gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
-    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-    # one pass over (gap, match) pairs; matches are few, so appending to the array is cheap
-    placed = F.aggregate(
-        F.transform(hits, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("m"))),
-        none,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    confirmed = F.filter(placed, lambda x: valid(kind.name, x["m"]))
+    confirmed = F.filter(matches_of(text, kind.pattern, kind.needs), lambda x: valid(kind.name, x["m"]))
 
     def scored(x: Column) -> Column:
-        begin = F.greatest(x["s"] - context_chars, F.lit(0))
-        near = F.lower(F.concat(F.substr(text, begin + 1, x["s"] - begin), F.lit(" "), F.substr(text, x["e"] + 1, F.lit(context_chars))))
+        near = F.lower(F.concat_ws(" ", F.right(x["left"], F.lit(context_chars)), F.left(x["right"], F.lit(context_chars))))
         score = F.lit(kind.prior) + F.when(near.rlike(kind.speaks_for), 0.3).otherwise(0.0)
         if kind.speaks_against:
             score = score - F.when(near.rlike(kind.speaks_against), 0.3).otherwise(0.0)
@@ -113,7 +105,7 @@ def find_kind(kind: Kind, order: int, text: Column, context_chars: int, min_scor
     if not kind.always:
         spans = F.filter(spans, lambda x: x["score"] >= min_score)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,match:string,score:double>>")
-    return F.when(text.rlike(kind.needs), spans).otherwise(empty)
+    return F.coalesce(spans, empty)
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", context_chars: int = 40, min_score: float = 0.6) -> DataFrame:
@@ -134,4 +126,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["rank"] < 4)
-    return found.select("doc_id", *[of(k.name) for k in KINDS[:4]], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), of("iban"))
+    scores = F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores")
+    return found.select(
+        "doc_id", *[of(k.name) for k in KINDS[:4]], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *[of(k.name) for k in KINDS[4:]], F.size("spans").cast("long").alias("n_spans"), scores
+    )

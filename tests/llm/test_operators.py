@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -608,6 +609,31 @@ def test_personal_data_equals_brute_force(spark, odd, none):
     assert pii.find_spans(odd).count() == odd.count() and pii.find_spans(none).count() == 0
 
 
+def test_many_numbers_cost_linear_time(spark):
+    numbers = " ".join(str(k) for k in range(200_000))
+    cards = " x ".join("4111 1111 1111 1111" for _ in range(10_000))
+    docs = spark.createDataFrame([(1, numbers + " +1 (743) 555-3824"), (2, cards), (3, " ".join("1.2.3.4" for _ in range(30_000)))], "doc_id long, text string")
+    began = time.monotonic()
+    got = {x.doc_id: [(s.kind, s.start) for s in x.spans] for x in pii.find_spans(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1][-1] == ("phone", len(numbers) + 1) and ("card", 22 * 9_999) in got[2] and len(got[2]) == 10_000
+    assert got[3] == [("ip", 8 * k) for k in range(30_000)]
+
+
+def test_runs_of_digits_are_cards_only_whole(spark):
+    r = random.Random(7)
+    rows = [(i, "".join(r.choice(["4", "11", " ", "-", "  ", "x", "4111111111111111", "411111111111111"]) for _ in range(r.randrange(1, 30)))) for i in range(400)]
+    got = {x.doc_id: x.s for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written(F.filter("spans", lambda x: x["rank"] < 4)).alias("s")).collect()}
+    assert got == {i: pii_brute(t) for i, t in rows}
+
+
+def test_secrets_need_context(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{key}"'), (2, key), (3, f"commit {key}"), (4, f"password {key}{key}" + "a1" * 100), (5, "secret " + "a" * 40)]
+    got = {x.doc_id: [(s.kind, s.score) for s in x.spans] for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("secret", 0.7)], 2: [], 3: [], 4: [], 5: []}
+
+
 def test_iban_needs_its_checksum_and_context(spark):
     rows = [(1, "my bank account GB82 WEST 1234 5698 7654 32 now"), (2, "account GB82WEST12345698765433"), (3, "serial GB82WEST12345698765432"), (4, "GB82WEST12345698765432")]
     got = {x.doc_id: [(s.kind, s.match, s.score) for s in x.spans if s.kind == "iban"] for x in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
