@@ -4,6 +4,10 @@ Rows of equal text are one atomic group and never part. Groups stand in the orde
 SHA-256, so a row knows its place without a join, and a shard is a range of digests. The smallest
 capacity for which a greedy walk needs no more than ``shards`` shards is found by binary search.
 
+Under that capacity the cuts themselves follow the mean: each shard closes at the known group end
+nearest to what is left for it, groups larger than that aside, as long as the rest still fits. So
+sizes are near equal, and all shards are used where there are groups enough.
+
 The walk never sees the groups themselves: the driver holds at most ``max_cells`` digest ranges
 with their total bytes. The search brackets the capacity from both sides (cells cut freely, cells
 kept whole); only cells in which a cut can fall are counted finer, in another distributed pass,
@@ -15,10 +19,11 @@ repeated rows each get a slot; texts whose first 60 digest bits agree are one gr
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +31,10 @@ from pyspark.sql.window import Window
 from .common import Workspace, table
 
 BITS = 60
-#: Sub-buckets of a shard in which slots are numbered, so that a hot shard is no single task.
-SLOT_BUCKETS = 256
+#: Rows of a shard, on average, that are numbered in one task; and the least number of such buckets a shard, so that a hot shard is no single task.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 16, 32
+#: Rows of counts that may be broadcast, some 30 MB; more are shuffled.
+SMALL = 1_000_000
 
 
 def place(text: Column) -> Column:
@@ -87,6 +94,40 @@ def least(ends: list[int], shards: int, inside: list[bool] | None = None) -> int
     return low
 
 
+def level(sizes: np.ndarray, shards: int) -> float:
+    """The mean of what ``shards`` shards get, where sizes above it have a shard of their own."""
+    mean = sizes.sum() / shards
+    while True:
+        large = sizes > mean
+        n = int(large.sum())
+        new = (sizes.sum() - sizes[large].sum()) / (shards - n) if n < shards else mean
+        if new >= mean:
+            return mean
+        mean = new
+
+
+def balanced(ends: list[int], capacity: int, shards: int) -> list[int]:
+    """Where, in bytes, shards close that follow the mean; the walk must be able to do with ``capacity``. Only cell ends are used."""
+    low = [ends[-1]]  # from where on, at the least, the last shards can hold the rest
+    for _ in range(shards):
+        i = bisect_left(ends, low[-1] - capacity)
+        low.append(0 if low[-1] <= capacity else ends[i])
+    sizes, at, closed = np.diff(ends, prepend=0), 0, []
+    for left in range(shards, 1, -1):
+        first = bisect_right(ends, at)  # the shard's first cell
+        if first >= len(ends):
+            break
+        to = at + level(sizes[first:], left)
+        i = bisect_left(ends, to)
+        i = i - 1 if i >= len(ends) or (i > first and to - ends[i - 1] <= ends[i] - to) else i
+        i = min(i, len(ends) - left)  # a cell at least for each later shard, if there are so many
+        i = max(i, first, bisect_left(ends, low[left - 1]))
+        i = min(i, bisect_right(ends, at + capacity) - 1)
+        at = ends[i]
+        closed.append(at)
+    return closed if closed and closed[-1] == ends[-1] else [*closed, ends[-1]]
+
+
 def minimax_cuts(rows: DataFrame, shards: int, max_cells: int = 1 << 16) -> tuple[int, list[int]]:
     """The smallest capacity over the groups of ``rows`` (``place``, ``size``), and the places at which shards 1, 2, ... begin.
 
@@ -108,7 +149,7 @@ def minimax_cuts(rows: DataFrame, shards: int, max_cells: int = 1 << 16) -> tupl
             if first >= ends[-1]:
                 break
         if not wanted:
-            closed = walk(ends, high, shards)
+            closed = balanced(ends, high, shards)
             return high, [cells[bisect_right(ends, to)].low for to in closed[:-1]]
         step = max(1, (max_cells // len(wanted)).bit_length() - 1)
         finer = []
@@ -139,14 +180,14 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("place") >= F.lit(cut)).cast("int")
-    out = rows.withColumn("shard", shard.cast("int")).withColumn("bucket", F.pmod(F.xxhash64(id_col, "place"), F.lit(SLOT_BUCKETS)).cast("int"))
+    buckets = max(LEAST_BUCKETS, -(-rows.count() // (shards * BUCKET_ROWS)))
+    out = rows.withColumn("shard", shard.cast("int")).withColumn("bucket", F.pmod(F.xxhash64(id_col, "place"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = out.groupBy("shard", "bucket").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("shard", "bucket").orderBy(id_col, "place")
-    # At most shards * SLOT_BUCKETS rows, whatever the input: safe to broadcast.
     return (
         out.withColumn("k", F.row_number().over(inside))
-        .join(F.broadcast(firsts), ["shard", "bucket"])
+        .join(F.broadcast(firsts) if shards * buckets <= SMALL else firsts, ["shard", "bucket"])
         .select(id_col, "size", "text_crc32", "shard", (F.col("first") + F.col("k") - 1).cast("long").alias("slot"))
     )
 

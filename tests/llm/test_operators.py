@@ -185,6 +185,23 @@ def test_shards_are_minimax(spark, cells):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def test_shards_follow_the_mean():
+    r = random.Random(11)
+    for _ in range(300):
+        sizes = [r.choice([1, 5, 17, 40, r.choice([40, 900])]) for _ in range(r.randrange(1, 120))]
+        ends, shards = list(np.cumsum(sizes).tolist()), r.randrange(1, 15)
+        capacity = sharding.least(ends, shards)
+        closed = sharding.balanced(ends, capacity, shards)
+        got = np.diff(closed, prepend=0)
+        assert closed[-1] == ends[-1] and set(closed) <= set(ends) and got.min() > 0
+        assert got.max() <= capacity and len(got) == min(shards, len(sizes))
+    even = np.diff(sharding.balanced(list(range(10, 10_001, 10)), 260, 40), prepend=0)
+    assert even.min() >= 240 and even.max() <= 260
+    hot = sharding.balanced([*range(10, 3001, 10), 63_000, *range(63_010, 66_001, 10)], 60_000, 40)
+    others = sorted(np.diff(hot, prepend=0).tolist())[:-1]
+    assert len(others) == 39 and others[0] >= 100 and others[-1] <= 170
+
+
 def test_shards_of_odd_rows(odd, none):
     got = sharding.shard_documents(odd, shards=3).collect()
     assert len(got) == odd.count()
