@@ -24,7 +24,6 @@ window goes on in later windows; only the last window is shorter than W.
 from __future__ import annotations
 
 import json
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -49,36 +48,22 @@ NO_SOURCE = "\x00none"
 # Fixed value: the pre-tokenizer's pattern under which a run of letters is encoded apart from marks after it.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = '.,;:!?")'
-
-
-class Pieces:
-    """Ids of distinct strings, remembered: where each one's ids start in ``flat``, and how many they are."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def add(self, new: list[str], flat: np.ndarray, lens: np.ndarray) -> None:
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
-
-    def places(self, asked: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        index = np.fromiter((self.known[w] for w in asked), np.int64, len(asked))
-        return (np.cumsum(self.lens) - self.lens)[index], self.lens[index]
+#: Small letters that no normalisation changes.
+LETTERS = "a-zß-öø-ÿ"
 
 
 class WordEncoder:
-    """Token ids of white-space separated words, by a tokenizer that drops white space; about ``limit`` words are remembered.
+    """Token ids of white-space separated words, by a tokenizer that drops white space; about ``limit`` strings are remembered.
 
     Where the tokenizer cuts between letters and the marks after them, both are encoded apart: there are fewer of them than of words.
-    Of these, runs of small letters a to z skip the tokenizer's normalisation, which leaves them as they are.
+    Of these, runs of small letters skip the tokenizer's normalisation, which leaves them as they are.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 400_000):
+    def __init__(self, tokenizer: str, limit: int = 800_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_str(tokenizer), limit
-        self.words, self.pieces = Pieces(), Pieces()
+        self._forget()
         self.folds = self._ids("A Zz") == self._ids("a zz")
         mark = self._ids(MARK)
         self.mark = mark[0] if len(mark) == 1 and self._ids(f"a {MARK} b") == self._ids("a") + mark + self._ids("b") else None
@@ -88,6 +73,10 @@ class WordEncoder:
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64)
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -101,31 +90,51 @@ class WordEncoder:
         at = np.flatnonzero(ids == self.mark)
         return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
-    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after another, and how many each has."""
-        if not self.apart:
-            return self._batch(words, self.tokenizer)
-        both = []
-        for w in words:
-            head = w.rstrip(MARKS)
-            # the last sign must stay a letter under the tokenizer's normalisation
-            cut = head and (head[-1].isalpha() if head[-1].isascii() else unicodedata.normalize("NFC", head[-1]).lower().isalpha())
-            both += (head, w[len(head) :]) if cut else (w, "")
-        new = [p for p in dict.fromkeys(both) if p not in self.pieces.known]
-        plain = [p.isascii() and p.isalpha() and p.islower() for p in new]
+    def _learn(self, strings: pa.Array) -> None:
+        """Remember the ids of distinct strings."""
+        if len(self.known) > self.limit:
+            self._forget()
+        asked = strings.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in asked if w not in self.known]
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), f"^[{LETTERS}]+$").to_pylist() if self.apart else [False] * len(new)
         for held, tokenizer in ((True, self.plain), (False, self.tokenizer)):
-            mine = [p for p, is_plain in zip(new, plain, strict=True) if is_plain == held]
-            self.pieces.add(mine, *self._batch(mine, tokenizer))
-        starts, lens = self.pieces.places(both)
-        return self.pieces.flat[ranges(starts, lens)], lens[0::2] + lens[1::2]
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            mine = [w for w, is_plain in zip(new, plain, strict=True) if is_plain == held]
+            flat, lens = self._batch(mine, tokenizer)
+            self.known.update(zip(mine, range(len(self.known), len(self.known) + len(mine)), strict=True))
+            self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
+        index = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+        self.place = (np.cumsum(self.lens) - self.lens)[index], self.lens[index]
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: flat ids, and where each word's ids start and how many they are."""
-        if len(self.words.known) > self.limit:
-            self.words, self.pieces = Pieces(), Pieces()
-        new = [w for w in words if w not in self.words.known]
-        self.words.add(new, *self.fresh(new))
-        return self.words.flat, *self.words.places(words)
+        if not self.apart:
+            self._learn(words)
+            return self.flat, *self.place
+        heads = pc.utf8_rtrim(words, MARKS)
+        # a mark begins a token of its own only after a sign that stays a letter
+        cut = pc.match_substring_regex(heads, f"[{LETTERS}]$")
+        heads = pc.if_else(cut, heads, words)
+        tails = pc.if_else(cut, pc.replace_substring_regex(words, f"^(?s:.)*[^{MARKS}]", ""), "")
+        both = pa.concat_arrays([heads, tails]).dictionary_encode()
+        self._learn(both.dictionary)
+        at = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
+        starts, lens = (x[at] for x in self.place)
+        own = lens[0::2] + lens[1::2]
+        return self.flat[ranges(starts, lens)], np.cumsum(own) - own, own
+
+
+class ShippedEncoder:
+    """A tokenizer's text that travels to workers; its encoder is built there once and serves all tasks of a worker process."""
+
+    def __init__(self, tokenizer: str):
+        self.tokenizer, self.built = tokenizer, None
+
+    def __getstate__(self) -> dict:
+        return {"tokenizer": self.tokenizer, "built": None}
+
+    def encoder(self) -> WordEncoder:
+        self.built = self.built or WordEncoder(self.tokenizer)
+        return self.built
 
 
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -148,7 +157,7 @@ def encode_texts(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.
     if encoder.folds and not pc.any(pc.match_substring(texts, "<|")).as_py():
         texts = pc.ascii_lower(texts)
     index, words, counts = word_codes(texts)
-    flat, starts, lens = encoder.encode(words.to_numpy(zero_copy_only=False).tolist())
+    flat, starts, lens = encoder.encode(words)
     ids = flat[ranges(starts[index], lens[index])]
     ends = np.concatenate([[0], np.cumsum(lens[index])])
     stops = np.concatenate([[0], np.cumsum(counts)])
@@ -157,14 +166,14 @@ def encode_texts(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, segment: int, spaced: bool, batch_bytes: int) -> DataFrame:
     """Segments (uid, doc_id, source, start, length, doc_tokens, ids) of at most ``segment`` ids."""
-    shipped = docs.sparkSession.sparkContext.broadcast(tokenizer)  # a vocabulary file of fixed size
+    shipped = docs.sparkSession.sparkContext.broadcast(ShippedEncoder(tokenizer))  # a vocabulary file of fixed size
     schema = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, start long, length int, doc_tokens long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(shipped.value)
+        encoder = shipped.value.encoder()
         wide = encoder.tokenizer.get_vocab_size() > 65536 or end_id >= 65536
         kind = np.uint32 if wide else np.uint16
         uid = TaskContext.get().partitionId() << 36

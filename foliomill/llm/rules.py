@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, words_of
+from .common import Workspace, small_side, table, words_of
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -36,6 +36,9 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "sign", "rest")
 #: What most of a text is; classes are counted in what is left without it.
 PLAIN = r"[a-z\x20\x09-\x0D]+"
 
+#: Languages whose references may be broadcast, a few kB each; more are shuffled.
+SMALL = 10_000
+
 
 @dataclass(frozen=True)
 class DivergenceRule:
@@ -176,7 +179,8 @@ def judge(docs: DataFrame, rule: DivergenceRule = DivergenceRule(), id_col: str
     base = base.withColumn("chars", char_histogram(F.col("n_chars"), F.col("_rest"), F.col("word_chars"), F.col("n_symbols")))
     counted = work.write(base.drop("text", "_text", "_words", "_rest"), "counted")
 
-    both = counted.join(references(counted), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    known = small_side(work.write(references(counted), "references"), SMALL)
+    both = counted.join(known, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     long_enough = (F.col("n_words") >= rule.min_words) & (F.col("n_chars") >= rule.min_chars)
     both = both.withColumn("char_distance", F.when(long_enough, js_distance(F.col("chars"), F.col("ref_chars"))))
     both = both.withColumn("word_distance", F.when(long_enough, sparse_js_distance(F.col("commons"), F.col("n_words"), F.col("ref_words"))))
