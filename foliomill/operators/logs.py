@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import ipaddress
 from collections import deque
 from collections.abc import Iterator
@@ -130,14 +131,38 @@ def request_rate(requests: DataFrame, window_s: int) -> DataFrame:
 
 
 def concurrency(jobs: DataFrame, at_work: int, waiting: int) -> DataFrame:
-    """Per key of jobs (key, started, ended): jobs, the most at once, and how many starts found more than ``at_work`` + ``waiting`` others.
+    """Per key of jobs (key, started, ended): jobs, the most in line at once, and how many were refused because ``at_work`` + ``waiting`` were in line.
 
-    Ends come before starts at the same time.
+    A refused job never joins the line, so each answer depends on those before: a key's jobs are walked in order of their start (then
+    end), streamed, and only the ends of those in line are held. Ends come before starts at the same time.
     """
-    moves = jobs.select("key", F.explode(F.array(F.struct(F.col("started").alias("at"), F.lit(1).alias("d")), F.struct(F.col("ended").alias("at"), F.lit(-1).alias("d")))).alias("x")).select("key", "x.*")
-    w = Window.partitionBy("key").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0)
-    live = moves.withColumn("n", F.sum("d").over(w))
-    return live.groupBy("key").agg(F.count_if(F.col("d") == 1).alias("jobs"), F.max("n").alias("peak"), F.count_if((F.col("d") == 1) & (F.col("n") > at_work + waiting)).alias("over"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, told = object(), [], [0, 0, 0]
+        for batch in batches:
+            done = []
+            for key, started, ended in zip(*(batch.column(c).to_pylist() for c in ("key", "started", "ended")), strict=True):
+                if key != now:
+                    if told[0]:
+                        done.append((now, *told))
+                    now, line, told = key, [], [0, 0, 0]
+                while line and line[0] <= started:
+                    heapq.heappop(line)
+                told[0] += 1
+                if len(line) < at_work + waiting:
+                    heapq.heappush(line, ended)
+                    told[1] = max(told[1], len(line))
+                else:
+                    told[2] += 1
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema)
+        if told[0]:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (now, *told), strict=True))], schema)
+
+    names = ["key", "jobs", "peak", "over"]
+    schema = pa.schema([(n, pa.int64()) for n in names])
+    j = jobs.select(*[F.col(c).cast("long").alias(c) for c in ("key", "started", "ended")])
+    return j.repartition("key").sortWithinPartitions("key", "started", "ended").mapInArrow(walk, "key long, jobs long, peak long, over long")
 
 
 def lifetimes(touches: DataFrame, idle_s: int = 3600) -> DataFrame:

@@ -128,8 +128,8 @@ def pool_letters(copies: DataFrame, widths: DataFrame, p: Params = DEFAULTS) ->
 
 # Weight words in the order they are looked for.
 WEIGHTS = [
-    ("extralight", 200), ("ultralight", 200), ("extrabold", 800), ("ultrabold", 800), ("semibold", 600), ("demibold", 600), ("hairline", 100), ("thin", 100), ("light", 300), ("book", 400),
-    ("regular", 400), ("normal", 400), ("roman", 400), ("medium", 500), ("demi", 600), ("heavy", 900), ("black", 900), ("bold", 700), ("extra", 800), ("ultra", 800),
+    ("extralight", 200), ("ultralight", 200), ("extlt", 200), ("semilight", 350), ("demilight", 350), ("semibold", 600), ("demibold", 600), ("smbld", 600), ("extrabold", 800), ("ultrabold", 800),
+    ("hairline", 100), ("thin", 100), ("light", 300), ("medium", 500), ("medm", 500), ("bold", 700), ("black", 900), ("heavy", 900), ("retina", 450), ("text", 450),
 ]
 
 

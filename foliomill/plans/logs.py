@@ -82,7 +82,14 @@ def cold_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.cold_tasks(tasks).select("worker", "task", "cold")
 
 
-@query("admitted_requests")
+@query(
+    "admitted_requests",
+    f"""WITH RECURSIVE {m.REQUESTS}, j AS (SELECT key, request, us, row_number() OVER (PARTITION BY key ORDER BY us, request) AS n FROM requests),
+w AS (SELECT key, 0::BIGINT AS n, NULL::BIGINT AS request, NULL::BIGINT AS us, []::BIGINT[] AS times, false AS admitted FROM (SELECT DISTINCT key FROM j)
+ UNION ALL SELECT j.key, j.n, j.request, j.us, CASE WHEN len(list_filter(w.times, lambda x: x > j.us - 21600000000)) < 3 THEN list_append(list_filter(w.times, lambda x: x > j.us - 21600000000), j.us) ELSE w.times END,
+  len(list_filter(w.times, lambda x: x > j.us - 21600000000)) < 3 FROM w JOIN j ON j.key = w.key AND j.n = w.n + 1)
+SELECT key, request, us, admitted FROM w WHERE n > 0""",
+)
 def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.admit(requests_of(spark, sf_dir), 3, 6 * 3600)
 
@@ -94,8 +101,12 @@ def request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "concurrency",
-    f"""WITH {m.REQUESTS}, mv AS (SELECT key, us AS t0, 1 AS d FROM requests UNION ALL SELECT key, us + ms * 3600000000, -1 FROM requests), l AS (SELECT *, sum(d) OVER (PARTITION BY key ORDER BY t0, d ROWS UNBOUNDED PRECEDING) AS n FROM mv)
-SELECT key, count(*) FILTER (d = 1)::BIGINT AS jobs, max(n)::BIGINT AS peak, count(*) FILTER (d = 1 AND n > 6)::BIGINT AS over FROM l GROUP BY key""",
+    f"""WITH RECURSIVE {m.REQUESTS}, j AS (SELECT key, us AS s, us + ms * 3600000000 AS e, row_number() OVER (PARTITION BY key ORDER BY us, us + ms * 3600000000) AS n FROM requests),
+w AS (SELECT key, 0::BIGINT AS n, []::BIGINT[] AS line, 0::BIGINT AS peak, 0::BIGINT AS over FROM (SELECT DISTINCT key FROM j)
+ UNION ALL SELECT j.key, j.n, CASE WHEN len(list_filter(w.line, lambda x: x > j.s)) < 6 THEN list_append(list_filter(w.line, lambda x: x > j.s), j.e) ELSE list_filter(w.line, lambda x: x > j.s) END,
+  CASE WHEN len(list_filter(w.line, lambda x: x > j.s)) < 6 THEN greatest(w.peak, len(list_filter(w.line, lambda x: x > j.s)) + 1) ELSE w.peak END, w.over + CASE WHEN len(list_filter(w.line, lambda x: x > j.s)) < 6 THEN 0 ELSE 1 END
+  FROM w JOIN j ON j.key = w.key AND j.n = w.n + 1)
+SELECT key, max(n) AS jobs, max(peak) AS peak, max(over) AS over FROM w GROUP BY key""",
 )
 def concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = requests_of(spark, sf_dir).select("key", F.col("us").alias("started"), (F.col("us") + F.col("ms") * 3_600_000_000).alias("ended"))

@@ -58,6 +58,16 @@ MAIL = EVENTS + r""",
 mail AS (SELECT CASE WHEN event_type = 'signup' THEN 'invite' WHEN value > 20 THEN 'hard_bounce' ELSE 'other' END AS event, 'u' || user_id || '@mail.example' AS email, us, event_id FROM ev WHERE event_type IN ('error', 'signup'))
 """
 
+INVOICES = EVENTS + r""",
+i0 AS (SELECT *, event_id % 4 AS style, floor(value)::BIGINT::VARCHAR || '.' || lpad((k % 100)::VARCHAR, 2, '0') AS money, lpad(k::VARCHAR, 3, '0') AS mills FROM ev),
+inv AS (SELECT *, event_id AS doc_id, 's' || (user_id % 3) AS source,
+  CASE style WHEN 0 THEN strftime(ts, '%d/%m/%Y') WHEN 1 THEN strftime(ts, '%Y-%m-%d') WHEN 2 THEN strftime(ts, '%m/%d/%Y') ELSE strftime(ts, '%-d %B %Y') END AS day,
+  CASE style WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'KWD' END AS currency,
+  CASE style WHEN 0 THEN '$' || money WHEN 1 THEN replace(money, '.', ',') || ' €' WHEN 2 THEN '(£' || money || ')' ELSE 'KWD 1.' || mills END AS paid,
+  CASE style WHEN 2 THEN -money::DOUBLE WHEN 3 THEN ('1.' || mills)::DOUBLE ELSE money::DOUBLE END AS amount FROM i0),
+inv_dates AS (SELECT doc_id, source, day AS written, ts::DATE AS date FROM inv WHERE style < 3 UNION ALL SELECT doc_id, source, CASE style WHEN 0 THEN '25/12/2024' ELSE '12/25/2024' END, DATE '2024-12-25' FROM inv WHERE style IN (0, 2))
+"""
+
 HIDDEN = r"""
 copies AS (SELECT page_id AS doc_id, 'title' AS place, unnest(regexp_extract_all(html, '<title>([^<]*)</title>', 1)) AS text FROM pages
   UNION ALL SELECT page_id, 'metadata', unnest(regexp_extract_all(html, '<meta ([^>]*)>', 1)) FROM pages

@@ -11,10 +11,13 @@ from . import model_sql as m
 from .registry import query
 from .spans import spans_of
 
-ASKED = [op.Query("the"), op.Query("THE ", match_case=True), op.Query("en", whole_words=True)]
-FOUND = f"""{m.SPANS}, q(query, find) AS (VALUES (0, 'the'), (1, 'THE ')),
-f0 AS (SELECT s.*, q.query, q.find, CASE WHEN q.query = 0 THEN lower(s.text) ELSE s.text END AS seen FROM spans s, q),
-found AS (SELECT doc_id, page, ordinal, text, query, find, (length(seen) - length(replace(seen, find, ''))) // length(find) AS n, strpos(seen, find) - 1 AS first FROM f0 WHERE contains(seen, find))"""
+ASKED = [op.Query("the"), op.Query("The", match_case=True), op.Query("en", whole_words=True)]
+WORDS = "[\\p{L}\\p{N}\\p{M}_]"
+FOUND = f"""{m.SPANS}, q(query, find) AS (VALUES (0, 'the'), (1, 'The'), (2, 'en')),
+f0 AS (SELECT s.*, q.query, q.find, CASE WHEN q.query = 1 THEN s.text ELSE lower(s.text) END AS seen FROM spans s, q),
+f1 AS (SELECT *, CASE WHEN query = 2 THEN len(list_filter(regexp_extract_all(seen, '{WORDS}+'), lambda w: w = find)) ELSE (length(seen) - length(replace(seen, find, ''))) // length(find) END AS n,
+  CASE WHEN query = 2 THEN strpos(' ' || regexp_replace(seen, '[^{WORDS[1:]}', ' ', 'g') || ' ', ' ' || find || ' ') - 1 ELSE strpos(seen, find) - 1 END AS first FROM f0),
+found AS (SELECT doc_id, page, ordinal, text, query, find, n, first FROM f1 WHERE n > 0)"""
 
 
 def found_of(spark: SparkSession, sf_dir: str, queries: list[op.Query]) -> DataFrame:
@@ -23,28 +26,30 @@ def found_of(spark: SparkSession, sf_dir: str, queries: list[op.Query]) -> DataF
 
 @query("find_matches", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, ordinal::BIGINT AS ordinal, n::BIGINT AS n, first::BIGINT AS first FROM found")
 def find_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = found_of(spark, sf_dir, ASKED[:2])
+    f = found_of(spark, sf_dir, ASKED)
     return f.select(F.col("query").cast("long").alias("query"), "doc_id", "ordinal", F.size("matches").cast("long").alias("n"), F.col("matches")[0]["start"].cast("long").alias("first"))
 
 
-@query("replaced_texts", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, ordinal::BIGINT AS ordinal, replace(text, 'THE ', 'A ') AS changed FROM found WHERE query = 1")
+@query("replaced_texts", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, ordinal::BIGINT AS ordinal, replace(text, 'The', 'Any') AS changed FROM found WHERE query = 1")
 def replaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = op.replace_all(found_of(spark, sf_dir, ASKED[:2]), ["a", "A "]).where("query = 1")
+    f = op.replace_all(found_of(spark, sf_dir, ASKED), ["any", "Any", "on"]).where("query = 1")
     return f.select(F.col("query").cast("long").alias("query"), "doc_id", "ordinal", "changed")
 
 
 @query(
     "find_counts",
-    f"WITH {FOUND} SELECT query::BIGINT AS query, count(*)::BIGINT AS places, sum(n)::BIGINT AS matches, count(*) FILTER (n = 1 AND length(find) = length(text))::BIGINT AS emptied FROM found WHERE ordinal % 10 <> 0 GROUP BY query",
+    f"""WITH {FOUND}, {m.EDITS} SELECT query::BIGINT AS query, count(*)::BIGINT AS places, sum(n)::BIGINT AS matches, count(*) FILTER (n = 1 AND length(find) = length(text))::BIGINT AS emptied FROM found
+WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.doc_id = found.doc_id AND e.span_ordinal = found.ordinal AND e.kind = 'redact') GROUP BY query""",
 )
 def find_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skip = spans_of(spark, sf_dir).where("ordinal % 10 = 0").select("doc_id", "ordinal")
-    return op.find_counts(found_of(spark, sf_dir, ASKED[:2]), skip, ["doc_id", "ordinal"]).withColumn("query", F.col("query").cast("long"))
+    docs = derive.table(spark, sf_dir, "documents")
+    skip = derive.edits(derive.table(spark, sf_dir, "events"), docs.count()).where("kind = 'redact'").select("doc_id", F.col("span_ordinal").alias("ordinal"))
+    return op.find_counts(found_of(spark, sf_dir, ASKED), skip, ["doc_id", "ordinal"]).withColumn("query", F.col("query").cast("long"))
 
 
 @query("match_index", f"WITH {FOUND} SELECT query::BIGINT AS query, doc_id, page::BIGINT AS page, count(*)::BIGINT AS spans, sum(n)::BIGINT AS positions FROM found GROUP BY ALL")
 def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = op.match_index(found_of(spark, sf_dir, ASKED[:2]))
+    i = op.match_index(found_of(spark, sf_dir, ASKED))
     total = F.aggregate(F.transform(F.map_values("index"), lambda s: F.size(s)), F.lit(0), lambda a, x: a + x)
     return i.select(F.col("query").cast("long").alias("query"), "doc_id", F.col("page").cast("long").alias("page"), F.size("index").cast("long").alias("spans"), total.cast("long").alias("positions"))
 
@@ -55,18 +60,30 @@ def match_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 coalesce(lag(ordinal) OVER w, last_value(ordinal) OVER (PARTITION BY query, doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))::BIGINT AS previous FROM found WINDOW w AS (PARTITION BY query, doc_id ORDER BY ordinal)""",
 )
 def match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = op.places(found_of(spark, sf_dir, ASKED[:2]))
+    p = op.places(found_of(spark, sf_dir, ASKED))
     return p.withColumns({c: F.col(c).cast("long") for c in ("query", "number", "next", "previous")})
 
 
-@query("numeric_dates")
+def invoices_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.invoices(derive.table(spark, sf_dir, "events"))
+
+
+@query("numeric_dates", f"WITH {m.INVOICES} SELECT doc_id, written, date FROM inv_dates")
 def numeric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.numeric_dates(derive.table(spark, sf_dir, "documents"), 2024)
+    return op.numeric_dates(invoices_of(spark, sf_dir), 2024)
+
 
+CURRENCIES = {"USD": 2, "EUR": 2, "GBP": 2, "JPY": 0, "INR": 2, "KWD": 3}
 
-@query("amounts")
+
+@query("amounts", f"WITH {m.INVOICES} SELECT doc_id, paid AS written, currency, amount FROM inv")
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.amounts(derive.table(spark, sf_dir, "documents"), {"USD": 2, "EUR": 2, "GBP": 2, "JPY": 0, "INR": 2, "KWD": 3})
+    return op.amounts(invoices_of(spark, sf_dir), CURRENCIES).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("amounts_in_documents")
+def amounts_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.amounts(derive.table(spark, sf_dir, "documents"), CURRENCIES)
 
 
 @query(
@@ -91,13 +108,17 @@ def resolved_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "value_profile",
-    """WITH v AS (SELECT source, lang AS kind, n_chars::DECIMAL(18,2) AS amount FROM documents)
-SELECT source, kind, count(*)::BIGINT AS values, sum(amount)::BIGINT AS total, min(amount)::BIGINT AS least, max(amount)::BIGINT AS most FROM v GROUP BY GROUPING SETS ((source, kind), (kind), ())""",
+    f"""WITH {m.INVOICES}, v AS (SELECT source, 'date' AS kind, 0.0::DOUBLE AS amount FROM inv_dates UNION ALL SELECT source, currency, amount FROM inv UNION ALL SELECT source, 'email', 0.0 FROM inv WHERE style = 3)
+SELECT source, kind, count(*)::BIGINT AS values, round(sum(amount), 2) AS total, min(amount) AS least, max(amount) AS most FROM v GROUP BY GROUPING SETS ((source, kind), (kind), ())""",
 )
 def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = derive.table(spark, sf_dir, "documents")
-    p = op.value_profile(docs.select("source", F.col("lang").alias("kind"), F.col("n_chars").cast("decimal(18,2)").alias("amount")))
-    return p.withColumns({c: F.col(c).cast("long") for c in ("total", "least", "most")})
+    docs = invoices_of(spark, sf_dir)
+    zero = F.lit(0).cast("decimal(38,9)").alias("amount")
+    dates = op.numeric_dates(docs, 2024).select("doc_id", F.lit("date").alias("kind"), zero)
+    money = op.amounts(docs, CURRENCIES).select("doc_id", F.col("currency").alias("kind"), "amount")
+    mail = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(op.EMAIL), F.lit(0)))).select("doc_id", F.lit("email").alias("kind"), zero)
+    p = op.value_profile(dates.unionByName(money).unionByName(mail).join(docs.select("doc_id", "source"), "doc_id"))
+    return p.withColumns({c: F.round(F.col(c).cast("double"), 9 if c != "total" else 2) for c in ("total", "least", "most")})
 
 
 MONTHS = [("en", n, i) for i, n in enumerate("January February March April May June July August September October November December".split(), 1)]
@@ -106,19 +127,28 @@ MONTHS += [("de", n, i) for i, n in enumerate("Januar Februar März April Mai Ju
 MONTHS += [("es", n, i) for i, n in enumerate("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(), 1)]
 
 
-@query("named_dates")
+@query("named_dates", f"WITH {m.INVOICES} SELECT doc_id, day AS written, ts::DATE AS date, CASE WHEN month(ts) IN (4, 8, 9, 11) THEN 'de,en' ELSE 'en' END AS languages FROM inv WHERE style = 3")
 def named_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.named_dates(derive.table(spark, sf_dir, "documents"), spark.createDataFrame(MONTHS, "language string, name string, idx int"))
+    return dates_of(spark, sf_dir).withColumn("languages", F.array_join("languages", ","))
+
+
+def dates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.named_dates(invoices_of(spark, sf_dir), spark.createDataFrame(MONTHS, "language string, name string, idx int"))
 
 
-@query("settled_languages")
+@query("settled_languages", f"WITH {m.INVOICES} SELECT doc_id, 'en' AS language FROM inv WHERE style = 3")
 def settled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.settle_language(named_dates(spark, sf_dir), ["en", "de", "fr", "es"])
+    return op.settle_language(dates_of(spark, sf_dir), ["en", "de", "fr", "es"])
 
 
-@query("rewritten_values")
+@query(
+    "rewritten_values",
+    f"""WITH {m.INVOICES}, n AS (SELECT *, ts::DATE + 30 AS nd FROM inv)
+SELECT doc_id, CASE style WHEN 0 THEN 'Paid on ' || strftime(nd, '%d/%m/%Y') || ', due 24/01/2025: ' || paid || ' in all' WHEN 1 THEN 'Bezahlt ' || strftime(nd, '%Y-%m-%d') || ' mit ' || paid || ' bar'
+ WHEN 2 THEN 'Returned ' || strftime(nd, '%m/%d/%Y') || ' (01/24/2025), ' || paid ELSE 'On ' || day || ' between $5-$' || money || ' or ' || paid || ', mail u' || user_id || '@mail.example' END AS text FROM n""",
+)
 def rewritten_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = derive.table(spark, sf_dir, "documents")
+    docs = invoices_of(spark, sf_dir)
     dates = op.numeric_dates(docs, 2024)
     changes = dates.select("doc_id", F.col("date").alias("old"), F.date_add("date", 30).alias("new")).distinct()
-    return op.rewrite_values(docs.select("doc_id", "text"), dates, changes).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
+    return op.rewrite_values(docs.select("doc_id", "text"), dates, changes)

@@ -93,17 +93,20 @@ def pooled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.groupBy("doc_id", "lender").agg(F.count("*").alias("letters"))
 
 
+STYLES = [*(w for w, _ in op.WEIGHTS), "", "Regular", "Book"]
+FONTS = f"""f0 AS (SELECT doc_id, lang, upper(lang[1]) || lang[2:] || 'Sans' AS family, ([{", ".join(str(v) for _, v in op.WEIGHTS)}, 400, 400, 400])[doc_id % {len(STYLES)} + 1]::BIGINT AS weight, doc_id % 3 = 0 AS slanted FROM documents),
+fn AS (SELECT *, weight >= 600 AS bold FROM f0)"""
+
+
 def fonts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A font name for every document, out of its source and language."""
-    style = F.element_at(F.array(*[F.lit(s) for s in ("-BoldItalic", ",Light", "", "-SemiBold", "-Oblique")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    d = derive.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "ABCDEF+").otherwise(""), F.initcap("lang"), F.lit("Sans"), style).alias("name"), F.lit(None).cast("int").alias("listed"))
-    return op.normalise_fonts(d)
+    """A font name for every document, out of its language and all weight words in turn, every third slanted, every second of a subset."""
+    style = F.initcap(F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.col("doc_id") % len(STYLES) + 1).cast("int")))
+    mark = F.when(F.col("doc_id") % 4 == 1, ",").otherwise("-")
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "ABCDEF+").otherwise(""), F.initcap("lang"), F.lit("Sans"), mark, style, F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 6 == 0, "Italic").otherwise("Oblique")).otherwise(""))
+    return op.normalise_fonts(derive.table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.lit(None).cast("int").alias("listed")))
 
 
-@query(
-    "font_names",
-    """SELECT doc_id, upper(lang[1]) || lang[2:] || 'Sans' AS family, CASE doc_id % 5 WHEN 0 THEN 700 WHEN 1 THEN 300 WHEN 3 THEN 600 ELSE 400 END::BIGINT AS weight, doc_id % 5 IN (0, 3) AS bold, doc_id % 5 IN (0, 4) AS slanted FROM documents""",
-)
+@query("font_names", f"WITH {FONTS} SELECT doc_id, family, weight, bold, slanted FROM fn")
 def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fonts_of(spark, sf_dir).select("doc_id", "family", F.col("weight").cast("long").alias("weight"), "bold", "slanted")
 
@@ -113,7 +116,7 @@ FACES = [("en-r", "EnSans", False, False, "sans", True), ("en-b", "EnSans", True
 
 @query(
     "look_alikes",
-    """SELECT doc_id AS font, CASE WHEN lang = 'de' THEN 'de-r' WHEN lang = 'en' THEN CASE doc_id % 5 WHEN 0 THEN 'en-bi' WHEN 3 THEN 'en-b' ELSE 'en-r' END ELSE 'en-r' END AS face, lang IN ('de', 'en') AS same_family FROM documents""",
+    f"""WITH {FONTS} SELECT doc_id AS font, CASE WHEN lang = 'de' THEN 'de-r' WHEN lang = 'en' AND bold THEN CASE WHEN slanted THEN 'en-bi' ELSE 'en-b' END ELSE 'en-r' END AS face, lang IN ('de', 'en') AS same_family FROM fn""",
 )
 def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = spark.createDataFrame(FACES, "face string, family string, bold boolean, slanted boolean, kind string, plain boolean")
@@ -121,7 +124,8 @@ def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.look_alike(fonts, catalog)
 
 
-@query("substitutes", f"WITH {WIDE}, {MISSING} SELECT s.doc_id, s.ordinal::BIGINT AS ordinal, CASE WHEN m.missing IS NULL THEN 'F1' ELSE 'F0' END AS face FROM spans s LEFT JOIN (SELECT DISTINCT c.doc_id, c.ordinal, 'x' AS missing FROM ch c JOIN let ON let.letter = c.letter WHERE c.letter <> ' ' AND let.cp % 13 = 0) m USING (doc_id, ordinal)")
+@query("substitutes", f"""WITH {m.SPANS}, {LETTERS}, bad AS (SELECT list(letter) AS l FROM let WHERE cp % 13 = 0 AND letter <> ' ')
+SELECT doc_id, ordinal::BIGINT AS ordinal, CASE WHEN list_has_any(string_split(text, ''), l) THEN 'F0' ELSE 'F1' END AS face FROM spans, bad""")
 def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spaced_spans(spark, sf_dir).select("doc_id", "ordinal", "text", F.lit("F1").alias("look_alike"))
     faces = spark.createDataFrame([("F1", "F0")], "face string, broadest string")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import sums_before
+
 LINES_A_PAGE = 45
 
 
@@ -29,10 +31,8 @@ def pieces(docs: DataFrame) -> DataFrame:
     """
     tokens = lines(docs).withColumn("tokens", F.split("line", " ", -1))
     t = F.col("tokens")
-    ends = F.transform(t, lambda w: F.length(w) + 1)
-    # letters before each token, by one running sum over the array
-    before = F.aggregate(ends, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    each = tokens.withColumn("before", before).select("doc_id", "page", "line_no", F.posexplode(F.arrays_zip(t.alias("w"), F.slice("before", 1, F.size(t)).alias("b"))).alias("piece_no", "x"))
+    before = sums_before(F.transform(t, lambda w: F.length(w) + 1))
+    each = tokens.withColumn("before", before).select("doc_id", "page", "line_no", F.posexplode(F.arrays_zip(t.alias("w"), F.col("before").alias("b"))).alias("piece_no", "x"))
     n = F.length("x.w")
     size = F.when(n % 7 == 0, 12.0).otherwise(20.0)
     base = (96.0 + 14.0 * F.col("line_no") - F.when(n % 11 == 0, 3.0).otherwise(0.0))
@@ -109,6 +109,27 @@ def requests(events: DataFrame) -> DataFrame:
     )
 
 
+def invoices(events: DataFrame) -> DataFrame:
+    """(doc_id, source, text): a text an event, with its day and an amount of money, in one of four styles (event_id % 4).
+
+    0: day first, a dollar amount; 1: year first, euros with a decimal comma; 2: month first, pounds in brackets; 3: the month's English
+    name, a range of dollars and three decimals of dinars. Styles 0 and 2 hold a second date that only one order can read.
+    """
+    e = key_of(events)
+    day = lambda f: F.date_format("ts", f)
+    money = F.concat(F.floor("value").cast("string"), F.lit("."), F.lpad((F.col("k") % 100).cast("string"), 2, "0"))
+    styles = [
+        F.concat(F.lit("Paid on "), day("dd/MM/yyyy"), F.lit(", due 25/12/2024: $"), money, F.lit(" in all")),
+        F.concat(F.lit("Bezahlt "), day("yyyy-MM-dd"), F.lit(" mit "), F.translate(money, ".", ","), F.lit(" € bar")),
+        F.concat(F.lit("Returned "), day("MM/dd/yyyy"), F.lit(" (12/25/2024), (£"), money, F.lit(")")),
+        F.concat(F.lit("On "), day("d MMMM yyyy"), F.lit(" between $5-$"), money, F.lit(" or KWD 1."), F.lpad(F.col("k").cast("string"), 3, "0"), F.lit(", mail u"), F.col("user_id").cast("string"), F.lit("@mail.example")),
+    ]
+    text = styles[3]
+    for i in (2, 1, 0):
+        text = F.when(F.col("event_id") % 4 == i, styles[i]).otherwise(text)
+    return e.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("source"), text.alias("text"))
+
+
 def token_uses(events: DataFrame) -> DataFrame:
     """A signup spends a token."""
     return key_of(events).where("event_type = 'signup'").select(F.col("user_id").alias("account"), (F.floor(F.col("us") / 1_000_000) + 900 - (F.col("event_id") % 4) * 600).alias("until"), F.floor(F.col("us") / 1_000_000).alias("used_at"), F.col("event_id").alias("arrival"))

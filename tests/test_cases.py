@@ -1,6 +1,7 @@
 """Golden cases of single operators, stated as small tables."""
 
 import random
+import time
 from collections import deque
 from decimal import Decimal
 
@@ -138,6 +139,79 @@ def test_amounts(spark):
     assert 1 not in got and 6 not in got and 7 not in got
 
 
+def test_amounts_where_they_stand(spark):
+    cases = {
+        "Fee $5 today. Range elsewhere $9-$5.": [("USD", 5.0)], "$1,25,00": [], "₩5,000 and ₿2": [("₩", 5000.0), ("₿", 2.0)], "12 345,5 €": [("EUR", 12345.5)], "€10 – €20": [], "EUR 10-20": [], "(see $5)": [("USD", 5.0)],
+        "($5)": [("USD", -5.0)], "-$5": [("USD", -5.0)], "$-5": [("USD", -5.0)], "$5- now": [("USD", -5.0)], "XXQ 5": [], "1'250.50 USD": [("USD", 1250.5)], "Room 5 12 €": [("EUR", 12.0)], "5 € 6": [("EUR", 5.0)], "$5.1234": [("USD", 5.1234)], "v1.2.3 €": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {i: [] for i in range(len(cases))}
+    for r in text.amounts(df, {"USD": 2, "EUR": 2}).collect():
+        got[r.doc_id].append((r.currency, float(r.amount)))
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
+def test_named_dates_by_order_weekday_and_range(spark):
+    names = spark.createDataFrame([("en", "March", 3), ("de", "März", 3), ("es", "marzo", 3)], "language string, name string, idx int")
+    cases = {
+        "2024 March 14": 1, "Monday 14 March 2024": 0, "Thursday, 14 March 2024": 1, "14 March 2024 – 15 March 2024": 0, "13 – 14 March 2024": 0, "13-14 March 2024": 0, "14 March - 15 March 2024": 0, "13. bis 14. März 2024": 0, "14 de marzo de 2024": 1,
+        "March 14, 2024 to March 15, 2024": 0, "on 14 March 2024, then 15 March 2024": 2, "from 14 March 2024 we had 3 cats": 1, "2024. März 14-15.": 0, "14 March 2024.5": 0,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = dict.fromkeys(range(len(cases)), 0)
+    for r in text.named_dates(df, names).collect():
+        got[r.doc_id] += 1
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
+def test_replacements_take_over_typing(spark):
+    df = spark.createDataFrame([(0, "a\u00a0b’s x"), (1, "a b's a b’s"), (2, "x a—b"), (3, "none")], "doc_id long, text string")
+    got = {(r.doc_id, r.query): r.changed for r in text.replace_all(text.find(df, [text.Query("a b's"), text.Query("a-b")]), ["c d's", "c-d"]).collect()}
+    assert got == {(0, 0): "c\u00a0d’s x", (1, 0): "c d's c d’s", (2, 1): "x c—d"}
+
+
+def test_long_texts_cost_linear_time(spark):
+    began = time.monotonic()
+    df = spark.createDataFrame([(1, "the " * 100_000)], "doc_id long, text string")
+    assert text.find(df, [text.Query("the")]).select(F.size("matches").alias("n")).first().n == 100_000
+    values = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("start"), (F.col("id") + 2).cast("int").alias("stop"), F.lit("v").alias("kind"))
+    assert text.resolve_values(values).count() == 100_000
+    assert time.monotonic() - began < 60
+
+
+def test_refused_jobs_never_join_the_line(spark):
+    jobs = [(1, 0, 100), (1, 1, 5), (1, 2, 1000), (1, 3, 50), (1, 4, 60), (1, 5, 8), (2, 0, 1), (2, 1, 2)]
+    got = {r.key: (r.jobs, r.peak, r.over) for r in logs.concurrency(spark.createDataFrame(jobs, "key long, started long, ended long"), 1, 1).collect()}
+    assert got == {1: (6, 2, 3), 2: (2, 1, 0)}
+
+
+def test_room_equals_a_full_scan(spark):
+    r = random.Random(4)
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    spans = []
+    for doc in range(6):
+        for k in range(60):
+            x, y = r.randrange(0, 300), r.choice([0, 3, 14, 17, 28]) + r.choice([0, 0, 40])
+            spans.append((doc, 0, k, (float(x), float(y), float(x + r.choice([0, 5, 5, 40, 120])), float(y + r.choice([12, 20]))), r.random() < 0.1))
+    art = [(doc, 0, (float(r.randrange(300)), float(r.randrange(80)), 310.0, 90.0)) for doc in range(6) for _ in range(3)]
+    got = {(x.doc_id, x.ordinal): x.room for x in layout.room(spark.createDataFrame(spans, f"doc_id long, page int, ordinal long, bbox {box}, turned boolean"), spark.createDataFrame(art, f"doc_id long, page int, bbox {box}")).collect()}
+    for d, _, k, b, turned in spans:
+        mine = [s for s in spans if s[0] == d]
+        over = lambda o: min(o[3], b[3]) - max(o[1], b[1])
+        walls = [max(s[3][2] for s in mine)]
+        for s in mine:
+            o = s[3]
+            kerned = over(o) > min(o[3] - o[1], b[3] - b[1]) / 2 and o[0] > b[0] and o[2] > b[2]
+            if s[2] != k and over(o) > 0.1 and (o[0] >= b[2] - 0.1 or kerned):
+                walls.append(o[0])
+        tallest = max(s[3][3] - s[3][1] for s in mine if not s[4])
+        for _, _, a in (x for x in art if x[0] == d):
+            beside = any(min(a[3], s[3][3]) - max(a[1], s[3][1]) > 0.1 for s in mine if not s[4])
+            if beside and over(a) > 0.1 and a[2] >= b[2] - 0.1 and tallest:
+                walls.append(a[0] if a[0] >= b[2] - 0.1 else a[2])
+        assert got[d, k] == (0.0 if turned else max(min(walls) - b[2], 0.0)), (d, k)
+
+
 def test_values_resolve(spark):
     df = spark.createDataFrame([(1, 0, 5, "a"), (1, 3, 9, "b"), (1, 5, 7, "c"), (1, 0, 2, "d")], "doc_id long, start int, stop int, kind string")
     assert rows(text.resolve_values(df)) == [(1, 0, 5, "a"), (1, 5, 7, "c")]
