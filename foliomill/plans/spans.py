@@ -13,7 +13,9 @@ from .registry import query
 
 
 def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.build_spans(derive.pieces(derive.table(spark, sf_dir, "documents")))
+    # Texts are dealt out by document before they are cut up: lines, spans and ordinals then need no shuffle of pieces. The number is explicit, as texts are far smaller than what becomes of them.
+    docs = derive.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.build_spans(derive.pieces(docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")))
 
 
 def written_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
