@@ -31,6 +31,8 @@ from .common import table
 from .wordcodes import SHINGLE, hashes, shingle_hashes, slices, text_shingles, word_codes
 
 BITS = 64
+#: Window starts of one text that are looked at at once; some 8 MB of sums.
+STARTS = 1 << 14
 
 
 def weights(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -136,16 +138,18 @@ class ItemIndex:
                 if len(at):
                     best[k] = (1.0, -int(at[0]), n, 0)
         at = np.flatnonzero(hit)
-        if len(at):
-            first, last = int(at[0]), int(at[-1])
-            most = int(self.sizes[-1])
-            low, high = max(0, first - most + SHINGLE), min(m, last + most)
+        most = int(self.sizes[-1])
+        # a long text is read in portions of window starts, and only where an item's shingle is near
+        for low in range(max(0, int(at[0]) - most + SHINGLE), int(at[-1]) + 1, STARTS) if len(at) else ():
+            high = min(m, low + STARTS + most)
+            if not hit[low:high].any():
+                continue
             w = weights(h[low:high])
             sums = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(signed_bits(shingles[low : low + len(w)], w), axis=0, dtype=np.int32)])
             held = np.concatenate([[0], np.cumsum(hit[low : low + len(w)])])
             for n in self.tables:
                 size = min(n, m)
-                starts = np.arange(max(low, first - size + SHINGLE), min(last, m - size) + 1) - low
+                starts = np.arange(min(STARTS, m - size + 1 - low)) if m - size >= low else np.empty(0, np.int64)
                 starts = starts[held[starts + size - SHINGLE + 1] > held[starts]]
                 if not len(starts):
                     continue
