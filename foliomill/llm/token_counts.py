@@ -9,19 +9,29 @@ counted again, and order of commits between batches that touch other documents d
 Committing is idempotent: a batch whose rollup folder holds a success marker is left as it is, and
 one that broke off is written anew from the same ledger of earlier batches, to the same folder.
 
+A batch meets only the ledger rows of its own keys. Batches are committed one after another: two
+committers at once that touch one document would both take off its old contribution.
+
 Edge cases: a delete or revise of an unknown document is a no-op or an insert; several changes of
-one key in a batch: the one with the highest ``seq`` holds, then the larger count; null source,
-lang or text are values of their own (null text: no tokens); a group whose totals return to zero
-documents stays with zeros, unless ``drop_empty``.
+one key in a batch: the one with the highest ``seq`` holds, then the larger count; a document
+without an id cannot be named again, so each insert of one counts for itself and its other changes
+are no-ops; null source, lang or text are values of their own (null text: no tokens); a group whose
+totals return to zero documents stays with zeros, unless ``drop_empty``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, shared_folder, table, words_of
+from .packing import ShippedEncoder, encode_texts
+from .wordcodes import slices
 
 KEY = ["doc_id", "version"]
 GROUP = ["source", "lang", "version"]
@@ -57,9 +67,12 @@ class TokenRollup:
         paths = [f"{self.folder}/{kind}/{b}" for b in self.batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
-        """What each (doc_id, version) contributes now."""
-        ledger = self._read("ledger", LEDGER)
+    def current(self, keys: DataFrame | None = None) -> DataFrame:
+        """What each (doc_id, version) contributes now; of ``keys`` only, if given. Documents without an id aside."""
+        ledger = self._read("ledger", LEDGER).where("doc_id is not null")
+        if keys is not None:
+            asked = keys.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")).distinct()
+            ledger = ledger.join(asked, (F.col("doc_id") == F.col("_d")) & F.col("version").eqNullSafe(F.col("_v")), "left_semi")
         left = ledger.groupBy("doc_id", *GROUP, "tokens").agg(F.sum("sign").alias("n"))
         return left.where("n > 0").drop("n")
 
@@ -68,16 +81,19 @@ class TokenRollup:
         if self._exists(f"{self.folder}/rollup/{batch}/_SUCCESS"):
             return False
         last = Window.partitionBy(*KEY).orderBy(F.desc("seq"), F.desc_nulls_last("tokens"), "source", "lang")
-        new = changes.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "seq")
+        named = changes.where("doc_id is not null")
+        new = named.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "seq")
         if self.batches():
-            old = self.current().alias("o")
+            old = self.current(named).alias("o")
             both = new.alias("n").join(old, F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")) & F.col("n.version").eqNullSafe(F.col("o.version")), "left")
             off = F.struct("o.source", "o.lang", "o.tokens", F.when(F.col("o.tokens").isNotNull(), -1).alias("sign"))
         else:
             both, off = new.alias("n"), F.lit(None).cast("struct<source:string,lang:string,tokens:bigint,sign:int>")
         on = F.struct("n.source", "n.lang", F.coalesce("n.tokens", F.lit(0)).cast("long").alias("tokens"), F.when(F.col("n.op") != "delete", 1).alias("sign"))
         signed = both.select("n.doc_id", "n.version", F.explode(F.array(off, on)).alias("x")).where("x.sign is not null")
-        signed.select("doc_id", "version", "x.*").select("doc_id", "version", "source", "lang", "tokens", "sign").write.mode("overwrite").parquet(f"{self.folder}/ledger/{batch}")
+        signed = signed.select("doc_id", "version", "x.*").select("doc_id", "version", "source", "lang", "tokens", "sign")
+        nameless = changes.where("doc_id is null and op = 'insert'").select("doc_id", "version", "source", "lang", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.lit(1).alias("sign"))
+        signed.unionByName(nameless).write.mode("overwrite").parquet(f"{self.folder}/ledger/{batch}")
         rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/{batch}")
         delta = rows.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         delta.write.mode("overwrite").parquet(f"{self.folder}/rollup/{batch}")
@@ -88,6 +104,20 @@ class TokenRollup:
         return out.where("docs <> 0") if drop_empty else out
 
 
+def tokenizer_counts(docs: DataFrame, tokenizer: str, batch_bytes: int = 6 << 20) -> DataFrame:
+    """``docs`` (doc_id, source, lang, text) without texts, with ``tokens`` by a tokenizer that drops white space (the text of its file); to be committed under a version of its own."""
+    shipped = docs.sparkSession.sparkContext.broadcast(ShippedEncoder(tokenizer))  # a vocabulary file of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, batch_bytes):
+            _, counts = encode_texts(pc.fill_null(batch.column("text"), ""), shipped.value.encoder())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts)], names=[*names, "tokens"])
+
+    names = ["doc_id", "source", "lang"]
+    chosen = docs.select(*names, "text")
+    return chosen.mapInArrow(run, ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in names) + ", tokens long")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all documents under both versions, delete those labelled toxic, revise those labelled of low quality (license and markup
     symbols no longer count), commit the last batch twice, and return the totals."""
