@@ -82,6 +82,17 @@ def digests(h: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(raw[b - 8 * n : b], digest_size=16).digest() for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
 
 
+def digested(docs: DataFrame) -> DataFrame:
+    """(digest, text) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            h, counts, _, _ = batch_shingles(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(digests(h, counts), pa.binary()), batch.column("text")], names=["digest", "text"])
+
+    return docs.select("text").mapInArrow(run, "digest binary, text string")
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n, sig) for every row."""
 
@@ -276,8 +287,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     sizes = joined.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     # Where few texts have candidates, the others' words stay where they are.
     members = work.write(joined.join(sizes, "root").withColumnsRenamed({"root": "comp", "rep": "_id"}).drop("n"), "members")
-    members = small_side(members, SMALL)
-    with_text = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).select("comp", "tid", "digest", "parts", "text")
+    fields = ["comp", "tid", "digest", "parts", "text"]
+    with_text = docs.select("doc_id", "text").join(small_side(members, SMALL), F.col("doc_id") == F.col("_id")).select(*fields)
+    # texts of which no row has an id are found by their digests
+    nameless = digested(docs.where("doc_id is null")).join(small_side(members.where("_id is null"), SMALL), "digest").dropDuplicates(["digest"])
+    with_text = with_text.unionByName(nameless.select(*fields))
     links = work.write(verified(dealt(with_text, "comp", F.col("parts")), threshold), "links")
 
     classes = components(links.select(F.col("tid").alias("a"), F.col("root").alias("b")), work, "classes").withColumnsRenamed({"node": "tid"})
