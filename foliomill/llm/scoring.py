@@ -2,7 +2,8 @@
 
 p(w | u v) = a3 + b3 (a2 + b2 p1(w)): a3 and a2 are the smoothed shares of the trigram and bigram,
 b3 and b2 the weights their contexts leave over (Dirichlet priors), p1 the add-0.1 share of the
-word. Each distribution sums to one. A text is END w1 ... wn END; the first END is only context.
+word. Each distribution sums to one before shares are quantised to 8 bits, and a probability that
+quantising lifts above one counts as one. A text is END w1 ... wn END; the first END is only context.
 
 Nothing grows in one place. Texts become chunks of word codes, written once. Chunks send their
 distinct words to buckets of the hash range, which add up counts and number the words; then their
@@ -11,7 +12,8 @@ shards by its bigrams), where the training counts of all chunks meet, a trie is
 and asked for each chunk's n-grams. Replies go back to the chunk. Messages are sorted,
 differenced and compressed; their number of entries is that of distinct n-grams per chunk.
 
-Words are told apart by 64-bit hashes. Edge cases: null text counts as empty (one END); without
+Words are told apart by 64-bit hashes; of training words at most 2^32 - 2 can be numbered, and more
+are an error. Edge cases: null text counts as empty (one END); without
 training texts every score is 0; repeated rows are scored each; a null doc_id is in the fold of
 the empty text.
 """
@@ -221,7 +223,7 @@ def answer(group: pa.Table, prior: float) -> pa.Table:
 
 
 def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", prior: float = 4.0) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; the model learns from rows where ``held_out`` is false."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token) for every row; the model learns from rows where ``held_out`` is false."""
     spark = docs.sparkSession
     work = Workspace(spark, "scoring")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held"))
@@ -275,7 +277,9 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=names)
 
     back = words_of_chunk.unionByName(answered)
-    return stored.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scoring, result)
+    scored = stored.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scoring, result)
+    # a total is mostly a text's length; per token, texts can be compared
+    return scored.withColumn("score_per_token", F.col("score") / F.col("n_tokens"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -277,6 +278,27 @@ def test_leaks_equal_brute_force(spark):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+@pytest.mark.parametrize("portion", [64, 1 << 14])
+def test_leaks_of_long_texts_in_portions(spark, monkeypatch, portion):
+    monkeypatch.setattr(decontamination, "STARTS", portion)
+    items = [(i, words(30 + i, 500 + i, 10_000)) for i in range(4)]
+    docs = [(k, " ".join([items[k % 4][1], words(n, k, 10_000), items[(k + 1) % 4][1]])) for k, n in enumerate([0, 33, 63, 64, 65, 200, 5000])] + [(50, " ".join(items[i % 4][1] for i in range(40)))]
+    got = {(r.doc_id, r.item_id): (r.word_start, r.n_words, r.similarity) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(d, i) for d, t in docs for i, v in items if windows_brute(t, v) >= 0.8}
+    assert all(s == 1.0 for _, _, s in got.values())
+
+
+def test_peak_memory_of_long_texts(spark):
+    item = words(40, 1, 10_000)
+    index = decontamination.ItemIndex([(1, item)], 8, 19)
+    batch = pa.RecordBatch.from_arrays([pa.array([item + " " + words(400_000, 2, 10_000) + " " + item])], names=["text"])
+    tracemalloc.start()
+    found = list(decontamination._scan(batch, index, 0.8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and peak < 120 << 20
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (None, words(60, 1)), (5, words(60, 1))], "item_id long, text string").withColumn("doc_id", F.lit("x"))
     got = Counter((r.doc_id, r.item_id) for r in decontamination.find_leaks(odd, items).collect())
@@ -436,6 +458,26 @@ def test_token_rollup_is_idempotent(spark, tmp_path, odd):
     assert store.batches() == ["1", "3"]
 
 
+def test_token_rollup_counts_the_nameless_and_repeats(spark, tmp_path):
+    store = token_counts.TokenRollup(spark, str(tmp_path / "r"))
+    make = lambda rows: spark.createDataFrame(rows, token_counts.CHANGES)
+    store.commit("1", make([(None, "v", "insert", "a", "en", 5, 0), (None, "v", "insert", "a", "en", 7, 0), (1, "v", "insert", "a", "en", 1, 0), (1, "v", "insert", "a", "en", 1, 0)]))
+    store.commit("2", make([(None, "v", "delete", "a", "en", 5, 0), (None, "v", "insert", "a", "en", 2, 0), (1, "v", "revise", "a", "en", 4, 0)]))
+    store.commit("3", make([(2, "v", "insert", "b", "en", 9, 0)]))
+    store.commit("4", make([(1, "v", "revise", "b", "en", 3, 0), (2, "v", "delete", None, None, None, 0)]))
+    assert {(r.source, r.docs, r.tokens) for r in store.totals().collect()} == {("a", 3, 14), ("b", 1, 3)}
+    assert [(r.doc_id, r.tokens) for r in store.current().collect()] == [(1, 3)]
+
+
+def test_real_tokenizers_count_as_a_version(spark, odd):
+    from tokenizers import Tokenizer
+
+    raw = packing.default_tokenizer()
+    t = Tokenizer.from_str(raw)
+    got = Counter((r.doc_id, r.tokens) for r in token_counts.tokenizer_counts(odd, raw).collect())
+    assert got == Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -565,6 +607,13 @@ def test_near_duplicates_equal_brute_force(spark, odd, monkeypatch, block):
     assert got == sorted((i, least[find(key(t))], links[key(t)]) for i, t in all_rows)
 
 
+def test_near_duplicates_without_ids(spark):
+    base = words(60, 3, 5000).split()
+    rows = [(None, " ".join([*base[: 60 - k % 4], f"x{k % 4}"])) for k in range(40)] + [(7, " ".join(base)), (None, words(50, 9, 5000)), (8, words(40, 10, 5000))]
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(None, 7, 4, 10): 40, (7, 7, 4, 1): 1, (None, None, 0, 1): 1, (8, 8, 0, 1): 1})
+
+
 def test_one_of_each(spark, odd, none):
     kept = near_dup.one_of_each(odd)
     ids = Counter(r.doc_id for r in kept.collect())
