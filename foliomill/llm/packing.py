@@ -40,7 +40,7 @@ from .wordcodes import slices, word_codes
 
 MARK = "\x01"
 #: Segments of a queue that are added up in one bucket.
-BUCKET_SEGMENTS = 1 << 15
+BUCKET_SEGMENTS = 1 << 13
 ROUNDS_A_BLOCK = 1024
 NO_SOURCE = "\x00none"
 
@@ -59,7 +59,7 @@ class WordEncoder:
     Of these, runs of small letters skip the tokenizer's normalisation, which leaves them as they are.
     """
 
-    def __init__(self, tokenizer: str, limit: int = 800_000):
+    def __init__(self, tokenizer: str, limit: int = 500_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_str(tokenizer), limit
