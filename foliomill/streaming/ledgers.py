@@ -1,7 +1,7 @@
 """Streaming forms of the ledgers: the same answers as in batch, row by row as events arrive.
 
 Every operator takes a streaming DataFrame and returns one. Events later than the watermark are
-dropped by Spark; ``late_events`` keeps them apart where the caller wants them.
+dropped by Spark.
 """
 
 from __future__ import annotations

@@ -35,7 +35,8 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() >= 0
+    # what is found depends on the texts; these may have nothing to find
+    assert registry.QUERIES[name](spark, DATA).count() > 0 or name in ("amounts_in_documents",)
 
 
 @pytest.mark.parametrize("name", ["room", "letters_in_art", "spans_over_art", "hidden_places", "art_near_text"])
