@@ -109,7 +109,7 @@ def resolved_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "value_profile",
     f"""WITH {m.INVOICES}, v AS (SELECT source, 'date' AS kind, 0.0::DOUBLE AS amount FROM inv_dates UNION ALL SELECT source, currency, amount FROM inv UNION ALL SELECT source, 'email', 0.0 FROM inv WHERE style = 3)
-SELECT source, kind, count(*)::BIGINT AS values, round(sum(amount), 2) AS total, min(amount) AS least, max(amount) AS most FROM v GROUP BY GROUPING SETS ((source, kind), (kind), ())""",
+SELECT source, kind, count(*)::BIGINT AS values, round(sum(amount::DECIMAL(18,3))::DOUBLE, 3) AS total, min(amount) AS least, max(amount) AS most FROM v GROUP BY GROUPING SETS ((source, kind), (kind), ())""",
 )
 def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = invoices_of(spark, sf_dir)
@@ -118,7 +118,7 @@ def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = op.amounts(docs, CURRENCIES).select("doc_id", F.col("currency").alias("kind"), "amount")
     mail = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(op.EMAIL), F.lit(0)))).select("doc_id", F.lit("email").alias("kind"), zero)
     p = op.value_profile(dates.unionByName(money).unionByName(mail).join(docs.select("doc_id", "source"), "doc_id"))
-    return p.withColumns({c: F.round(F.col(c).cast("double"), 9 if c != "total" else 2) for c in ("total", "least", "most")})
+    return p.withColumns({c: F.round(F.col(c).cast("double"), 9 if c != "total" else 3) for c in ("total", "least", "most")})
 
 
 MONTHS = [("en", n, i) for i, n in enumerate("January February March April May June July August September October November December".split(), 1)]
