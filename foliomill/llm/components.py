@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
+#: Parts among which the pairs of one node may be spread.
+SALTS = 1024
+
+
 def _least(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with ``m``, the least of u and its v. Aggregated before the join, whose hot side Spark can split."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("_low")).withColumnRenamed("u", "_u")
-    return pairs.join(low, F.col("u") == F.col("_u")).withColumn("m", F.least("u", "_low")).select("u", "v", "m")
+    """``pairs`` (u, v) with ``m``, the least of u and its v.
+
+    The centre of a star has a pair for each of its nodes. They meet its least node in parts, told by v: it is sent
+    to those parts only that hold a pair of the centre, so it is never sent more often than there are pairs.
+    """
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = pairs.groupBy("u", "salt").agg(F.min("v").alias("low"))
+    low = parts.groupBy("u").agg(F.min("low").alias("_low"), F.collect_set("salt").alias("_salts"))
+    low = low.select(F.col("u").alias("_u"), "_low", F.explode("_salts").alias("_salt"))
+    met = pairs.join(low, (F.col("u") == F.col("_u")) & (F.col("salt") == F.col("_salt")))
+    return met.select("u", "v", F.least("u", "_low").alias("m"))
 
 
 def components(edges: DataFrame, work: Workspace, name: str, most: int = 50) -> DataFrame:
