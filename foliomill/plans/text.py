@@ -143,12 +143,16 @@ def settled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rewritten_values",
-    f"""WITH {m.INVOICES}, n AS (SELECT *, ts::DATE + 30 AS nd FROM inv)
-SELECT doc_id, CASE style WHEN 0 THEN 'Paid on ' || strftime(nd, '%d/%m/%Y') || ', due 24/01/2025: ' || paid || ' in all' WHEN 1 THEN 'Bezahlt ' || strftime(nd, '%Y-%m-%d') || ' mit ' || paid || ' bar'
- WHEN 2 THEN 'Returned ' || strftime(nd, '%m/%d/%Y') || ' (01/24/2025), ' || paid ELSE 'On ' || day || ' between $5-$' || money || ' or ' || paid || ', mail u' || user_id || '@mail.example' END AS text FROM n""",
+    f"""WITH {m.INVOICES}, n AS (SELECT *, ts::DATE + 30 AS nd, (floor(value)::BIGINT + 1000)::VARCHAR || '.' || lpad((k % 100)::VARCHAR, 2, '0') AS more FROM inv)
+SELECT doc_id, CASE style WHEN 0 THEN 'Paid on ' || strftime(nd, '%d/%m/%Y') || ', due 24/01/2025: $' || more || ' in all' WHEN 1 THEN 'Bezahlt ' || strftime(nd, '%Y-%m-%d') || ' mit ' || replace(more, '.', ',') || ' € bar'
+ WHEN 2 THEN 'Returned ' || strftime(nd, '%m/%d/%Y') || ' (01/24/2025), (£' || more || ')' ELSE 'On ' || strftime(nd, '%-d %B %Y') || ' between $5-$' || money || ' or KWD 1001.' || mills || ', mail u' || user_id || '@mail.example' END AS text FROM n""",
 )
 def rewritten_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = invoices_of(spark, sf_dir)
-    dates = op.numeric_dates(docs, 2024)
-    changes = dates.select("doc_id", F.col("date").alias("old"), F.date_add("date", 30).alias("new")).distinct()
-    return op.rewrite_values(docs.select("doc_id", "text"), dates, changes)
+    names = spark.createDataFrame(MONTHS, "language string, name string, idx int")
+    dates, named, money = op.numeric_dates(docs, 2024), op.named_dates(docs, names), op.amounts(docs, CURRENCIES)
+    later = lambda d: d.select("doc_id", F.col("date").alias("old"), F.date_add("date", 30).alias("new")).distinct()
+    more = money.select("doc_id", "currency", F.col("amount").alias("old"), F.when(F.col("amount") < 0, F.col("amount") - 1000).otherwise(F.col("amount") + 1000).alias("new")).distinct()
+    settled = op.settle_language(named, ["en", "de", "fr", "es"])
+    swaps = op.date_swaps(docs, dates, later(dates)), op.named_date_swaps(named, names, later(named), settled), op.amount_swaps(money, more)
+    return op.rewrite_values(docs.select("doc_id", "text"), *swaps)

@@ -117,10 +117,40 @@ def test_dates(spark):
 def test_dates_are_rewritten_as_written(spark):
     df = spark.createDataFrame([(0, "13/02/2020, 2020-02-13 and 13.2.20; 14/02/2020"), (1, "02/13/2020"), (2, "nothing")], "doc_id long, text string")
     changes = spark.createDataFrame([(i, "2020-02-13", "2021-11-05") for i in range(3)], "doc_id long, old string, new string").select("doc_id", F.to_date("old").alias("old"), F.to_date("new").alias("new"))
-    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.numeric_dates(df, 2024), changes).collect()}
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.date_swaps(df, text.numeric_dates(df, 2024), changes)).collect()}
     assert got == {0: "05/11/2021, 2021-11-05 and 05.11.21; 14/02/2020", 1: "11/05/2021", 2: "nothing"}
 
 
+def test_amounts_are_rewritten_as_written(spark):
+    cases = {
+        "$5 and $50, $9-$5": (7, "$7 and $50, $9-$5"), "1.250,00 €": (1234567.5, "1.234.567,50 €"), "₹1,25,000.00": (12345678, "₹1,23,45,678.00"), "($5.50)": (6, "$6.00"), "(£5.50)": (-1000, "(£1000.00)"), "-$5": (-6, "-$6"), "$-5": (6, "$6"),
+        "5− €": (-7.25, "7− €"), "USD 1'250.50": (-3, "-USD 3.00"), "$1,000": (25, "$25"), "£1,000": (1000000.5, "£1,000,001"), "": (1, ""),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    new = spark.createDataFrame([(i, Decimal(str(v))) for i, (v, _) in enumerate(cases.values())], "doc_id long, new decimal(38,9)")
+    found = text.amounts(df, {"USD": 2, "EUR": 2, "INR": 2, "GBP": 2}).where("written <> '$50'")
+    changes = found.join(new, "doc_id").select("doc_id", "currency", F.col("amount").alias("old"), "new").distinct()
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.amount_swaps(found, changes)).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == {t: want for t, (_, want) in cases.items()}
+
+
+def test_swaps_do_not_feed_each_other(spark):
+    df = spark.createDataFrame([(0, "$10 then $5, $10"), (1, None)], "doc_id long, text string")
+    found = text.amounts(df, {"USD": 2})
+    changes = spark.createDataFrame([(0, "USD", Decimal(10), Decimal(5)), (0, "USD", Decimal(5), Decimal(7))], "doc_id long, currency string, old decimal(38,9), new decimal(38,9)")
+    assert sorted((r.doc_id, r.text) for r in text.rewrite_values(df, text.amount_swaps(found, changes)).collect()) == [(0, "$5 then $7, $5"), (1, None)]
+
+
+def test_named_dates_are_rewritten_as_written(spark):
+    names = spark.createDataFrame([("en", "March", 3), ("en", "Mar", 3), ("en", "April", 4), ("en", "Apr", 4), ("de", "März", 3), ("de", "April", 4), ("fr", "mars", 3), ("fr", "avril", 4)], "language string, name string, idx int")
+    cases = {"on 14 March 2024.": "on 2 April 2025.", "MARCH 14th, 2024": "APRIL 2nd, 2025", "14 Mar. 2024": "2 Apr. 2025", "am 14. März 2024": "am 2. April 2025", "le 14 mars 2024": "le 2 avril 2025", "2024 March 14": "2025 April 2", "13-14 March 2024, 14 March 2024": "13-14 March 2024, 2 April 2025"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = text.named_dates(df, names)
+    changes = df.select("doc_id", F.to_date(F.lit("2024-03-14")).alias("old"), F.to_date(F.lit("2025-04-02")).alias("new"))
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.named_date_swaps(found, names, changes, text.settle_language(found, ["en"]))).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
 def test_named_dates_and_language(spark):
     names = spark.createDataFrame([("en", "March", 3), ("de", "März", 3), ("fr", "mars", 3), ("en", "April", 4), ("de", "April", 4)], "language string, name string, idx int")
     df = spark.createDataFrame([(0, "on 14 March 2020, April 2nd, 2021"), (1, "13–14 March 2020"), (2, "am 3. April 2020"), (3, "31 April 2020")], "doc_id long, text string")
