@@ -182,17 +182,24 @@ def held(attempts: DataFrame, hold_s: int = 600) -> DataFrame:
     """``attempts`` (source, us, attempt, outcome: ok, failed, no_answer) with ``held``: whether the source was on hold when tried.
 
     A failure holds its source for ``hold_s``; one with no answer holds every source, until any answer. The hold over every source is
-    a running fact of all attempts, taken from the attempts without an answer and the answers after them, by time slices of ``hold_s``:
-    a slice sees only itself and the one before, since holds are no longer.
+    a running fact of all attempts. It is told cell by cell of one second: within a cell by a window, and what was before by a window
+    over the cells' own last facts, a slice of ``hold_s`` and the one before at a time, since holds are no longer.
     """
     span = hold_s * 1_000_000
     own = Window.partitionBy("source").orderBy("us", "attempt").rowsBetween(Window.unboundedPreceding, -1)
-    a = attempts.withColumn("_own", F.max(F.when(F.col("outcome") == "failed", F.col("us"))).over(own))
-    slice_of = F.floor(F.col("us") / span)
-    seen = a.withColumn("_slice", F.explode(F.array(slice_of, slice_of + 1)))
-    every = Window.partitionBy("_slice").orderBy("us", "attempt").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c: F.max(F.when(c, F.col("us"))).over(every)
-    seen = seen.withColumn("_quiet", last(F.col("outcome") == "no_answer")).withColumn("_answer", last(F.col("outcome") != "no_answer")).where(F.col("_slice") == slice_of)
+    cell = F.floor(F.col("us") / 1_000_000)
+    quiet, answer = F.when(F.col("outcome") == "no_answer", F.col("us")), F.when(~F.col("outcome").eqNullSafe("no_answer"), F.col("us"))
+    a = attempts.withColumn("_own", F.max(F.when(F.col("outcome") == "failed", F.col("us"))).over(own)).withColumn("_cell", cell)
+
+    cells = a.groupBy("_cell").agg(F.max(quiet).alias("q"), F.max(answer).alias("r"))
+    slice_of = F.floor(F.col("_cell") / hold_s)
+    seen = cells.withColumn("_slice", F.explode(F.array(slice_of, slice_of + 1)))
+    before = Window.partitionBy("_slice").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("_q", F.max("q").over(before)).withColumn("_r", F.max("r").over(before)).where(F.col("_slice") == slice_of).select("_cell", "_q", "_r")
+
+    within = Window.partitionBy("_cell").orderBy("us", "attempt").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, earlier: F.greatest(F.max(c).over(within), F.col(earlier))
+    both = a.join(seen, "_cell", "left").withColumn("_quiet", last(quiet, "_q")).withColumn("_answer", last(answer, "_r"))
     everywhere = F.col("_quiet").isNotNull() & (F.col("us") < F.col("_quiet") + span) & ~F.coalesce(F.col("_answer") > F.col("_quiet"), F.lit(False))
     mine = F.coalesce(F.col("us") < F.col("_own") + span, F.lit(False))
-    return seen.withColumn("held", everywhere | mine).drop("_slice", "_quiet", "_answer", "_own")
+    return both.withColumn("held", everywhere | mine).drop("_cell", "_q", "_r", "_quiet", "_answer", "_own")

@@ -80,11 +80,18 @@ def bad_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(op.bad_ranges(redactions_of(spark, sf_dir)).select("doc_id", "span_ordinal", "position"))
 
 
-@query("page_ops")
+# The events hold no moves: a page is gone from its first delete on, unless it is the last one left.
+@query(
+    "page_ops",
+    f"""WITH {BASE}, d AS (SELECT e.doc_id, e.page, min(e.position) AS gone FROM edits e JOIN pg ON e.doc_id = pg.doc_id AND e.page = pg.page WHERE e.kind = 'delete_page' GROUP BY ALL),
+s AS (SELECT pg.doc_id, pg.page, CASE WHEN count(d.gone) OVER a = count(*) OVER a AND d.gone = max(d.gone) OVER a THEN NULL ELSE d.gone END AS gone FROM pg LEFT JOIN d ON pg.doc_id = d.doc_id AND pg.page = d.page WINDOW a AS (PARTITION BY pg.doc_id)),
+t AS (SELECT s.doc_id, s.page, coalesce(sum(e.degrees), 0) % 360 AS degrees FROM s LEFT JOIN edits e ON e.doc_id = s.doc_id AND e.page = s.page AND e.kind = 'rotate' AND (s.gone IS NULL OR e.position < s.gone) GROUP BY ALL)
+SELECT s.doc_id, s.page::BIGINT AS page, t.degrees::BIGINT AS degrees, CASE WHEN s.gone IS NULL THEN count(*) FILTER (s.gone IS NULL) OVER (PARTITION BY s.doc_id ORDER BY s.page) - 1 END AS place FROM s JOIN t ON s.doc_id = t.doc_id AND s.page = t.page""",
+)
 def page_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edits_of(spark, sf_dir).withColumn("before", F.lit(None).cast("int"))
     docs = pages_of(spark, sf_dir).groupBy("doc_id").agg(F.count("*").cast("int").alias("pages"))
-    return op.fold_page_ops(e, docs)
+    return longs(op.fold_page_ops(e, docs))
 
 
 DELETED = "gone AS (SELECT DISTINCT doc_id, page FROM edits WHERE kind = 'delete_page' AND page > 0)"
@@ -149,7 +156,18 @@ def reading_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.diff_readings(op.latest_edits(e), op.latest_edits(e.where("position <= 5")))
 
 
-@query("word_churn")
+COMMON = "coalesce(list_min(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {x} <> {y})) - 1, least(len({a}), len({b})))"
+
+
+@query(
+    "word_churn",
+    f"""WITH {BASE}, w AS (SELECT e.doc_id, list_filter(regexp_split_to_array(s.text, '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(e.text, '\\s+'), lambda x: x <> '') AS b
+  FROM edits e JOIN spans s ON e.doc_id = s.doc_id AND e.span_ordinal = s.ordinal WHERE e.kind = 'replace'),
+p AS (SELECT *, {COMMON.format(a="a", b="b", x="a[i]", y="b[i]")} AS p FROM w), r AS (SELECT doc_id, a[p + 1:] AS a, b[p + 1:] AS b FROM p),
+q AS (SELECT *, {COMMON.format(a="a", b="b", x="a[len(a) - i + 1]", y="b[len(b) - i + 1]")} AS q FROM r),
+x AS (SELECT doc_id, unnest(a[:len(a) - q]) AS word, 1 AS taken, 0 AS put FROM q UNION ALL SELECT doc_id, unnest(b[:len(b) - q]), 0, 1 FROM q)
+SELECT doc_id, word, sum(taken)::BIGINT AS taken, sum(put)::BIGINT AS put FROM x GROUP BY ALL""",
+)
 def word_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = spans_of(spark, sf_dir).select("doc_id", F.col("ordinal").alias("span_ordinal"), F.col("text").alias("before"))
     after = edits_of(spark, sf_dir).where("kind = 'replace'").withColumnRenamed("text", "after")

@@ -101,9 +101,15 @@ def values_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.col("ordinal").cast("int").alias("start"), (F.col("ordinal") + F.length("text") % 4 + 1).cast("int").alias("stop"), F.when(F.col("text").rlike("[0-9]"), "number").otherwise("word").alias("kind"))
 
 
-@query("resolved_values")
+# A value begins at every ordinal of a document and ends within five: what stays is a chain from the first one.
+@query(
+    "resolved_values",
+    f"""WITH RECURSIVE {m.SPANS}, v AS MATERIALIZED (SELECT doc_id, ordinal AS start, ordinal + length(text) % 4 + 1 AS stop, CASE WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'word' END AS kind FROM spans),
+kept AS (SELECT * FROM v WHERE start = 0 UNION ALL SELECT v.* FROM kept JOIN v ON v.doc_id = kept.doc_id AND v.start = kept.stop)
+SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop, kind FROM kept""",
+)
 def resolved_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.resolve_values(values_of(spark, sf_dir))
+    return op.resolve_values(values_of(spark, sf_dir)).withColumns({c: F.col(c).cast("long") for c in ("start", "stop")})
 
 
 @query(

@@ -65,13 +65,20 @@ def usual_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.usual_gap(pieces, widths_of(spark, sf_dir), space).withColumn("page", F.col("page").cast("long"))
 
 
-@query("letter_spacing")
+@query(
+    "letter_spacing",
+    """WITH h AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '(?s).') AS letters FROM pages),
+g AS (SELECT doc_id, unnest(letters) AS letter, generate_subscripts(letters, 1) - 1 AS i FROM h),
+n AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 6.0::DOUBLE ELSE 5.0 END AS step, lead(letter) OVER w AS next, lead(i) OVER w AS j FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, median(round(((j - i) * step - 5.0) / 10.0, 6)) AS a FROM n WHERE trim(letter) <> '' AND trim(next) <> '' GROUP BY doc_id)
+SELECT doc_id, 0::BIGINT AS span, round(CASE WHEN abs(a) >= 0.015 THEN a ELSE 0.0 END, 6) AS spacing FROM m""",
+)
 def letter_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings' letters, every fourth heading spaced by a tenth of an em."""
     h = derive.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1), "")).alias("i", "letter")).where("letter <> ''")
     step = F.when(F.col("doc_id") % 4 == 0, 6.0).otherwise(5.0)
     g = h.select("doc_id", F.lit(0).alias("span"), F.col("i").alias("drawn_no"), "letter", (F.col("i") * step).alias("x"), F.lit(0.0).alias("y"), F.lit(5.0).alias("listed"), F.lit(5.0).alias("drawn"), F.lit(10.0).alias("size"))
-    return op.letter_spacing(g)
+    return op.letter_spacing(g).withColumn("span", F.col("span").cast("long"))
 
 
 def copies_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from ..operators.edits import History
+
+
+def put(state, rows: list[tuple]) -> None:
+    """Replaces a list state; one without rows is cleared, since Spark stores no empty lists."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
 
 def ledger_stream(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Each event id once; ids are forgotten once the watermark has passed them."""
@@ -19,11 +29,12 @@ def ledger_stream(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> D
 
 
 def latency_stream(requests: DataFrame, ts: str = "ts", delay: str = "10 minutes", window: str = "1 minute") -> DataFrame:
-    """Per route and tumbling window: requests, server errors, callers who left, slowest."""
+    """Per route and tumbling window: requests, server errors, callers who left, median, p95, slowest. Median and p95 are sketched (``percentile_approx``), so state stays small; exact ones are batch's."""
     return (
         requests.withWatermark(ts, delay)
         .groupBy(F.window(ts, window), "route")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"), F.count_if(F.col("status") == 499).alias("left"), F.max("ms").alias("max"))
+        .agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"), F.count_if(F.col("status") == 499).alias("left"), F.percentile_approx("ms", [0.5, 0.95], 10_000).alias("_at"), F.max("ms").alias("max"))
+        .select("window", "route", "n", "errors", "left", F.col("_at")[0].alias("median"), F.col("_at")[1].alias("p95"), "max")
     )
 
 
@@ -33,34 +44,45 @@ def lifetime_stream(touches: DataFrame, ts: str = "ts", delay: str = "1 hour", i
 
 
 class _Meter(StatefulProcessor):
-    """Digests counted per account and month; a map state that holds at most ``limit`` of each."""
+    """Digests counted per account and month; a map state that holds at most ``limit`` of each month, and how many each month holds. A month is forgotten once the one after the next has begun."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        key = StructType([StructField("month", StringType()), StructField("digest", StringType())])
-        self.counted = handle.getMapState("counted", key, StructType([StructField("us", LongType())]))
+        month, size = StructField("month", StringType()), StructType([StructField("n", LongType())])
+        self.counted = handle.getMapState("counted", StructType([month, StructField("digest", StringType())]), size)
+        self.sizes = handle.getMapState("sizes", StructType([month]), size)
 
     def handleInputRows(self, key, rows, timerValues):
         for frame in rows:
             frame = frame.sort_values(["us", "event_id"])
             months = pd.to_datetime(frame["us"], unit="us", utc=True).dt.strftime("%Y-%m")
-            out = []
-            for month, digest, us in zip(months, frame["digest"], frame["us"], strict=True):
+            out, sizes = [], {m: n for (m,), (n,) in self.sizes.iterator()}
+            for month, digest in zip(months, frame["digest"], strict=True):
                 known = self.counted.containsKey((month, digest))
-                ok = known or sum(1 for m, _ in self.counted.keys() if m == month) < self.limit
+                ok = known or sizes.get(month, 0) < self.limit
                 if ok and not known:
-                    self.counted.updateValue((month, digest), (int(us),))
+                    self.counted.updateValue((month, digest), (1,))
+                    sizes[month] = sizes.get(month, 0) + 1
+                    self.sizes.updateValue((month,), (sizes[month],))
                 out.append(ok)
+            self.forget(sorted(sizes)[:-2])
             yield pd.DataFrame({"account": frame["account"], "event_id": frame["event_id"], "admitted": out})
 
+    def forget(self, months: list[str]) -> None:
+        if months:
+            for k in [k for k in self.counted.keys() if k[0] in months]:
+                self.counted.removeKey(tuple(k))
+            for m in months:
+                self.sizes.removeKey((m,))
+
     def close(self) -> None:
         pass
 
 
 def meter_stream(opens: DataFrame, limit: int) -> DataFrame:
-    """Opens (account, digest, event_id, us) with ``admitted``, as ``meter_accounts`` in batch when they arrive in order."""
+    """Opens (account, digest, event_id, us) with ``admitted``, as ``meter_accounts`` in batch when they arrive in order, at most a month late."""
     schema = StructType([StructField("account", LongType()), StructField("event_id", LongType()), StructField("admitted", BooleanType())])
     return opens.groupBy("account").transformWithStateInPandas(_Meter(limit), schema, "Append", "None")
 
@@ -85,7 +107,7 @@ class _Admission(StatefulProcessor):
                     times.append(int(us))
                 out.append(ok)
             yield pd.DataFrame({"key": frame["key"], "request": frame["request"], "admitted": out})
-        self.times.put([(t,) for t in times])
+        put(self.times, [(t,) for t in times])
 
     def close(self) -> None:
         pass
@@ -97,6 +119,44 @@ def admit_stream(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
     return requests.groupBy("key").transformWithStateInPandas(_Admission(limit, int(window_s * 1_000_000)), schema, "Append", "None")
 
 
+class _Steps(StatefulProcessor):
+    """A document's steps done and undone, as rows (step, entry, value)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        row = StructType([StructField("step", LongType()), StructField("entry", LongType()), StructField("value", StringType())])
+        self.kept = {name: handle.getListState(name, row) for name in ("done", "undone")}
+
+    def handleInputRows(self, key, rows, timerValues):
+        history = History()
+        for step in self.steps("undone"):
+            history.undone.append(step)
+        for step in self.steps("done"):
+            history.push(step)
+        log = pd.concat(list(rows)).sort_values("seq")
+        out = []
+        for seq, action, entries, value in zip(log["seq"], log["action"], log["entries"], log["value"], strict=True):
+            ids = [] if entries is None else [int(i) for i in entries]
+            out += [(key[0], seq, *change) for change in history.apply(action, ids, None if pd.isna(value) else value)]
+        for name, steps in (("done", history.done), ("undone", history.undone)):
+            put(self.kept[name], [(i, int(e), v) for i, step in enumerate(steps) for e, v in step])
+        yield pd.DataFrame(out, columns=["doc_id", "seq", "entry", "value", "change"])
+
+    def steps(self, name: str) -> list[list[tuple[int, str]]]:
+        found: dict[int, list] = {}
+        for step, entry, value in self.kept[name].get():
+            found.setdefault(step, []).append((entry, value))
+        return [found[i] for i in sorted(found)]
+
+    def close(self) -> None:
+        pass
+
+
+def history_stream(actions: DataFrame) -> DataFrame:
+    """(doc_id, seq, entry, value, change) of actions (doc_id, seq, action, entries, value) that arrive in order: 1 for each entry that an action brought into effect, -1 for each it took out. Added up they are ``replay_history``."""
+    schema = StructType([StructField("doc_id", LongType()), StructField("seq", LongType()), StructField("entry", LongType()), StructField("value", StringType()), StructField("change", LongType())])
+    return actions.groupBy("doc_id").transformWithStateInPandas(_Steps(), schema, "Append", "None")
+
+
 def upsert_paid(target: str):
     """A ``foreachBatch`` function that folds applied events (account, paid_until, paid_read_at) into a Parquet table at ``target``.
 

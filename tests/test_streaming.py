@@ -1,8 +1,11 @@
 """Streams give what the batch gives on the same rows."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from foliomill.operators import logs, usage
+from foliomill.operators import edits, logs, usage
 from foliomill.sources import derive
 from foliomill.streaming import ledgers
 
@@ -45,6 +48,66 @@ def test_admission(spark, tmp_path):
     assert {(x.request, x.admitted) for x in got.collect()} == {(x.request, x.admitted) for x in want.collect()}
 
 
+def test_history(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = "doc_id long, seq long, action string, entries array<long>, value string"
+    log = []
+    draw = random.Random(5)
+    for seq in range(400):
+        action = draw.choice(["add", "add", "undo", "undo", "redo", "remove"])
+        entries = {"add": [seq, 1000 + seq], "remove": [draw.randrange(seq + 1), draw.randrange(1000, 1001 + seq)]}.get(action)
+        log.append((seq % 3, seq, action, entries, f"v{seq}"))
+    df = spark.createDataFrame(log, kind)
+    for part in ("seq < 150", "seq >= 150 and seq < 151", "seq >= 151"):
+        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "h"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "h"))
+        q = ledgers.history_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+    got = {(r.doc_id, r.entry, r.value): r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("doc_id", "entry", "value").agg(F.sum("change").alias("n")).where("n <> 0").collect()}
+    assert got == dict.fromkeys(((r.doc_id, r.entry, r.value) for r in edits.replay_history(df).collect()), 1) == dict.fromkeys(walked(log), 1)
+
+
+def walked(log):
+    """The entries in effect, by walking all steps at every action."""
+    state = {}
+    for doc, _, action, ids, value in log:
+        done, undone = state.get(doc, ([], []))
+        if action == "add":
+            done, undone = [*done, [(i, value) for i in ids]], []
+        elif action == "undo" and done:
+            done, undone = done[:-1], [*undone, done[-1]]
+        elif action == "redo" and undone:
+            done, undone = [*done, undone[-1]], undone[:-1]
+        elif action == "remove" and any(i in ids for s in done for i, _ in s):
+            done, undone = [s for s in ([e for e in s if e[0] not in ids] for s in done) if s], []
+        state[doc] = done, undone
+    return [(doc, *e) for doc, (done, _) in state.items() for s in done for e in s]
+
+
+def test_latency_and_lifetimes(spark, tmp_path):
+    """Windows that the watermark has passed equal the batch's."""
+    r = derive.requests(derive.table(spark, DATA, "events")).withColumn("ts", F.timestamp_micros("us"))
+    got = drained(spark, ledgers.latency_stream(stream_of(spark, r, tmp_path / "r"), delay="1 second", window="1 day"), "latency")
+    got = {(x.route, x.w): x for x in got.withColumn("w", F.unix_timestamp("window.start")).collect()}
+    want = {(x.route, x.w): x for x in logs.route_latency(r, 86400).collect()}
+    last = max(w for _, w in want)
+    assert got and set(got) == {k for k in want if k[1] < last}
+    ms = {}
+    for x in r.select("route", "us", "ms").collect():
+        ms.setdefault((x.route, x.us // 86_400_000_000 * 86400), []).append(x.ms)
+    for k, x in got.items():
+        assert (x.n, x.errors, x.left, x.max) == (want[k].n, want[k].errors, want[k].left, want[k].max)
+        at = sorted(ms[k])
+        assert (x.median, x.p95) == tuple(at[math.ceil(q * len(at)) - 1] for q in (0.5, 0.95))
+
+    t = derive.table(spark, DATA, "events").select(F.col("user_id").alias("doc_id"), F.expr("unix_micros(ts::timestamp)").alias("us"), F.col("ts").cast("timestamp").alias("ts"))
+    lives = drained(spark, ledgers.lifetime_stream(stream_of(spark, t, tmp_path / "t"), delay="1 second"), "lives")
+    sessions = {(x.doc_id, x.a, x.touches) for x in lives.select("doc_id", F.expr("unix_micros(session_window.start)").alias("a"), "touches").collect()}
+    all_ = {(x.doc_id, x.first_us, x.touches) for x in logs.lifetimes(t).collect()}
+    assert sessions and sessions <= all_ and len(all_) - len(sessions) <= t.select("doc_id").distinct().count()
+
+
 def test_paid_state_is_replayable(spark, tmp_path):
     applied = usage.apply_events(usage.ledger(derive.billing_events(derive.table(spark, DATA, "events")))).where("outcome = 'applied'")
     fold = ledgers.upsert_paid(str(tmp_path / "paid"))
