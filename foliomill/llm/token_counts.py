@@ -10,7 +10,8 @@ Committing is idempotent: a batch whose rollup folder holds a success marker is
 one that broke off is written anew from the same ledger of earlier batches, to the same folder.
 
 A batch meets only the ledger rows of its own keys. Batches are committed one after another: two
-committers at once that touch one document would both take off its old contribution.
+committers at once that touch one document would both take off its old contribution. ``compact``
+writes a base, from which later commits read instead of the batches' ledgers.
 
 Edge cases: a delete or revise of an unknown document is a no-op or an insert; several changes of
 one key in a batch: the one with the highest ``seq`` holds, then the larger count; a document
@@ -63,8 +64,35 @@ class TokenRollup:
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
         return sorted(n for n in names if self._exists(f"{self.folder}/rollup/{n}/_SUCCESS"))
 
+    def compact(self, name: str) -> bool:
+        """Write what all committed batches amount to as one base under ``name``; False if it is there already.
+
+        Later reads take the base last in order of names and the batches it does not cover. The list of covered batches is written last and marks
+        a base as whole, so one that broke off is not seen and can be written again. A batch's rollup folder stays as the mark that it is
+        committed; the ledger folders of covered batches are not read again.
+        """
+        base = f"{self.folder}/base/{name}"
+        if self._exists(f"{base}/covers/_SUCCESS"):
+            return False
+        names = self.batches()
+        ledger = self.current().withColumn("sign", F.lit(1)).unionByName(self._read("ledger", LEDGER).where("doc_id is null"))
+        ledger.select("doc_id", "version", "source", "lang", "tokens", "sign").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{base}/ledger")
+        self.totals(drop_empty=False).write.mode("overwrite").parquet(f"{base}/rollup")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{base}/covers")
+        return True
+
+    def _base(self) -> tuple[list[str], set[str]]:
+        """The newest whole base's folder, if any, and the batches it covers."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/base")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = sorted(f"{self.folder}/base/{s.getPath().getName()}" for s in fs.listStatus(root)) if fs.exists(root) else []
+        whole = [p for p in paths if self._exists(f"{p}/covers/_SUCCESS")]
+        # names of batches, not rows of them
+        return whole[-1:], {r.batch for r in self.spark.read.parquet(f"{whole[-1]}/covers").collect()} if whole else set()
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/{b}" for b in self.batches()]
+        base, covered = self._base()
+        paths = [f"{p}/{kind}" for p in base] + [f"{self.folder}/{kind}/{b}" for b in self.batches() if b not in covered]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def current(self, keys: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import shutil
 import time
 import tracemalloc
 import unicodedata
@@ -469,6 +470,27 @@ def test_token_rollup_counts_the_nameless_and_repeats(spark, tmp_path):
     assert [(r.doc_id, r.tokens) for r in store.current().collect()] == [(1, 3)]
 
 
+def test_token_rollup_compacts(spark, tmp_path):
+    store = token_counts.TokenRollup(spark, str(tmp_path / "r"))
+    make = lambda rows: spark.createDataFrame(rows, token_counts.CHANGES)
+    first, second = [(1, "v", "insert", "a", "en", 5, 0), (2, "v", "insert", "a", None, 7, 0), (None, "v", "insert", "b", "en", 3, 0), (3, "v", "insert", "c", "en", 1, 0)], [(1, "v", "revise", "a", "en", 6, 0), (3, "v", "delete", None, None, None, 0)]
+    store.commit("1", make(first))
+    store.commit("2", make(second))
+    before = sorted(map(str, store.totals(drop_empty=False).collect()))
+    assert store.compact("1") and not store.compact("1")
+    shutil.rmtree(tmp_path / "r/ledger")  # covered ledgers are not read again
+    assert sorted(map(str, store.totals(drop_empty=False).collect())) == before
+    assert not store.commit("2", make(second))
+    store.commit("3", make([(1, "v", "delete", None, None, None, 0), (2, "v", "revise", "c", "en", 2, 0), (4, "v", "insert", "a", "en", 9, 0)]))
+    want = {("b", "en", 1, 3), ("c", "en", 1, 2), ("a", "en", 1, 9)}
+    assert {(r.source, r.lang, r.docs, r.tokens) for r in store.totals().collect()} == want
+    assert store.compact("2") and {(r.source, r.lang, r.docs, r.tokens) for r in store.totals().collect()} == want
+    # a base that broke off before its list is not seen
+    (tmp_path / "r/base/2/covers/_SUCCESS").unlink()
+    assert {(r.source, r.lang, r.docs, r.tokens) for r in store.totals().collect()} == want and store.compact("2")
+    assert sorted((r.doc_id, r.tokens) for r in store.current().collect()) == [(2, 2), (4, 9)]
+
+
 def test_real_tokenizers_count_as_a_version(spark, odd):
     from tokenizers import Tokenizer
 
