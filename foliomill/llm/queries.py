@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .line_dedup import op3_line_dedup
 from .near_dup import op9_ngram_jaccard
 from .packing import op8_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_pii": op10_pii,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_token_counts": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_token_counts": OP7_SQL, "op13_filter_audit": OP13_SQL}
