@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
+from .divergence import OP11_SQL, op11_divergence
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .line_dedup import op3_line_dedup
 from .near_dup import op9_ngram_jaccard
@@ -15,6 +16,7 @@ from .pii import op10_pii
 from .rules import op6_quality_rules
 from .scoring import op1_lm_scoring
 from .sharding import op2_sharding
+from .substring_dedup import OP12_SQL, op12_substring_dedup
 from .token_counts import OP7_SQL, op7_token_counts
 from .toxicity import op5_toxicity
 
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_pii": op10_pii,
+    "op11_divergence": op11_divergence,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_token_counts": OP7_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_token_counts": OP7_SQL, "op11_divergence": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
