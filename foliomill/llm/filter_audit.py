@@ -35,8 +35,10 @@ LEAST = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
 class TrieRule:
-    #: Bytes of text that may share a beginning, unless it is one text; also about what a task holds.
-    capacity: int = 32 << 20
+    #: Bytes of text that may share a beginning, unless it is one text.
+    capacity: int = 4 << 20
+    #: Bytes of text that a task is given, on average.
+    task_bytes: int = 32 << 20
     #: Characters of the shortest beginnings; longer ones are twice as long each time.
     first: int = 8
     #: Heavy beginnings (8 bytes each) that may be broadcast; more are joined by a shuffle.
@@ -105,7 +107,7 @@ def by_beginning(texts: DataFrame, rule: TrieRule, work: Workspace) -> DataFrame
     own = F.substring(F.col("text"), F.lit(1), F.col("_length"))
     keyed = marks.withColumn("_length", deeper)
     keyed = keyed.select(*texts.columns, F.substring(own, 1, 64).alias("head"), F.when(F.col("_length") > 64, F.xxhash64(own)).otherwise(F.lit(0)).cast("long").alias("tail"))
-    parts = max(1, -(-total // rule.capacity))
+    parts = max(1, -(-total // rule.task_bytes))
     return keyed.repartitionByRange(parts, "head", "tail").sortWithinPartitions("head", "tail")
 
 
