@@ -43,7 +43,9 @@ class AuditRule:
     #: Bytes of shards that are broadcast at a time; one shard is at least.
     broadcast_bytes: int = 128 << 20
     #: Bytes of dense counts that a task holds before it hands them on.
-    dense_bytes: int = 96 << 20
+    dense_bytes: int = 64 << 20
+    #: Bytes of documents whose terms are told apart together.
+    batch_bytes: int = 8 << 20
     #: Slots of a block in which all pairs of sources of a language are compared.
     block: int = 2048
 
@@ -117,6 +119,15 @@ def keyed(langs: pa.Array, terms: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(langs, terms, "\0")
 
 
+def ranked(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values (from 0 to ``top`` - 1), and each one's rank among them; by marks, unless ``top`` is far beyond their number."""
+    if top > 8 * len(values) + (1 << 20):
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(top + 1, bool)
+    there[values] = True
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[values]
+
+
 class Batch:
     """The terms of a batch by language: distinct (lang, term) pairs, and for every occurrence its pair and its row."""
 
@@ -124,8 +135,8 @@ class Batch:
         self.langs = batch.column("lang").dictionary_encode()
         lang = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         codes, words, counts = terms_of(batch.column("text"))
-        self.row = np.repeat(np.arange(batch.num_rows), counts)
-        used, self.pair = np.unique(lang[self.row] * max(1, len(words)) + codes, return_inverse=True)
+        self.row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), counts)
+        used, self.pair = ranked(lang[self.row] * max(1, len(words)) + codes, len(self.langs.dictionary) * len(words))
         self.lang = self.langs.dictionary.take(pa.array(used // max(1, len(words))))
         self.term = words.take(pa.array(used % max(1, len(words))))
 
@@ -138,10 +149,10 @@ def kept_terms(docs: DataFrame, rule: AuditRule) -> DataFrame:
     """(lang, term) in at least ``least_docs`` documents of the language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16 << 20):
+        for batch in slices(batches, rule.batch_bytes):
             b = Batch(batch)
             n = max(1, len(b.term))
-            docs_of = np.bincount(np.unique(b.row * n + b.pair) % n, minlength=len(b.term))
+            docs_of = np.bincount(np.unique(b.row.astype(np.int64) * n + b.pair) % n, minlength=len(b.term))
             yield pa.RecordBatch.from_arrays([b.lang, b.term, pa.array(docs_of, pa.int64())], names=["lang", "term", "n"])
 
     counts = docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
@@ -165,28 +176,35 @@ def index(kept: DataFrame, rule: AuditRule) -> DataFrame:
 
 
 class Shards:
-    """Some shards of all, and where the slots of each begin in one common numbering."""
+    """Some shards of all. Each language's keys in them are numbered on their own, for dense arrays."""
 
     def __init__(self, rows: list, starts: dict[int, int], count: int):
-        self.count, self.starts, self.own = count, starts, {}
+        self.count, self.own, self.at = count, {}, {}
+        langs, numbers = [], []
         for r in rows:
             keys = pa.array(r["keys"], pa.string())
             placed = len(keys) - r["rest"]
             self.own[r["shard"]] = PerfectHash(r["sizes"], np.frombuffer(r["words"], np.uint64), keys, {k: placed + i for i, k in enumerate(r["keys"][placed:])})
-        order = sorted(self.own)
-        ends = np.cumsum([0, *(len(self.own[s].keys) for s in order)]).tolist()
-        #: Slots of these shards next to each other, for dense arrays, and the common number of each.
-        self.at, self.size = dict(zip(order, ends, strict=False)), ends[-1]
-        self.numbers = np.concatenate([np.arange(len(self.own[s].keys)) + starts[s] for s in order]) if order else np.empty(0, np.int64)
+            self.at[r["shard"]] = len(langs)
+            langs += [k.rpartition("\0")[0] for k in r["keys"]]
+            numbers.append(np.arange(len(keys)) + starts[r["shard"]])
+        names, lang = np.unique(np.array(langs, object), return_inverse=True) if langs else ([], np.empty(0, np.int64))
+        order = np.argsort(lang, kind="stable")
+        self.dense, sizes = np.empty(len(langs), np.int64), np.bincount(lang, minlength=len(names))
+        self.dense[order] = np.arange(len(langs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole = np.concatenate([*numbers, np.empty(0, np.int64)])[order]
+        #: For each language the common numbers of its slots, in dense order.
+        self.numbers = dict(zip(names, np.split(whole, np.cumsum(sizes)[:-1]), strict=True)) if langs else {}
 
     def slots(self, keys: pa.Array) -> np.ndarray:
+        """The dense slot of each key among its language's, -1 if it is none."""
         h = hashes(keys)
         shard, out = shard_of(h, self.count), np.full(len(h), -1, np.int64)
         for s in np.unique(shard).tolist():
             if s in self.own:
                 mine = np.flatnonzero(shard == s)
                 found = self.own[s].slots(keys.take(pa.array(mine)), h[mine])
-                out[mine] = np.where(found >= 0, found + self.at[s], -1)
+                out[mine[found >= 0]] = self.dense[found[found >= 0] + self.at[s]]
         return out
 
 
@@ -201,25 +219,31 @@ def recount(docs: DataFrame, shards: object, rule: AuditRule) -> DataFrame:
                 at = np.flatnonzero(counts)
                 if len(at):
                     same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(at), np.int64)))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(known.numbers[at]), pa.array(counts[at])], names=["lang", "source", "slot", "n"])
+                    yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(known.numbers[lang][at]), pa.array(counts[at])], names=["lang", "source", "slot", "n"])
             dense.clear()
 
-        for batch in slices(batches, 16 << 20):
+        held = 0
+        for batch in slices(batches, rule.batch_bytes):
             b = Batch(batch)
             slot = known.slots(keyed(b.lang, b.term))[b.pair]
             sources = batch.column("source").dictionary_encode()
-            groups, group = np.unique(b.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            n = len(sources.dictionary)
+            groups, group = np.unique(b.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + sources.indices.to_numpy(zero_copy_only=False), return_inverse=True)
             kept = slot >= 0
             slot, of = slot[kept], group[b.row[kept]]
-            order = np.argsort(of, kind="stable")
+            order = np.argsort(of.astype(np.int16) if len(groups) < 1 << 15 else of, kind="stable")
             ends = np.searchsorted(of[order], np.arange(len(groups) + 1))
             for k, g in enumerate(groups.tolist()):
-                name = b.langs.dictionary[g // len(sources.dictionary)].as_py(), sources.dictionary[g % len(sources.dictionary)].as_py()
-                if name not in dense:
-                    if (len(dense) + 1) * known.size * 8 > rule.dense_bytes:
+                name = b.langs.dictionary[g // n].as_py(), sources.dictionary[g % n].as_py()
+                if name not in dense and name[0] in known.numbers:
+                    size = 8 * len(known.numbers[name[0]])
+                    if held + size > rule.dense_bytes:
                         yield from flush()
-                    dense[name] = np.zeros(known.size, np.int64)
-                np.add.at(dense[name], slot[order[ends[k] : ends[k + 1]]], 1)
+                        held = 0
+                    dense[name] = np.zeros(size // 8, np.int64)
+                    held += size
+                if ends[k + 1] > ends[k]:
+                    np.add.at(dense[name], slot[order[ends[k] : ends[k + 1]]], 1)
         yield from flush()
 
     return docs.mapInArrow(run, "lang string, source string, slot long, n long")
@@ -231,10 +255,6 @@ def share(n: Column) -> Column:
     return F.lit(1) + F.call_function("div", scaled, (F.col("total") + 2 * F.col("v")).cast("decimal(20,0)"))
 
 
-def distance(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), p + q)
-
-
 def term_counts(docs: DataFrame, rule: AuditRule, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(lang, source, slot, n) with n > 0, and (lang, term, slot), of the kept terms; both written."""
     spark = docs.sparkSession
@@ -264,25 +284,37 @@ def term_counts(docs: DataFrame, rule: AuditRule, work: Workspace) -> tuple[Data
     return cells, work.write(terms.select(F.substring(F.col("key"), F.lit(1), cut - 1).alias("lang"), F.substring_index("key", "\0", -1).alias("term"), (F.col("start") + F.col("k")).alias("slot")), "terms")
 
 
-def pair_sums(cells: DataFrame, groups: DataFrame, rule: AuditRule) -> DataFrame:
-    """(lang, source, item, value): the distance of any two sources of a language over the terms that occur in it."""
-    block = F.expr(f"slot div {rule.block}")
-    placed = cells.join(groups, ["lang", "source"]).select("lang", block.alias("block"), "source", "slot", share(F.col("n")).alias("p"))
-    least = groups.where("v > 0").select("lang", "source", share(F.lit(0)).alias("p0"))
-    asked = least.join(placed.select("lang", F.col("block").alias("b")).distinct(), "lang").withColumnRenamed("b", "block")
+def compare(cells: DataFrame, groups: DataFrame, rule: AuditRule) -> DataFrame:
+    """(lang, source, item, slot, value), block of slots by block: with ``item`` the distance of two sources over the block's terms, with ``slot`` the distance of a source from its
+    language at a term it has more of, of which a block tells the ``top`` largest of each source and all that equal the last.
+    """
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
+    asked = groups.where("v > 0").select("lang", "source", share(F.lit(0)).alias("p0")).join(whole, "lang")
+    placed = cells.join(groups, ["lang", "source"]).select("lang", F.expr(f"slot div {rule.block}").alias("block"), "source", "slot", "n", share(F.col("n")).alias("p"))
+    asked = asked.join(placed.select("lang", F.col("block").alias("b")).distinct(), "lang").withColumnRenamed("b", "block")
 
-    def compare(own: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+    def block(own: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
         sides = sides.sort_values("source").reset_index(drop=True)
-        slots, at = np.unique(own["slot"], return_inverse=True)
+        names, (slots, at) = sides["source"].to_numpy(), np.unique(own["slot"], return_inverse=True)
+        side = pd.Index(names).get_indexer(own["source"])
         p = np.repeat(sides["p0"].to_numpy()[:, None], len(slots), axis=1)
-        p[pd.Index(sides["source"]).get_indexer(own["source"]), at] = own["p"]
-        out = [((p[i] - p[i + 1 :]) ** 2 // (p[i] + p[i + 1 :])).sum(axis=1) for i in range(len(p))]
+        p[side, at] = own["p"]
+        sums = [((p[i] - p[i + 1 :]) ** 2 // (p[i] + p[i + 1 :])).sum(axis=1) for i in range(len(p))]
         i, j = np.triu_indices(len(p), 1)
-        names, value = sides["source"].to_numpy(), np.concatenate([*out, np.empty(0, np.int64)]).astype(np.int64)
-        return pd.DataFrame({"lang": sides["lang"].iloc[0] if len(sides) else None, "source": np.concatenate([names[i], names[j]]), "item": np.concatenate([names[j], names[i]]), "value": np.concatenate([value, value])})
+        value = np.concatenate([*sums, np.empty(0, np.int64)]).astype(np.int64)
+        pairs = pd.DataFrame({"source": np.concatenate([names[i], names[j]]), "item": np.concatenate([names[j], names[i]]), "slot": -1, "value": np.concatenate([value, value])})
+
+        n = np.zeros(len(slots), np.int64)
+        np.add.at(n, at, own["n"].to_numpy())
+        total, v = int(sides["total"][0]), int(sides["v"][0])
+        q = np.array([1 + 10**9 * (int(x) + 2) // (total + 2 * v) for x in n], np.int64)[at]
+        mine = own["p"].to_numpy()
+        terms = pd.DataFrame({"source": own["source"], "item": None, "slot": own["slot"], "value": (mine - q) ** 2 // (mine + q)})[mine > q]
+        if len(terms):
+            terms = terms[terms.groupby("source")["value"].rank(method="min", ascending=False) <= rule.top]
+        return pd.concat([x for x in (pairs, terms) if len(x)] or [pairs]).assign(lang=sides["lang"][0])
 
-    sums = placed.groupBy("lang", "block").cogroup(asked.groupBy("lang", "block")).applyInPandas(compare, "lang string, source string, item string, value long")
-    return sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    return placed.groupBy("lang", "block").cogroup(asked.groupBy("lang", "block")).applyInPandas(block, "lang string, source string, item string, slot long, value long")
 
 
 def divergence(docs: DataFrame, rule: AuditRule = AuditRule()) -> DataFrame:
@@ -296,19 +328,16 @@ def divergence(docs: DataFrame, rule: AuditRule = AuditRule()) -> DataFrame:
     groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(v, "lang", "left")
     groups = work.write(groups.select("lang", "source", zero("total"), zero("v")), "groups")
 
+    told = work.write(compare(cells, groups, rule), "told")
     others = groups.select("lang", F.col("source").alias("item"))
     pairs = groups.select("lang", "source").join(others, "lang").where("source <> item")
-    pairs = pairs.join(pair_sums(cells, groups, rule), ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", zero("value"))
-
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    q = cells.groupBy("lang", "slot").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "slot", share(F.col("n")).alias("q"))
-    p = cells.join(groups, ["lang", "source"]).select("lang", "source", "slot", share(F.col("n")).alias("p"))
-    apart = p.join(q, ["lang", "slot"]).where("p > q").join(terms, ["lang", "slot"])
-    apart = apart.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
+    distances = told.where("item is not null").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    pairs = pairs.join(distances, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", zero("value"))
+    apart = told.where("item is null").join(terms, ["lang", "slot"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
-    return ranked(pairs).unionByName(ranked(apart).where(F.col("rank") <= rule.top))
+    numbered = lambda df: df.withColumn("rank", F.row_number().over(order))
+    return numbered(pairs).unionByName(numbered(apart).where(F.col("rank") <= rule.top))
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
