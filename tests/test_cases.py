@@ -260,16 +260,6 @@ def test_hidden_copies(spark):
     assert {(r.place, r.text) for r in redaction.scrub(copies, terms).where("doc_id = 1").collect()} >= {("metadata", "by ."), ("comments", "Johnson")}
 
 
-def test_glyphs(spark):
-    kind = "doc_id long, page int, letter string, x double, y double, drawn_no long"
-    before = spark.createDataFrame([(1, 0, "a", 0.0, 0.0, 0), (1, 0, "b", 6.0, 0.0, 1), (1, 0, " ", 9.0, 0.0, 2)], kind)
-    after = spark.createDataFrame([(1, 0, "a", 0.04, 0.0, 0), (1, 0, "b", 8.0, 0.0, 1)], kind)
-    d = redaction.glyph_diff(before, after)
-    assert sorted((r.letter, r.state) for r in d.collect()) == [("a", "kept"), ("b", "gone"), ("b", "new")]
-    v = redaction.glyph_verdicts(d, spark.createDataFrame([(1, "b")], "doc_id long, term string")).first()
-    assert v.taken and v.moved
-
-
 def test_admission_equals_a_plain_walk(spark):
     r = random.Random(1)
     asked = [(i % 3, i, int(t * 1_000_000)) for i, t in enumerate(sorted(r.uniform(0, 300) for _ in range(200)))]
