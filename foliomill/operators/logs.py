@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..functions.running import running
+from ..workspace import Workspace
+
 LINE = r"^(\S+) (DEBUG|INFO|WARN|ERROR) (\S+) (\S+) (\S+)(?: (.*))?$"
 
 
@@ -80,28 +83,53 @@ def cold_tasks(tasks: DataFrame) -> DataFrame:
 def admit(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
     """``requests`` (key, request, us) with ``admitted``: fewer than ``limit`` admitted in the last window; a start exactly a window old no longer counts.
 
-    Refused requests do not count, so each answer depends on those before: a key's requests are walked in order.
+    Refused requests do not count, so an answer may depend on those before. It does not where no more than ``limit`` requests, this one included, fall in a window: such a
+    calm request is admitted. Only busy stretches are walked. One begins at a request that is not calm, with all of a window before it calm: what counts then is
+    known, the requests of that window. Buckets of a key's time, each with the little before and after that its rows may need, tell calm from busy, so
+    a hot key is spread over its buckets and stretches. A stretch that never calms down is walked in one task, with at most ``limit`` times in memory.
     """
-    span = int(window_s * 1_000_000)
+    span, size = int(window_s * 1_000_000), 64 * int(window_s * 1_000_000)
+    work = Workspace(requests.sparkSession, "admit")
+    r = requests.select(*[F.col(c).cast("long").alias(c) for c in ("key", "request", "us")])
+    own = F.floor(F.col("us") / size)
+    into = F.col("us") - own * size
+    buckets = F.array(own, F.when(into >= size - 2 * span, own + 1), F.when(into < span, own - 1))
+    r = r.withColumn("bucket", own).withColumn("_b", F.explode(F.filter(buckets, lambda b: b.isNotNull())))
+    seen = Window.partitionBy("key", "_b").orderBy("us")
+    order = Window.partitionBy("key", "_b").orderBy("us", "request")
+    r = r.withColumn("busy", F.count("*").over(seen.rangeBetween(-(span - 1), 0)) > limit)
+    r = r.withColumn("_last", F.max(F.when(F.col("busy"), F.col("us"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    after_busy = F.coalesce(F.col("_last") > F.col("us") - span, F.lit(False))
+    begin = F.when(F.col("busy") & ~after_busy, F.struct("us", "request"))
+    r = r.withColumn("begin", begin).withColumn("next", F.min("begin").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    r = work.write(r.where("_b = bucket").select("key", "request", "us", "bucket", "busy", "begin", (F.col("busy") | after_busy).alias("on"), F.when(F.col("next.us") - span < F.col("us"), F.col("next")).alias("next")), "marked")
+    r = running(r, "key", "bucket", ["us", "request"], F.col("begin"), "max", "stretch")
+    part = lambda of, asked: F.struct(of.alias("stretch"), asked.alias("asked"))
+    parts = F.array(F.when(F.col("on"), part(F.col("stretch"), F.col("busy"))), F.when(F.col("next").isNotNull(), part(F.col("next"), F.lit(False))))
+    r = work.write(r.select("key", "request", "us", "busy", F.filter(parts, lambda x: x.isNotNull()).alias("parts")), "stretches")
+    walked = r.select("key", "request", "us", F.explode("parts").alias("p")).select("key", "p.stretch.*", F.col("us").alias("at"), F.col("request").alias("id"), "p.asked")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, times = object(), deque()
         for batch in batches:
+            key, first, request, at, ids, asked = (batch.column(c).to_pylist() for c in ("key", "us", "request", "at", "id", "asked"))
             out = []
-            for key, us in zip(batch.column("key").to_pylist(), batch.column("us").to_pylist(), strict=True):
-                if key != now:
-                    now, times = key, deque()
+            for stretch, us in zip(zip(key, first, request, strict=True), at, strict=True):
+                if stretch != now:
+                    now, times = stretch, deque()
                 while times and times[0] <= us - span:
                     times.popleft()
                 ok = len(times) < limit
                 if ok:
                     times.append(us)
                 out.append(ok)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "admitted"])
+            told = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((key, ids, at, out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["key", "request", "us", "admitted"])
+            yield told.filter(pa.array(asked, pa.bool_()))
 
-    # Streamed in order: only the times of one window are held, however long a key's log is.
-    r = requests.select(*[F.col(c).cast("long").alias(c) for c in ("key", "request", "us")])
-    return r.repartition("key").sortWithinPartitions("key", "us", "request").mapInArrow(walk, "key long, request long, us long, admitted boolean")
+    # Streamed in order: only the times of one window are held, however long a stretch is.
+    dealt = walked.repartition("key", "us", "request").sortWithinPartitions("key", "us", "request", "at", "id")
+    busy = dealt.mapInArrow(walk, "key long, request long, us long, admitted boolean")
+    return r.where("not busy").select("key", "request", "us", F.lit(True).alias("admitted")).unionByName(busy)
 
 
 @F.pandas_udf(StringType())
@@ -130,22 +158,28 @@ def request_rate(requests: DataFrame, window_s: int) -> DataFrame:
     return requests.withColumn("rate", F.count("*").over(w))
 
 
-def concurrency(jobs: DataFrame, at_work: int, waiting: int) -> DataFrame:
+def concurrency(jobs: DataFrame, at_work: int, waiting: int, bucket_us: int = 86_400_000_000) -> DataFrame:
     """Per key of jobs (key, started, ended): jobs, the most in line at once, and how many were refused because ``at_work`` + ``waiting`` were in line.
 
-    A refused job never joins the line, so each answer depends on those before: a key's jobs are walked in order of their start (then
-    end), streamed, and only the ends of those in line are held. Ends come before starts at the same time.
+    A refused job never joins the line, so an answer depends on those before, but not across a start at which all jobs begun before have ended, refused ones
+    included: the line is empty. A key's log is cut there, by running maxima over buckets of its time, and the pieces are walked side by side in order of start
+    (then end), streamed, holding only the ends of those in line. Ends come before starts at the same time.
     """
+    work = Workspace(jobs.sparkSession, "concurrency")
+    j = jobs.select(*[F.col(c).cast("long").alias(c) for c in ("key", "started", "ended")]).withColumn("bucket", F.floor(F.col("started") / bucket_us))
+    j = work.write(running(j, "key", "bucket", ["started", "ended"], F.col("ended"), "max", "_busy_until", -1), "ends")
+    empty = F.coalesce(F.col("_busy_until") <= F.col("started"), F.lit(True))
+    j = running(j, "key", "bucket", ["started", "ended"], F.when(empty, F.col("started")), "max", "piece")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, line, told = object(), [], [0, 0, 0]
         for batch in batches:
             done = []
-            for key, started, ended in zip(*(batch.column(c).to_pylist() for c in ("key", "started", "ended")), strict=True):
-                if key != now:
+            for *piece, started, ended in zip(*(batch.column(c).to_pylist() for c in ("key", "piece", "started", "ended")), strict=True):
+                if piece != now:
                     if told[0]:
-                        done.append((now, *told))
-                    now, line, told = key, [], [0, 0, 0]
+                        done.append((now[0], *told))
+                    now, line, told = piece, [], [0, 0, 0]
                 while line and line[0] <= started:
                     heapq.heappop(line)
                 told[0] += 1
@@ -157,12 +191,13 @@ def concurrency(jobs: DataFrame, at_work: int, waiting: int) -> DataFrame:
             if done:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in done], schema)
         if told[0]:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, (now, *told), strict=True))], schema)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (now[0], *told), strict=True))], schema)
 
     names = ["key", "jobs", "peak", "over"]
     schema = pa.schema([(n, pa.int64()) for n in names])
-    j = jobs.select(*[F.col(c).cast("long").alias(c) for c in ("key", "started", "ended")])
-    return j.repartition("key").sortWithinPartitions("key", "started", "ended").mapInArrow(walk, "key long, jobs long, peak long, over long")
+    dealt = j.select("key", "piece", "started", "ended").repartition("key", "piece").sortWithinPartitions("key", "piece", "started", "ended")
+    pieces = dealt.mapInArrow(walk, "key long, jobs long, peak long, over long")
+    return pieces.groupBy("key").agg(F.sum("jobs").alias("jobs"), F.max("peak").alias("peak"), F.sum("over").alias("over"))
 
 
 def lifetimes(touches: DataFrame, idle_s: int = 3600) -> DataFrame:

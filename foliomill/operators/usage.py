@@ -6,13 +6,14 @@ time are broken by event id or arrival, so every result is deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..workspace import Workspace
+
 LEEWAY_S = 2 * 3600
 KEPT_S = 365 * 86400
 
@@ -37,28 +38,33 @@ def meter_accounts(opens: DataFrame, limit: int) -> DataFrame:
 def meter_browsers(opens: DataFrame, free: int) -> DataFrame:
     """``opens`` (browser, digest, event_id, us) with ``admitted``: a browser's free documents, its list kept 365 days from its last new file.
 
-    Whether a list has lapsed depends on what was admitted before, so a browser's opens are walked in order.
+    A list admits its first ``free`` digests, each of them within 365 days of the one before, and lapses at the first open 365 days or more after its last new one.
+    So all lists of an age are told at once, by each digest's first open: an age a round, as many rounds as any browser had lists, each at least 365 days
+    of its log. Rows of one browser are never brought together, only ``free`` digests.
     """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, until = object(), set(), None
-        for batch in batches:
-            out = []
-            for browser, digest, us in zip(*(batch.column(c).to_pylist() for c in ("browser", "digest", "us")), strict=True):
-                if browser != now:
-                    now, held, until = browser, set(), None
-                if until is not None and us >= until:
-                    held = set()
-                ok = digest in held or len(held) < free
-                if ok and digest not in held:
-                    held.add(digest)
-                    until = us + KEPT_S * 1_000_000
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "admitted"])
-
-    # Streamed in order: only one list of free documents is held, however long a browser's log is.
+    work = Workspace(opens.sparkSession, "browsers")
     o = opens.select(F.col("browser").cast("long").alias("browser"), F.col("digest").cast("string").alias("digest"), *[F.col(c).cast("long").alias(c) for c in ("event_id", "us")])
-    return o.repartition("browser").sortWithinPartitions("browser", "us", "event_id").mapInArrow(walk, "browser long, digest string, event_id long, us long, admitted boolean")
+    left, told, at, kept = work.write(o, "opens-0"), [], F.struct("us", "event_id"), KEPT_S * 1_000_000
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"_{c}"))
+    while True:
+        age = len(told)
+        firsts = left.groupBy("browser", "digest").agg(F.min(at).alias("first"))
+        order = Window.partitionBy("browser").orderBy("first", "digest")
+        list_of = firsts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= free)
+        late = F.coalesce(F.col("first.us") >= F.lag("first.us").over(order) + kept, F.lit(False))
+        list_of = list_of.withColumn("_late", late).withColumn("_lapsed", F.max("_late").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("not _lapsed")
+        list_of = work.write(list_of.select(F.col("browser").alias("_browser"), F.col("digest").alias("_digest"), "first"), f"lists-{age}")
+        until = list_of.groupBy("_browser").agg((F.max("first.us") + kept).alias("_until"))
+        ends = left.join(until, same("browser")).where("us >= _until").groupBy(F.col("browser").alias("_browser")).agg(F.min(at).alias("_end"))
+        ends = work.write(ends, f"ends-{age}")
+        # browsers whose list has not lapsed have no end
+        timed = left.join(ends, same("browser"), "left").drop("_browser").withColumn("_over", F.coalesce(at >= F.col("_end"), F.lit(False)))
+        now = timed.where("not _over").drop("_end", "_over")
+        known = list_of.select("_browser", "_digest", F.lit(True).alias("_known"))
+        told.append(work.write(now.join(known, same("browser") & same("digest"), "left").select("browser", "digest", "event_id", "us", F.coalesce("_known", F.lit(False)).alias("admitted")), f"told-{age}"))
+        if ends.isEmpty():
+            return reduce(DataFrame.unionByName, told)
+        left = work.write(timed.where("_over").drop("_end", "_over"), f"opens-{age + 1}")
 
 
 def exempt_at(opens: DataFrame, accounts: DataFrame, paid: DataFrame) -> DataFrame:

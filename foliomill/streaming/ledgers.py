@@ -7,12 +7,13 @@ dropped by Spark.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ..operators.edits import History
+from ..operators.edits import History, with_revisions
+from ..sources.buckets import BucketTable
 
 
 def put(state, rows: list[tuple]) -> None:
@@ -29,13 +30,26 @@ def ledger_stream(events: DataFrame, ts: str = "ts", delay: str = "1 hour") -> D
 
 
 def latency_stream(requests: DataFrame, ts: str = "ts", delay: str = "10 minutes", window: str = "1 minute") -> DataFrame:
-    """Per route and tumbling window: requests, server errors, callers who left, median, p95, slowest. Median and p95 are sketched (``percentile_approx``), so state stays small; exact ones are batch's."""
-    return (
-        requests.withWatermark(ts, delay)
-        .groupBy(F.window(ts, window), "route")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"), F.count_if(F.col("status") == 499).alias("left"), F.percentile_approx("ms", [0.5, 0.95], 10_000).alias("_at"), F.max("ms").alias("max"))
-        .select("window", "route", "n", "errors", "left", F.col("_at")[0].alias("median"), F.col("_at")[1].alias("p95"), "max")
-    )
+    """Per route and tumbling window, once the watermark has passed it: n, median, p95, max, errors, left, by the ranks of ``route_latency``.
+
+    Requests are counted by distinct latency first, so state holds a row for each latency of an open window; ranks are read off the counts when it closes.
+    """
+    mine = [F.count("*").alias("c"), F.count_if(F.col("status") >= 500).alias("errors"), F.count_if(F.col("status") == 499).alias("left")]
+    counts = requests.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("window"), "route", "ms").agg(*mine)
+    sums = [F.sum(c).alias(c) for c in ("errors", "left")]
+    shut = counts.groupBy("window", "route").agg(F.sum("c").alias("n"), F.max("ms").alias("max"), F.array_sort(F.collect_list(F.struct("ms", "c"))).alias("_by"), *sums)
+
+    def at(q: float) -> Column:
+        place = F.least(F.col("n") - 1, F.floor(q * F.col("n")))
+        none = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("ms"))
+
+        def step(a: Column, x: Column) -> Column:
+            upto = a["upto"] + x["c"]
+            return F.struct(upto.alias("upto"), F.coalesce(a["ms"], F.when(upto > place, x["ms"].cast("long"))).alias("ms"))
+
+        return F.aggregate("_by", none, step)["ms"]
+
+    return shut.select("window", "route", "n", at(0.5).alias("median"), at(0.95).alias("p95"), "max", "errors", "left")
 
 
 def lifetime_stream(touches: DataFrame, ts: str = "ts", delay: str = "1 hour", idle: str = "1 hour") -> DataFrame:
@@ -120,10 +134,10 @@ def admit_stream(requests: DataFrame, limit: int, window_s: float) -> DataFrame:
 
 
 class _Steps(StatefulProcessor):
-    """A document's steps done and undone, as rows (step, entry, value)."""
+    """A document's steps done and undone, as rows (step, entry, value, replaces)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        row = StructType([StructField("step", LongType()), StructField("entry", LongType()), StructField("value", StringType())])
+        row = StructType([StructField("step", LongType()), StructField("entry", LongType()), StructField("value", StringType()), StructField("replaces", LongType())])
         self.kept = {name: handle.getListState(name, row) for name in ("done", "undone")}
 
     def handleInputRows(self, key, rows, timerValues):
@@ -134,17 +148,18 @@ class _Steps(StatefulProcessor):
             history.push(step)
         log = pd.concat(list(rows)).sort_values("seq")
         out = []
-        for seq, action, entries, value in zip(log["seq"], log["action"], log["entries"], log["value"], strict=True):
+        for seq, action, entries, *more in zip(*(log[c] for c in ("seq", "action", "entries", "value", "replaces", "folds")), strict=True):
             ids = [] if entries is None else [int(i) for i in entries]
-            out += [(key[0], seq, *change) for change in history.apply(action, ids, None if pd.isna(value) else value)]
+            value, replaces, folds = (None if pd.isna(x) else x for x in more)
+            out += [(key[0], seq, *change) for change in history.apply(action, ids, value, None if replaces is None else int(replaces), folds)]
         for name, steps in (("done", history.done), ("undone", history.undone)):
-            put(self.kept[name], [(i, int(e), v) for i, step in enumerate(steps) for e, v in step])
+            put(self.kept[name], [(i, int(e), v, r) for i, step in enumerate(steps) for e, v, r in step])
         yield pd.DataFrame(out, columns=["doc_id", "seq", "entry", "value", "change"])
 
-    def steps(self, name: str) -> list[list[tuple[int, str]]]:
+    def steps(self, name: str) -> list[list[tuple]]:
         found: dict[int, list] = {}
-        for step, entry, value in self.kept[name].get():
-            found.setdefault(step, []).append((entry, value))
+        for step, *entry in self.kept[name].get():
+            found.setdefault(step, []).append(tuple(entry))
         return [found[i] for i in sorted(found)]
 
     def close(self) -> None:
@@ -152,25 +167,21 @@ class _Steps(StatefulProcessor):
 
 
 def history_stream(actions: DataFrame) -> DataFrame:
-    """(doc_id, seq, entry, value, change) of actions (doc_id, seq, action, entries, value) that arrive in order: 1 for each entry that an action brought into effect, -1 for each it took out. Added up they are ``replay_history``."""
+    """(doc_id, seq, entry, value, change) of actions as ``replay_history`` takes them, that arrive in order: 1 for each entry that an action brought into effect, -1 for each it took out. Added up they are ``replay_history``."""
     schema = StructType([StructField("doc_id", LongType()), StructField("seq", LongType()), StructField("entry", LongType()), StructField("value", StringType()), StructField("change", LongType())])
-    return actions.groupBy("doc_id").transformWithStateInPandas(_Steps(), schema, "Append", "None")
+    return with_revisions(actions).groupBy("doc_id").transformWithStateInPandas(_Steps(), schema, "Append", "None")
 
 
-def upsert_paid(target: str):
-    """A ``foreachBatch`` function that folds applied events (account, paid_until, paid_read_at) into a Parquet table at ``target``.
+def upsert_paid(target: str, buckets: int = 1024):
+    """A ``foreachBatch`` function that folds applied events (account, paid_until, paid_read_at) into a :class:`BucketTable` at ``target``.
 
-    The newest reading per account wins, so replaying a batch changes nothing. The table is written beside the old one and named by batch.
+    The newest reading per account wins. A batch reads and rewrites only the buckets of its accounts, and counts once it is committed; one that was committed before changes nothing.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)) if fs.exists(path) else []
-        before = [n for n in done if n < number]
-        new = batch.select("account", "paid_until", "paid_read_at")
-        rows = new.unionByName(spark.read.parquet(f"{target}/batch={before[-1]}")) if before else new
-        rows.groupBy("account").agg(F.max_by("paid_until", "paid_read_at").alias("paid_until"), F.max("paid_read_at").alias("paid_read_at")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        def newest(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("account").agg(F.max_by("paid_until", "paid_read_at").alias("paid_until"), F.max("paid_read_at").alias("paid_read_at"))
+
+        BucketTable(batch.sparkSession, target, "account", buckets).merge(number, batch.select("account", "paid_until", "paid_read_at"), newest)
 
     return fold

@@ -85,7 +85,19 @@ def test_page_operations(spark):
 def test_history(spark):
     log = [(1, 1, "add", [1], "a"), (1, 2, "add", [2, 3], "b"), (1, 3, "undo", None, None), (1, 4, "redo", None, None), (1, 5, "remove", [2], None), (1, 6, "redo", None, None), (1, 7, "undo", None, None), (1, 8, "add", [4], "c"), (1, 9, "redo", None, None)]
     got = edits.replay_history(spark.createDataFrame(log, "doc_id long, seq long, action string, entries array<long>, value string"))
-    assert rows(got) == [(1, 1, "a"), (1, 4, "c")]
+    assert rows(got.drop("replaces")) == [(1, 1, "a"), (1, 4, "c")]
+
+
+def test_versions_of_new_text(spark):
+    """Nudges in a row are one step; undo goes back to where it was before them."""
+    nudged = [(1, "add", [1], "at 0", None, None), (2, "revise", [2], "at 1", 1, False), (3, "revise", [3], "at 2", 2, True), (4, "revise", [4], "at 3", 3, True)]
+    logs_ = {1: nudged, 2: [*nudged, (5, "undo", None, None, None, None)], 3: [*nudged, (5, "undo", None, None, None, None), (6, "redo", None, None, None, None)]}
+    logs_[4] = [*nudged[:3], (4, "add", [9], "b", None, None), (5, "revise", [10], "at 9", 3, True)]
+    kind = "doc_id long, seq long, action string, entries array<long>, value string, replaces long, folds boolean"
+    got = edits.replay_history(spark.createDataFrame([(d, *x) for d, log in logs_.items() for x in log], kind))
+    assert rows(got.where("doc_id < 4")) == [(1, 1, "at 0", None), (1, 4, "at 3", 1), (2, 1, "at 0", None), (3, 1, "at 0", None), (3, 4, "at 3", 1)]
+    # another step came between: a step of its own
+    assert rows(got.where("doc_id = 4").select("entry", "replaces").na.fill(0)) == [(1, 0), (3, 1), (9, 0), (10, 3)]
 
 
 def test_changed_words(spark):
@@ -215,6 +227,69 @@ def test_refused_jobs_never_join_the_line(spark):
     assert got == {1: (6, 2, 3), 2: (2, 1, 0)}
 
 
+def tasks_of(df):
+    """How many partitions of the walk behind a result have rows."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would else be put together
+    try:
+        return df.withColumn("_p", F.spark_partition_id()).select("_p").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_hot_key_is_walked_in_pieces(spark):
+    """Half of all rows are one key's; answers equal a plain walk, and several tasks give them."""
+    r = random.Random(8)
+    second = 10**6
+    bursts = [t * 3600 * second + r.randrange(40) * second for t in range(150) for _ in range(r.choice([1, 2, 15]))]
+    asked = [(0, i, us) for i, us in enumerate(bursts)] + [(1 + i % 40, 10_000 + i, r.randrange(150 * 3600) * second) for i in range(len(bursts))]
+    want = {}
+    for key in range(41):
+        times = deque()
+        for us, i in sorted((u, i) for k, i, u in asked if k == key):
+            while times and times[0] <= us - 20 * second:
+                times.popleft()
+            want[i] = len(times) < 4
+            times += [us] if want[i] else []
+    got = logs.admit(spark.createDataFrame(asked, "key long, request long, us long"), 4, 20.0)
+    assert {x.request: x.admitted for x in got.collect()} == want and not all(want.values())
+    assert tasks_of(got.where("key = 0 and not admitted")) > 2
+
+    jobs = [(k, us, us + r.randrange(30) * second) for k, _, us in asked]
+    got = logs.concurrency(spark.createDataFrame(jobs, "key long, started long, ended long"), 1, 2, bucket_us=7200 * second)
+    for x in got.collect():
+        line, peak, over = [], 0, 0
+        for started, ended in sorted((s, e) for k, s, e in jobs if k == x.key):
+            line = [e for e in line if e > started]
+            if len(line) < 3:
+                line.append(ended)
+                peak = max(peak, len(line))
+            else:
+                over += 1
+        assert (x.jobs, x.peak, x.over) == (sum(k == x.key for k, *_ in jobs), peak, over)
+
+    day = 86400 * second
+    opens = [(i % 2 * (1 + i % 7), f"d{r.randrange(12)}", i, r.randrange(3000) * day) for i in range(600)]
+    free = set()
+    for b in {o[0] for o in opens}:
+        held, until = set(), None
+        for us, i, d in sorted((us, i, d) for k, d, i, us in opens if k == b):
+            held = set() if until is not None and us >= until else held
+            ok = d in held or len(held) < 3
+            until = us + 365 * day if ok and d not in held else until
+            held |= {d} if ok else set()
+            free.add((b, d, i, us, ok))
+    assert {tuple(x) for x in usage.meter_browsers(spark.createDataFrame(opens, "browser long, digest string, event_id long, us long"), 3).collect()} == free
+
+
+def test_only_the_log_since_the_history_was_emptied_is_walked(spark):
+    log = [(1, s, "add" if s % 2 == 0 else "undo", [s] if s % 2 == 0 else None, "v") for s in range(4000)] + [(1, 4000 + s, "add", [4000 + s], "w") for s in range(5)] + [(2, 1, "undo", None, None), (2, 2, "redo", None, None)]
+    df = spark.createDataFrame(log, "doc_id long, seq long, action string, entries array<long>, value string")
+    left = edits.since_emptied(edits.with_revisions(df), 500)
+    assert left.where("doc_id = 1").count() == 5 and left.where("doc_id = 2").count() == 2
+    assert rows(edits.replay_history(df, 500).select("entry")) == [(4000 + s,) for s in range(5)]
+
+
 def test_room_equals_a_full_scan(spark):
     r = random.Random(4)
     box = "struct<x0:double,y0:double,x1:double,y1:double>"
