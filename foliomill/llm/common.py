@@ -27,6 +27,7 @@ def crc_bucket(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """A join's small side: broadcast if a count proves it has at most ``most_rows`` rows, else left to a shuffled join. ``df`` should be a written table."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small_side(df: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """A join's small side: broadcast if its files are at most ``most_bytes`` and a count proves it has at most ``most_rows`` rows, else left to a shuffled join. ``df`` should be a written table."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most_bytes and df.limit(most_rows + 1).count() <= most_rows else df

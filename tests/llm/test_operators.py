@@ -240,6 +240,64 @@ def test_passages_of_short_lines_go_whole(spark):
     assert {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
 
 
+def lines_brute(docs, least=50):
+    """Texts without the lines of repeated windows: from each line with words as few lines as have ``least`` words, and as few that end with it; the first place of equal ones stays."""
+    found = defaultdict(set)
+    for d, t in docs.items():
+        lines = t.split("\n")
+        held = [i for i, x in enumerate(lines) if x.split()]
+        for rank, i in enumerate(held):
+            for run in (held[rank:], held[rank::-1]):
+                n = 0
+                for j in run:
+                    n += len(lines[j].split())
+                    if n >= least:
+                        a, b = min(i, j), max(i, j)
+                        found["\n".join(lines[a : b + 1])].add((d, a, b))
+                        break
+    gone = defaultdict(set)
+    for places in found.values():
+        first = min(places)
+        for d, a, b in places - {first}:
+            gone[d] |= set(range(max(a, first[2] - first[1] + first[1] + 1) if d == first[0] else a, b + 1))
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs.items()}
+
+
+def test_chunks_find_every_repeat(spark):
+    """Overlapping, nested and three-fold repeats, at any place, blank lines between."""
+    r, docs = random.Random(12), {}
+    stock = [words(r.choice([1, 2, 5, 9, 17, 30, 52]), i, 10**6) for i in range(160)]
+    for d in range(70):
+        lines = []
+        for _ in range(r.randrange(1, 5)):
+            at, n = r.randrange(len(stock)), r.randrange(1, 14)
+            lines += r.choice([stock[at : at + n], stock[at : at + n], [words(r.randrange(1, 25), r.random(), 10**6) for _ in range(n)], ["", " "], [stock[at]] * n])
+        docs[d] = "\n".join(lines)
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == lines_brute(docs) and sum(got[d] != docs[d] for d in docs) > 30
+
+
+def test_equal_passages_have_equal_chunks(spark):
+    r = random.Random(13)
+    rows = []
+    for k in range(60):
+        passage = []
+        while sum(map(len, map(str.split, passage))) < 50:
+            passage.append(words(r.choice([1, 2, 7, 20, 49]), r.random(), 10**6))
+        for side in range(2):
+            before, after = ([words(r.randrange(1, 40), r.random(), 10**6) for _ in range(r.randrange(6))] for _ in range(2))
+            rows.append((k, side, "\n".join([*before, *passage, *after])))
+    df = line_dedup.chunks(spark.createDataFrame(rows, "k long, side int, text string").select("k", "side", F.split("text", "\n", -1).alias("lines")))
+    assert df.groupBy("k", "key").agg(F.count_distinct("side").alias("n")).where("n = 2").select("k").distinct().count() == 60
+
+
+def test_line_dedup_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, words(60, 1)), (2, words(60, 1))], "doc_id long, text string")
+    odd = docs.withColumns({c: F.lit(c) for c in ("_lines", "_id", "_n", "_out", "_hash", "_text", "gone", "marks", "w", "key")})
+    got = line_dedup.dedup_lines(odd)
+    assert {r.text for r in got.collect()} == {words(60, 1), ""} and got.select(*odd.columns).where("_lines = '_lines' and _n = '_n' and _out = '_out' and gone = 'gone'").count() == 2
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
