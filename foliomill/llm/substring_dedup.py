@@ -91,8 +91,8 @@ class Windows:
     def messages(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(bucket, owners' ids, how many keys each owns, keys)."""
         bucket, least, keys = self.bucket[self.sent], self.least[self.sent], self.keys[self.sent]
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-        for low, high in zip(at, [*at[1:], len(bucket)], strict=True):
+        ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1 if len(bucket) else []
+        for low, high in zip([0, *ends], ends, strict=False):
             owners, counts = np.unique(least[low:high], return_counts=True)
             yield int(bucket[low]), self.ids[owners], counts, keys[low:high]
 
