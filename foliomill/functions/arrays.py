@@ -54,3 +54,12 @@ def matches_of(text: Column, pattern: str, needs: str | None = None) -> Column:
         return let(hits, lambda h: let(sums_before(F.transform(h, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))), lambda starts: placed(gaps, h, starts)))
 
     return F.when(text.rlike(needs or pattern), let(gaps, of))
+
+
+def with_context(matches: Column, size: int) -> Column:
+    """Placed matches as (s, e, m, before, after): the text on either side, up to ``size`` characters; it reaches into the matches beside, not past them."""
+    near = lambda a, x, i: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.right(F.concat(F.coalesce(F.get(a, i - 1)["m"], F.lit("")), x["left"]), F.lit(size)).alias("before"),
+        F.left(F.concat(x["right"], F.coalesce(F.get(a, i + 1)["m"], F.lit(""))), F.lit(size)).alias("after"),
+    )
+    return let(matches, lambda a: F.transform(a, lambda x, i: near(a, x, i)))

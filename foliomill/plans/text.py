@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import amounts as amounts_op
+from ..operators import dates as dates_op
 from ..operators import text as op
 from ..sources import derive
+from ..workspace import Workspace
 from . import model_sql as m
 from .registry import query
 from .spans import spans_of
@@ -70,7 +73,7 @@ def invoices_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("numeric_dates", f"WITH {m.INVOICES} SELECT doc_id, written, date FROM inv_dates")
 def numeric_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.numeric_dates(invoices_of(spark, sf_dir), 2024)
+    return dates_op.numeric_dates(invoices_of(spark, sf_dir), 2024).select("doc_id", "written", "date")
 
 
 CURRENCIES = {"USD": 2, "EUR": 2, "GBP": 2, "JPY": 0, "INR": 2, "KWD": 3}
@@ -78,12 +81,12 @@ CURRENCIES = {"USD": 2, "EUR": 2, "GBP": 2, "JPY": 0, "INR": 2, "KWD": 3}
 
 @query("amounts", f"WITH {m.INVOICES} SELECT doc_id, paid AS written, currency, amount FROM inv")
 def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.amounts(invoices_of(spark, sf_dir), CURRENCIES).withColumn("amount", F.col("amount").cast("double"))
+    return amounts_op.amounts(invoices_of(spark, sf_dir), CURRENCIES).select("doc_id", "written", "currency", F.col("amount").cast("double").alias("amount"))
 
 
 @query("amounts_in_documents")
 def amounts_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.amounts(derive.table(spark, sf_dir, "documents"), CURRENCIES)
+    return amounts_op.amounts(derive.table(spark, sf_dir, "documents"), CURRENCIES).select("doc_id", "written", "currency", "amount")
 
 
 @query(
@@ -120,31 +123,88 @@ SELECT source, kind, count(*)::BIGINT AS values, round(sum(amount::DECIMAL(18,3)
 def value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = invoices_of(spark, sf_dir)
     zero = F.lit(0).cast("decimal(38,9)").alias("amount")
-    dates = op.numeric_dates(docs, 2024).select("doc_id", F.lit("date").alias("kind"), zero)
-    money = op.amounts(docs, CURRENCIES).select("doc_id", F.col("currency").alias("kind"), "amount")
+    dates = dates_op.numeric_dates(docs, 2024).select("doc_id", F.lit("date").alias("kind"), zero)
+    money = amounts_op.amounts(docs, CURRENCIES).select("doc_id", F.col("currency").alias("kind"), "amount")
     mail = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(op.EMAIL), F.lit(0)))).select("doc_id", F.lit("email").alias("kind"), zero)
     p = op.value_profile(dates.unionByName(money).unionByName(mail).join(docs.select("doc_id", "source"), "doc_id"))
     return p.withColumns({c: F.round(F.col(c).cast("double"), 9 if c != "total" else 3) for c in ("total", "least", "most")})
 
 
-MONTHS = [("en", n, i) for i, n in enumerate("January February March April May June July August September October November December".split(), 1)]
-MONTHS += [("fr", n, i) for i, n in enumerate("janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(), 1)]
-MONTHS += [("de", n, i) for i, n in enumerate("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(), 1)]
-MONTHS += [("es", n, i) for i, n in enumerate("enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(), 1)]
-
-
-@query("named_dates", f"WITH {m.INVOICES} SELECT doc_id, day AS written, ts::DATE AS date, CASE WHEN month(ts) IN (4, 8, 9, 11) THEN 'de,en' ELSE 'en' END AS languages FROM inv WHERE style = 3")
+# Names of months and weekdays as the four languages write them, long and short, for the SQL.
+NAMED = {
+    ("en", "month", "long"): "January February March April May June July August September October November December",
+    ("en", "month", "short"): "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec",
+    ("en", "weekday", "long"): "Monday Tuesday Wednesday Thursday Friday Saturday Sunday",
+    ("en", "weekday", "short"): "Mon Tue Wed Thu Fri Sat Sun",
+    ("de", "month", "long"): "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    ("de", "month", "short"): "Jan. Feb. März Apr. Mai Juni Juli Aug. Sept. Okt. Nov. Dez.",
+    ("de", "weekday", "long"): "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag",
+    ("de", "weekday", "short"): "Mo. Di. Mi. Do. Fr. Sa. So.",
+    ("fr", "month", "long"): "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    ("fr", "month", "short"): "janv. févr. mars avr. mai juin juil. août sept. oct. nov. déc.",
+    ("fr", "weekday", "long"): "lundi mardi mercredi jeudi vendredi samedi dimanche",
+    ("fr", "weekday", "short"): "lun. mar. mer. jeu. ven. sam. dim.",
+    ("es", "month", "long"): "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    ("es", "month", "short"): "ene feb mar abr may jun jul ago sept oct nov dic",
+    ("es", "weekday", "long"): "lunes martes miércoles jueves viernes sábado domingo",
+    ("es", "weekday", "short"): "lun mar mié jue vie sáb dom",
+}
+NAMES_SQL = "nm(language, kind, width, idx, name) AS (VALUES " + ", ".join(f"('{lang}', '{kind}', '{width}', {i}, '{n}')" for (lang, kind, width), ns in NAMED.items() for i, n in enumerate(ns.split(), kind == "month")) + ")"
+
+# What each note holds, which languages name its words, and what they settle on for a reader of English.
+NOTES = f"""{NAMES_SQL}, ev0 AS (SELECT event_id AS doc_id, ts::DATE AS d, ['en', 'de', 'fr', 'es'][user_id % 4 + 1] AS l, event_id % 6 AS style FROM events),
+forms AS (SELECT language, kind, width, string_agg(lower(rtrim(name, '.')), ' ' ORDER BY idx) AS f FROM nm GROUP BY ALL),
+note AS (SELECT v.*, m.name AS month, w.name AS wd, s.name AS ws FROM ev0 v JOIN nm m ON m.language = l AND m.kind = 'month' AND m.width = 'long' AND m.idx = month(d)
+  JOIN nm w ON w.language = l AND w.kind = 'weekday' AND w.width = 'long' AND w.idx = isodow(d) - 1 JOIN nm s ON s.language = l AND s.kind = 'weekday' AND s.width = 'short' AND s.idx = isodow(d) - 1),
+cand AS (SELECT doc_id, n.language, arg_min(n.width, ((n.name <> note.month)::INT, n.width)) AS width, 'month' AS kind FROM note JOIN nm n ON n.kind = 'month' AND lower(rtrim(n.name, '.')) = lower(note.month) WHERE style = 0 GROUP BY ALL
+  UNION ALL SELECT doc_id, n.language, min(n.width), 'weekday' FROM note JOIN nm n ON n.kind = 'weekday' AND n.idx = isodow(d) - 1 AND lower(rtrim(n.name, '.')) = lower(rtrim(note.ws, '.')) WHERE style = 5 GROUP BY ALL),
+ways AS (SELECT doc_id, count(DISTINCT f) AS n, min(c.language) AS one, bool_or(c.language = 'en') AS en FROM cand c JOIN forms USING (language, kind, width) GROUP BY doc_id),
+settled AS (SELECT note.*, CASE WHEN style IN (1, 4) THEN l WHEN style IN (0, 5) AND n = 1 THEN one WHEN style IN (0, 5) AND en THEN 'en' END AS s FROM note LEFT JOIN ways USING (doc_id))"""
+
+
+def names_of(spark: SparkSession) -> DataFrame:
+    return dates_op.date_names(spark, ["en", "de", "fr", "es"])
+
+
+@query("named_dates", f"WITH {m.INVOICES} SELECT doc_id, day AS written, ts::DATE AS date, CASE WHEN month(ts) IN (4, 8, 9, 11) THEN 'de,en' WHEN month(ts) = 5 THEN 'en,es' ELSE 'en' END AS languages FROM inv WHERE style = 3")
 def named_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dates_of(spark, sf_dir).withColumn("languages", F.array_join("languages", ","))
+    found = dates_op.named_dates(invoices_of(spark, sf_dir), names_of(spark))
+    return found.select("doc_id", "written", "date", F.array_join("languages", ",").alias("languages"))
 
 
-def dates_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.named_dates(invoices_of(spark, sf_dir), spark.createDataFrame(MONTHS, "language string, name string, idx int"))
+def notes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.dated_notes(derive.table(spark, sf_dir, "events")).select("doc_id", "text")
 
 
-@query("settled_languages", f"WITH {m.INVOICES} SELECT doc_id, 'en' AS language FROM inv WHERE style = 3")
+@query(
+    "settled_languages",
+    f"WITH {NOTES} SELECT doc_id, day(d) || ' ' || month || ' ' || year(d) AS written, s AS language FROM settled WHERE style IN (0, 1, 4) UNION ALL SELECT doc_id, '3 ' || name || ' 2024', l FROM settled JOIN nm ON language = l AND kind = 'month' AND width = 'long' AND idx = 1 WHERE style = 4",
+)
 def settled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.settle_language(dates_of(spark, sf_dir), ["en", "de", "fr", "es"])
+    """Notes in four languages: ranges and foreign weekdays are no dates, shared months need a reader of English."""
+    names = names_of(spark)
+    return dates_op.settle(dates_op.named_dates(notes_of(spark, sf_dir), names), names, ["en"]).select("doc_id", "written", "language")
+
+
+@query(
+    "rewritten_notes",
+    f"""WITH {NOTES}, later AS (SELECT *, d + 45 AS nd, DATE '2024-01-03' + 45 AS nj FROM settled),
+told AS (SELECT t.*, m.name AS nm_, w.name AS nw, ws.name AS nws, j.name AS jan, k.name AS nk, x.name AS tomorrow FROM later t
+  LEFT JOIN nm m ON m.language = s AND m.kind = 'month' AND m.width = 'long' AND m.idx = month(nd) LEFT JOIN nm w ON w.language = s AND w.kind = 'weekday' AND w.width = 'long' AND w.idx = isodow(nd) - 1
+  LEFT JOIN nm ws ON ws.language = s AND ws.kind = 'weekday' AND ws.width = 'short' AND ws.idx = isodow(nd) - 1 JOIN nm j ON j.language = l AND j.kind = 'month' AND j.width = 'long' AND j.idx = 1
+  JOIN nm k ON k.language = l AND k.kind = 'month' AND k.width = 'long' AND k.idx = month(nj) JOIN nm x ON x.language = l AND x.kind = 'weekday' AND x.width = 'long' AND x.idx = isodow(d + 1) - 1),
+c AS (SELECT *, day(d) || ' ' || month || ' ' || year(d) AS was, day(nd) || ' ' || CASE WHEN month = upper(month[1]) || month[2:] THEN upper(nm_[1]) || nm_[2:] ELSE nm_ END || ' ' || year(nd) AS now FROM told)
+SELECT doc_id, CASE style WHEN 0 THEN '(' || coalesce(now, was) || ')' WHEN 1 THEN nw || ', ' || now WHEN 2 THEN tomorrow || ', ' || was WHEN 3 THEN '1-' || was
+  WHEN 4 THEN now || '; ' || day(nj) || ' ' || nk || ' ' || year(nj) ELSE CASE WHEN s IS NULL THEN ws || ' ' || strftime(d, '%Y-%m-%d') ELSE nws || ' ' || strftime(nd, '%Y-%m-%d') END END AS text FROM c""",
+)
+def rewritten_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every date of the notes 45 days later, weekday and month in the language it has settled on; those that have not settled stay."""
+    docs, names, work = notes_of(spark, sf_dir), names_of(spark), Workspace(spark, "notes")
+    named = work.write(dates_op.named_dates(docs, names), "named")
+    numeric = dates_op.settle(dates_op.numeric_with_weekdays(dates_op.numeric_dates(docs, 2024), names), names, ["en"], named)
+    later = lambda d: d.select("doc_id", F.col("date").alias("old"), F.date_add("date", 45).alias("new"))
+    swaps = dates_op.named_date_swaps(dates_op.settle(named, names, ["en"]), names, later(named)), dates_op.date_swaps(docs, numeric, names, later(numeric))
+    return op.rewrite_values(docs, *swaps)
 
 
 @query(
@@ -154,11 +214,20 @@ SELECT doc_id, CASE style WHEN 0 THEN 'Paid on ' || strftime(nd, '%d/%m/%Y') ||
  WHEN 2 THEN 'Returned ' || strftime(nd, '%m/%d/%Y') || ' (01/24/2025), (£' || more || ')' ELSE 'On ' || strftime(nd, '%-d %B %Y') || ' between $5-$' || money || ' or KWD 1001.' || mills || ', mail u' || user_id || '@mail.example' END AS text FROM n""",
 )
 def rewritten_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = invoices_of(spark, sf_dir)
-    names = spark.createDataFrame(MONTHS, "language string, name string, idx int")
-    dates, named, money = op.numeric_dates(docs, 2024), op.named_dates(docs, names), op.amounts(docs, CURRENCIES)
-    later = lambda d: d.select("doc_id", F.col("date").alias("old"), F.date_add("date", 30).alias("new")).distinct()
-    more = money.select("doc_id", "currency", F.col("amount").alias("old"), F.when(F.col("amount") < 0, F.col("amount") - 1000).otherwise(F.col("amount") + 1000).alias("new")).distinct()
-    settled = op.settle_language(named, ["en", "de", "fr", "es"])
-    swaps = op.date_swaps(docs, dates, later(dates)), op.named_date_swaps(named, names, later(named), settled), op.amount_swaps(money, more)
+    docs, names, work = invoices_of(spark, sf_dir), names_of(spark), Workspace(spark, "invoices")
+    # read more than once each
+    numeric, named, money = work.write(dates_op.numeric_dates(docs, 2024), "numeric"), work.write(dates_op.named_dates(docs, names), "named"), work.write(amounts_op.amounts(docs, CURRENCIES), "money")
+    later = lambda d: d.select("doc_id", F.col("date").alias("old"), F.date_add("date", 30).alias("new"))
+    more = money.select("doc_id", "currency", F.col("amount").alias("old"), F.when(F.col("amount") < 0, F.col("amount") - 1000).otherwise(F.col("amount") + 1000).alias("new"))
+    settled = dates_op.settle(dates_op.numeric_with_weekdays(numeric, names), names, ["en"], named)
+    swaps = dates_op.date_swaps(docs, settled, names, later(numeric)), dates_op.named_date_swaps(dates_op.settle(named, names, ["en"]), names, later(named)), amounts_op.amount_swaps(money, more)
     return op.rewrite_values(docs.select("doc_id", "text"), *swaps)
+
+
+@query(
+    "document_contacts",
+    r"""WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))) AS address FROM documents)
+SELECT doc_id, address, count(*)::BIGINT AS occurrences FROM e GROUP BY ALL""",
+)
+def document_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.addresses(derive.table(spark, sf_dir, "documents"))

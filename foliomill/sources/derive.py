@@ -130,6 +130,38 @@ def invoices(events: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("source"), text.alias("text"))
 
 
+def dated_notes(events: DataFrame) -> DataFrame:
+    """(doc_id, text, language, style): a note an event, dated with words in one of four languages (user_id % 4), in one of six styles (event_id % 6).
+
+    0: day, month, year; 1: its weekday before it; 2: the next day's weekday before it; 3: the last day of a range; 4: a second date, in January; 5: a short weekday before the date in numbers.
+    """
+    e = key_of(events).withColumn("d", F.to_date("ts"))
+    language = F.get(F.array(*[F.lit(x) for x in NOTE_LANGUAGES]), (F.col("user_id") % 4).cast("int"))
+
+    def named(day: Column, form: str) -> Column:
+        out = None
+        for x in NOTE_LANGUAGES:
+            name = F.to_csv(F.struct(day.alias("d")), {"dateFormat": form, "locale": x})
+            out = F.when(language == x, name) if out is None else out.when(language == x, name)
+        return out
+
+    d = F.col("d")
+    date = F.concat(F.dayofmonth(d).cast("string"), F.lit(" "), named(d, "MMMM"), F.lit(" "), F.year(d).cast("string"))
+    texts = [
+        F.concat(F.lit("("), date, F.lit(")")),
+        F.concat(named(d, "EEEE"), F.lit(", "), date),
+        F.concat(named(F.date_add(d, 1), "EEEE"), F.lit(", "), date),
+        F.concat(F.lit("1-"), date),
+        F.concat(date, F.lit("; 3 "), named(F.to_date(F.lit("2024-01-03")), "MMMM"), F.lit(" 2024")),
+        F.concat(named(d, "EEE"), F.lit(" "), F.date_format(d, "yyyy-MM-dd")),
+    ]
+    style = (F.col("event_id") % 6).cast("int")
+    return e.select(F.col("event_id").alias("doc_id"), F.get(F.array(*texts), style).alias("text"), language.alias("language"), style.alias("style"))
+
+
+NOTE_LANGUAGES = ("en", "de", "fr", "es")
+
+
 def token_uses(events: DataFrame) -> DataFrame:
     """A signup spends a token."""
     return key_of(events).where("event_type = 'signup'").select(F.col("user_id").alias("account"), (F.floor(F.col("us") / 1_000_000) + 900 - (F.col("event_id") % 4) * 600).alias("until"), F.floor(F.col("us") / 1_000_000).alias("used_at"), F.col("event_id").alias("arrival"))

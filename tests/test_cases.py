@@ -5,9 +5,10 @@ import time
 from collections import deque
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from foliomill.operators import edits, layout, logs, messages, redaction, text, typography, usage
+from foliomill.operators import amounts, dates, edits, layout, logs, messages, redaction, text, typography, usage
 from foliomill.operators import fidelity
 from foliomill.operators.spans import build_spans
 from foliomill.sources import ingest
@@ -122,15 +123,17 @@ def test_find(spark):
 
 def test_dates(spark):
     df = spark.createDataFrame([(0, "13/02/2020 and 03/04/2021"), (1, "03/04/2021"), (2, "2021-02-30 2021-02-28"), (3, "70.23.22.57 1.2.3.4"), (4, "2020年3月4日"), (5, "12/13/99 and 13/12/99"), (6, "05.05.24")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.written, str(r.date)) for r in text.numeric_dates(df, 2024).collect())
+    got = sorted((r.doc_id, r.written, str(r.date)) for r in dates.numeric_dates(df, 2024).collect())
     assert got == [(0, "03/04/2021", "2021-04-03"), (0, "13/02/2020", "2020-02-13"), (2, "2021-02-28", "2021-02-28"), (4, "2020年3月4日", "2020-03-04"), (5, "12/13/99", "1999-12-13"), (5, "13/12/99", "1999-12-13"), (6, "05.05.24", "2024-05-05")]
 
 
 def test_dates_are_rewritten_as_written(spark):
     df = spark.createDataFrame([(0, "13/02/2020, 2020-02-13 and 13.2.20; 14/02/2020"), (1, "02/13/2020"), (2, "nothing")], "doc_id long, text string")
     changes = spark.createDataFrame([(i, "2020-02-13", "2021-11-05") for i in range(3)], "doc_id long, old string, new string").select("doc_id", F.to_date("old").alias("old"), F.to_date("new").alias("new"))
-    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.date_swaps(df, text.numeric_dates(df, 2024), changes)).collect()}
-    assert got == {0: "05/11/2021, 2021-11-05 and 05.11.21; 14/02/2020", 1: "11/05/2021", 2: "nothing"}
+    names = dates.date_names(spark, ["en"])
+    settled = dates.settle(dates.numeric_with_weekdays(dates.numeric_dates(df, 2024), names), names, ["en"])
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, dates.date_swaps(df, settled, names, changes)).collect()}
+    assert got == {0: "05/11/2021, 2021-11-05 and 5.11.21; 14/02/2020", 1: "11/05/2021", 2: "nothing"}
 
 
 def test_amounts_are_rewritten_as_written(spark):
@@ -140,40 +143,81 @@ def test_amounts_are_rewritten_as_written(spark):
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
     new = spark.createDataFrame([(i, Decimal(str(v))) for i, (v, _) in enumerate(cases.values())], "doc_id long, new decimal(38,9)")
-    found = text.amounts(df, {"USD": 2, "EUR": 2, "INR": 2, "GBP": 2}).where("written <> '$50'")
+    found = amounts.amounts(df, {"USD": 2, "EUR": 2, "INR": 2, "GBP": 2}).where("written <> '$50'")
     changes = found.join(new, "doc_id").select("doc_id", "currency", F.col("amount").alias("old"), "new").distinct()
-    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.amount_swaps(found, changes)).collect()}
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, amounts.amount_swaps(found, changes)).collect()}
     assert {t: got[i] for i, t in enumerate(cases)} == {t: want for t, (_, want) in cases.items()}
 
 
 def test_swaps_do_not_feed_each_other(spark):
     df = spark.createDataFrame([(0, "$10 then $5, $10"), (1, None)], "doc_id long, text string")
-    found = text.amounts(df, {"USD": 2})
+    found = amounts.amounts(df, {"USD": 2})
     changes = spark.createDataFrame([(0, "USD", Decimal(10), Decimal(5)), (0, "USD", Decimal(5), Decimal(7))], "doc_id long, currency string, old decimal(38,9), new decimal(38,9)")
-    assert sorted((r.doc_id, r.text) for r in text.rewrite_values(df, text.amount_swaps(found, changes)).collect()) == [(0, "$5 then $7, $5"), (1, None)]
+    assert sorted((r.doc_id, r.text) for r in text.rewrite_values(df, amounts.amount_swaps(found, changes)).collect()) == [(0, "$5 then $7, $5"), (1, None)]
 
 
-def test_named_dates_are_rewritten_as_written(spark):
-    names = spark.createDataFrame([("en", "March", 3), ("en", "Mar", 3), ("en", "April", 4), ("en", "Apr", 4), ("de", "März", 3), ("de", "April", 4), ("fr", "mars", 3), ("fr", "avril", 4)], "language string, name string, idx int")
-    cases = {"on 14 March 2024.": "on 2 April 2025.", "MARCH 14th, 2024": "APRIL 2nd, 2025", "14 Mar. 2024": "2 Apr. 2025", "am 14. März 2024": "am 2. April 2025", "le 14 mars 2024": "le 2 avril 2025", "2024 March 14": "2025 April 2", "13-14 March 2024, 14 March 2024": "13-14 March 2024, 2 April 2025"}
-    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
-    found = text.named_dates(df, names)
-    changes = df.select("doc_id", F.to_date(F.lit("2024-03-14")).alias("old"), F.to_date(F.lit("2025-04-02")).alias("new"))
-    got = {r.doc_id: r.text for r in text.rewrite_values(df, text.named_date_swaps(found, names, changes, text.settle_language(found, ["en"]))).collect()}
-    assert {t: got[i] for i, t in enumerate(cases)} == cases
+@pytest.fixture(scope="module")
+def names(spark):
+    return dates.date_names(spark, ["en", "de", "fr", "es", "it", "sv", "nl", "ro", "gl"])
+
+
+def as_days(spark, names, cases, reader, to, year_of=2024):
+    """Texts, each a document of its own or of those listed with it, whose first date becomes ``to``."""
+    rows, text_of = [], {}
+    for i, (first, *others) in enumerate(cases):
+        text_of[i] = first
+        rows += [(i, " | ".join([first, *others]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named, numeric = dates.named_dates(df, names), dates.numeric_with_weekdays(dates.numeric_dates(df, year_of), names)
+    changes = df.select("doc_id", F.explode(F.sequence(F.to_date(F.lit("2026-03-14")), F.to_date(F.lit("2026-12-14")), F.expr("interval 1 month"))).alias("old"), F.to_date(F.lit(to)).alias("new"))
+    swaps = [dates.named_date_swaps(dates.settle(named, names, reader), names, changes), dates.date_swaps(df, dates.settle(numeric, names, reader, named), names, changes)]
+    return {text_of[r.doc_id]: r.text.split(" | ")[0] for r in text.rewrite_values(df, *swaps).collect()}
+
+
+def test_named_dates_are_rewritten_as_written(spark, names):
+    cases = {
+        "on 14 March 2026.": "on 2 April 2026.", "MARCH 14th, 2026": "APRIL 2nd, 2026", "14 Mar. 2026": "2 Apr. 2026", "am 14. März 2026": "am 2. April 2026", "2026 March 14": "2026 April 2",
+        "13-14 March 2026, 14 March 2026": "13-14 March 2026, 2 April 2026", "14 de marzo de 2026": "2 de abril de 2026", "Saturday, 14 March 2026": "Thursday, 2 April 2026", "SAT 14 MAR 2026": "THU 2 APR 2026",
+        "Due 14 March 2026": "Due 2 April 2026", "Sat. 14 March 2026": "Thu. 2 April 2026", "Fri 14 March 2026": "Fri 14 March 2026", "Steps 1 to Saturday, 14 March 2026": "Steps 1 to Thursday, 2 April 2026", "14th of March 2026": "2nd of April 2026", "14. of March 2026": "2. of April 2026",
+    }
+    assert as_days(spark, names, [(t,) for t in cases], ["en", "es"], "2026-04-02") == cases
+    german = {"Sa., 14. März 2026": "Do., 2. April 2026", "Samstag, 14. März 2026": "Donnerstag, 2. April 2026"}
+    assert as_days(spark, names, [(t,) for t in german], ["de"], "2026-04-02") == german
+    # a stop that is the language's own goes with its name
+    romanian = {"sâm. 14 mar. 2026": "joi 2 apr. 2026", "sâm., 14 mar. 2026": "joi, 2 apr. 2026", "sâm. 14.03.2026": "joi 02.04.2026"}
+    assert as_days(spark, names, [(t,) for t in romanian], ["ro"], "2026-04-02") == romanian
+
+
+def test_months_that_languages_share_are_settled_or_left_alone(spark, names):
+    shared = ["14 April 2026", "14 September 2026", "14 Mai 2026", "14 may 2026", "14 novembre 2026"]
+    assert as_days(spark, names, [(t,) for t in shared], [], "2026-06-02") == {t: t for t in shared}
+    assert as_days(spark, names, [(t,) for t in shared], ["en"], "2026-06-02") == {t: t for t in shared} | {"14 April 2026": "2 June 2026", "14 September 2026": "2 June 2026", "14 may 2026": "2 june 2026"}
+    assert as_days(spark, names, [(t,) for t in shared], ["it", "de"], "2026-06-02") == {"14 April 2026": "2 Juni 2026", "14 September 2026": "2 Juni 2026", "14 Mai 2026": "2 Juni 2026", "14 may 2026": "14 may 2026", "14 novembre 2026": "2 giugno 2026"}
+    # written alike wherever it is named, it needs no reader
+    assert as_days(spark, names, [("14 March 2026",)], [], "2026-04-02") == {"14 March 2026": "2 April 2026"}
+    # the document's other dates come before the reader
+    got = as_days(spark, names, [("Due 14 mars 2026", "Signed 2 januari 2026"), ("14 novembre 2026", "2 Januar 2026", "3 Oktober 2026"), ("14 mar 2026", "2 janvier 2026", "3 octobre 2026"), ("14 dec 2026", "2 januari 2026")], ["nl", "it"], "2026-04-02")
+    assert got == {"Due 14 mars 2026": "Due 2 april 2026", "14 novembre 2026": "14 novembre 2026", "14 mar 2026": "14 mar 2026", "14 dec 2026": "2 apr 2026"}
+
+
+def test_weekdays_beside_numbers(spark, names):
+    assert as_days(spark, names, [("Sam 14/03/2026",), ("Sat 2026-03-14",), ("Fri 14/03/2026",), ("sat 14.3.2026",)], ["fr", "en"], "2026-03-17") == {"Sam 14/03/2026": "Mar 17/03/2026", "Sat 2026-03-14": "Tue 2026-03-17", "Fri 14/03/2026": "Fri 17/03/2026", "sat 14.3.2026": "tue 17.3.2026"}
+    # lunedì, lunes and lundi are all "lun": nothing settles which
+    assert as_days(spark, names, [("lun 14/12/2026",)], [], "2026-03-17") == {"lun 14/12/2026": "lun 14/12/2026"}
 
 
 def test_named_dates_and_language(spark):
-    names = spark.createDataFrame([("en", "March", 3), ("de", "März", 3), ("fr", "mars", 3), ("en", "April", 4), ("de", "April", 4)], "language string, name string, idx int")
+    listed = [("en", "March", 3), ("de", "März", 3), ("fr", "mars", 3), ("en", "April", 4), ("de", "April", 4)]
+    few = spark.createDataFrame([(lang, "month", "long", i, n) for lang, n, i in listed], dates.NAME)
     df = spark.createDataFrame([(0, "on 14 March 2020, April 2nd, 2021"), (1, "13–14 March 2020"), (2, "am 3. April 2020"), (3, "31 April 2020")], "doc_id long, text string")
-    found = text.named_dates(df, names)
-    assert sorted((r.doc_id, str(r.date), r.languages) for r in found.collect()) == [(0, "2020-03-14", ["en"]), (0, "2021-04-02", ["de", "en"]), (2, "2020-04-03", ["de", "en"])]
-    assert rows(text.settle_language(found, ["de", "en"])) == [(0, "en"), (2, "de")]
+    found = dates.named_dates(df, few)
+    assert sorted((r.doc_id, str(r.date), r.languages) for r in found.collect()) == [(0, "2020-03-14", ["en"]), (0, "2021-04-02", ["en"]), (2, "2020-04-03", ["de", "en"])]
+    assert rows(dates.settle_language(dates.settle(found, few, ["de", "en"]))) == [(0, "en"), (2, "de")]
 
 
 def test_amounts(spark):
     df = spark.createDataFrame([(0, "1 250,00 €"), (1, "$10-$20"), (2, "₹1,25,000.00"), (3, "KWD 1.250"), (4, "1.250,00− €"), (5, "($5.50)"), (6, "€ 5 €"), (7, "12 apples")], "doc_id long, text string")
-    got = {r.doc_id: (r.currency, r.amount) for r in text.amounts(df, {"USD": 2, "EUR": 2, "INR": 2, "KWD": 3}).collect()}
+    got = {r.doc_id: (r.currency, r.amount) for r in amounts.amounts(df, {"USD": 2, "EUR": 2, "INR": 2, "KWD": 3}).collect()}
     assert got[0] == ("EUR", Decimal("1250.000000000"))
     assert got[2] == ("INR", Decimal("125000.000000000"))
     assert got[3] == ("KWD", Decimal("1.250000000"))
@@ -188,24 +232,36 @@ def test_amounts_where_they_stand(spark):
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {i: [] for i in range(len(cases))}
-    for r in text.amounts(df, {"USD": 2, "EUR": 2}).collect():
+    for r in amounts.amounts(df, {"USD": 2, "EUR": 2}).collect():
         got[r.doc_id].append((r.currency, float(r.amount)))
     assert {t: got[i] for i, t in enumerate(cases)} == cases
 
 
-def test_named_dates_by_order_weekday_and_range(spark):
-    names = spark.createDataFrame([("en", "March", 3), ("de", "März", 3), ("es", "marzo", 3)], "language string, name string, idx int")
+def test_named_dates_by_order_weekday_and_range(spark, names):
     cases = {
-        "2024 March 14": 1, "Monday 14 March 2024": 0, "Thursday, 14 March 2024": 1, "14 March 2024 – 15 March 2024": 0, "13 – 14 March 2024": 0, "13-14 March 2024": 0, "14 March - 15 March 2024": 0, "13. bis 14. März 2024": 0, "14 de marzo de 2024": 1,
-        "March 14, 2024 to March 15, 2024": 0, "on 14 March 2024, then 15 March 2024": 2, "from 14 March 2024 we had 3 cats": 1, "2024. März 14-15.": 0, "14 March 2024.5": 0,
-    }
+        "2024 March 14": 1, "Monday 14 March 2024": 0, "Mon 14 March 2024": 0, "Thursday, 14 March 2024": 1, "Thu 14 March 2024": 1, "14 March 2024 – 15 March 2024": 0, "13 – 14 March 2024": 0, "13-14 March 2024": 0, "14 March - 15 March 2024": 0, "13. bis 14. März 2024": 0,
+        "14 de marzo de 2024": 1, "14 of marzo 2024": 0, "March 14, 2024 to March 15, 2024": 0, "on 14 March 2024, then 15 March 2024": 2, "from 14 March 2024 we had 3 cats": 1, "14 March 2024 to 3 cats": 1, "2024. März 14-15.": 0, "14 March 2024.5": 0, "Wed 13 – Thu 14 March 2024": 0,
+        "Steps 1 to Thursday, 14 March 2024": 1, "No. 12-14 March 2024": 0, "1.2-14 March 2024": 1, "March 13th, 2024": 1, "March 13rd, 2024": 0, "1er mars 2024": 1, "2er mars 2024": 0,
+    }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = dict.fromkeys(range(len(cases)), 0)
-    for r in text.named_dates(df, names).collect():
+    for r in dates.named_dates(df, names).collect():
         got[r.doc_id] += 1
     assert {t: got[i] for i, t in enumerate(cases)} == cases
 
 
+def test_every_letter_that_typing_cannot_tell_apart(spark):
+    typed = {" ": text.SPACES, "'": text.QUOTES, '"': text.DOUBLE, "-": text.DASHES}
+    odd = [(f"a{x}b", f"a{plain}b") for plain, letters in typed.items() for x in letters] + [(f"a{x}b", f"a{plain}b") for x, plain in text.SPELLED.items()]
+    for plain in sorted({p for _, p in odd}):
+        mine = [(i, t) for i, (t, p) in enumerate(odd) if p == plain]
+        got = text.find(spark.createDataFrame(mine, "doc_id long, text string"), [text.Query(plain)]).collect()
+        assert {(r.doc_id, *map(tuple, r.matches)) for r in got} == {(i, (0, len(t))) for i, t in mine}
+    apart = spark.createDataFrame([(0, "a\u200cb"), (1, "a\u200db"), (2, "\u00ada\u00ad\u00adb\u00ad ﬁx")], "doc_id long, text string")
+    assert [(r.doc_id, *map(tuple, r.matches)) for r in text.find(apart, [text.Query("ab")]).collect()] == [(2, (1, 5))]
+    assert [list(map(tuple, r.matches)) for r in text.find(apart, [text.Query("b fix")]).collect()] == [[(4, 9)]] and text.find(apart, [text.Query("b f")]).count() == 0
+
+
 def test_replacements_take_over_typing(spark):
     df = spark.createDataFrame([(0, "a\u00a0b’s x"), (1, "a b's a b’s"), (2, "x a—b"), (3, "none")], "doc_id long, text string")
     got = {(r.doc_id, r.query): r.changed for r in text.replace_all(text.find(df, [text.Query("a b's"), text.Query("a-b")]), ["c d's", "c-d"]).collect()}
