@@ -133,17 +133,38 @@ WEIGHTS = [
 ]
 
 
+# Words that may end a spaced name and are its style, words of slanted cuts, and words that tell of another cut than regular or bold.
+STYLE_WORDS = ["regular", "normal", "book", "bold", "italic", "oblique", "light", "medium", "semibold", "black"]
+SLANTED_WORDS = ["italic", "oblique", "ital"]
+CUT_WORDS = ["medi", "semi", "demi", "extra", "ultra", "narrow", "condensed", "wide"]
+
+
 def normalise_fonts(fonts: DataFrame, col: str = "name") -> DataFrame:
-    """Font names as ``family``, ``style``, ``weight``, ``bold`` (600 and up) and ``slanted``: a subset prefix goes, the style follows the first - or comma, a weight word decides, else the descriptor's (``listed``), else 400."""
-    plain = F.regexp_replace(col, r"^[A-Z]{6}\+", "")
-    family = F.regexp_extract(plain, r"^([^,-]*)", 1)
-    style = F.lower(F.regexp_replace(F.regexp_extract(plain, r"^[^,-]*[,-](.*)$", 1), r"[^A-Za-z]", ""))
+    """Font names as ``family``, ``style``, ``weight``, ``bold`` (600 and up), ``slanted`` and ``usual`` (a regular or bold cut of plain width).
+
+    What stands before the first + goes. The style is what follows the first dash, else the first comma, else the words at the end of a spaced name that are style words, the first word aside. A weight
+    word in it decides, else the descriptor's (``listed``), else 400.
+    """
+    plain = F.regexp_replace(col, r"^[^+]*\+", "")
+    words = rf"((?:\s+(?:{'|'.join(STYLE_WORDS)}))+)\s*$"
+    spaced = F.regexp_extract(plain, rf"(?i)(?<=\S){words}", 0)
+    before = F.when(F.contains(plain, F.lit("-")), F.substring_index(plain, "-", 1)).when(F.contains(plain, F.lit(",")), F.substring_index(plain, ",", 1))
+    family = F.coalesce(before, F.left(plain, F.length(plain) - F.length(spaced)))
+    after = F.when(before.isNotNull(), F.substr(plain, F.length(before) + 2)).otherwise(spaced)
+    style = F.lower(F.regexp_replace(after, r"[^A-Za-z]", ""))
     weight = None
     for word, value in WEIGHTS:
-        hit = F.contains(style, F.lit(word))
+        hit = F.contains(F.col("style"), F.lit(word))
         weight = F.when(hit, value) if weight is None else weight.when(hit, value)
     weight = F.coalesce(weight, F.col("listed"), F.lit(400))
-    return fonts.withColumn("family", family).withColumn("style", style).withColumn("weight", weight).withColumn("bold", weight >= 600).withColumn("slanted", style.rlike("italic|oblique"))
+    other = "|".join([*[w for w, v in WEIGHTS if v != 700], *CUT_WORDS])
+    named = fonts.withColumn("family", family).withColumn("style", style).withColumn("weight", weight).withColumn("bold", weight >= 600)
+    return named.withColumn("slanted", F.col("style").rlike("|".join(SLANTED_WORDS))).withColumn("usual", ~F.col("style").rlike(other))
+
+
+def bare_family(family: Column) -> Column:
+    """What a family is looked up by."""
+    return F.lower(F.replace(family, F.lit(" ")))
 
 
 def _style_rank(bold: Column, slanted: Column, b: Column, s: Column) -> Column:
@@ -152,14 +173,31 @@ def _style_rank(bold: Column, slanted: Column, b: Column, s: Column) -> Column:
 
 
 def look_alike(fonts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """For each normalised font (font, family, bold, slanted, kind) a shipped face (face, family, bold, slanted, kind, plain): the exact name, else the family's nearest style, else the plain family of its kind (mono, serif, sans; sans if unknown)."""
-    c = catalog.select("face", F.col("family").alias("_family"), F.col("bold").alias("_b"), F.col("slanted").alias("_s"), F.col("kind").alias("_kind"), "plain")
-    f = fonts.withColumn("_k", F.coalesce("kind", F.lit("sans")))
-    known = f.join(c, F.lower("family") == F.lower("_family")).withColumn("_tier", F.lit(0))
-    of_kind = f.join(c.where("plain"), F.col("_k") == F.col("_kind")).withColumn("_tier", F.lit(1))
-    rank = F.struct("_tier", _style_rank(F.col("bold"), F.col("slanted"), F.col("_b"), F.col("_s")).alias("r"), "face")
-    best = known.unionByName(of_kind).groupBy("font").agg(F.min_by(F.struct("face", (F.col("_tier") == 0).alias("same_family")), rank).alias("x"))
-    return best.select("font", "x.*")
+    """For each normalised font (font, name, family, bold, slanted, usual, kind) a shipped face (face: its name, family, bold, slanted, kind, plain, and ``same_widths``: the document fonts whose widths it has).
+
+    In this order: the face of the font's exact name; the one face that lists the font's family, if just one does (a name that says the cut too); of the faces of that family, or that list it, the nearest style; the
+    plain family of its kind (mono, serif, sans; sans if unknown). ``same_widths`` holds for exact and pinned faces, and for a usual cut of a known family in its own style.
+    """
+    c = catalog.select("face", F.col("family").alias("_family"), F.col("bold").alias("_b"), F.col("slanted").alias("_s"), F.col("kind").alias("_kind"), "plain", "same_widths")
+    lent = c.select("face", "_b", "_s", F.explode("same_widths").alias("_name")).withColumn("_name", bare_family(F.col("_name"))).distinct()
+    pinned = lent.groupBy("_name").agg(F.count_distinct("face").alias("_n"), F.first("face").alias("face"), F.first("_b").alias("_b"), F.first("_s").alias("_s")).where("_n = 1").drop("_n")
+    known = c.select("face", "_b", "_s", bare_family(F.col("_family")).alias("_name")).unionByName(lent).distinct()
+    f = fonts.withColumn("_k", F.coalesce("kind", F.lit("sans"))).withColumn("_name", bare_family(F.col("family")))
+    tiers = [
+        f.join(c.select("face", "_b", "_s"), F.col("name") == F.col("face")),
+        f.join(pinned, "_name"),
+        f.join(known, "_name"),
+        f.join(c.where("plain").select("face", "_b", "_s", "_kind"), F.col("_k") == F.col("_kind")),
+    ]
+    columns = ["font", "bold", "slanted", "usual", "face", "_b", "_s"]
+    every = None
+    for tier, met in enumerate(tiers):
+        t = met.select(*columns, F.lit(tier).alias("_tier"))
+        every = t if every is None else every.unionByName(t)
+    rank = F.struct("_tier", F.when(F.col("_tier") < 2, 0).otherwise(_style_rank(F.col("bold"), F.col("slanted"), F.col("_b"), F.col("_s"))).alias("r"), "face")
+    own = (F.col("_tier") < 2) | ((F.col("_tier") == 2) & F.col("usual") & (F.col("bold") == F.col("_b")) & (F.col("slanted") == F.col("_s")))
+    tier = F.get(F.array(*[F.lit(x) for x in ("exact", "pinned", "family", "plain")]), F.col("_tier"))
+    return every.groupBy("font").agg(F.min_by(F.struct("face", tier.alias("found_by"), own.alias("same_widths")), rank).alias("x")).select("font", "x.*")
 
 
 def choose_substitute(texts: DataFrame, faces: DataFrame, coverage: DataFrame, key: list[str]) -> DataFrame:

@@ -101,33 +101,45 @@ def pooled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STYLES = [*(w for w, _ in op.WEIGHTS), "", "Regular", "Book"]
-FONTS = f"""f0 AS (SELECT doc_id, lang, upper(lang[1]) || lang[2:] || 'Sans' AS family, ([{", ".join(str(v) for _, v in op.WEIGHTS)}, 400, 400, 400])[doc_id % {len(STYLES)} + 1]::BIGINT AS weight, doc_id % 3 = 0 AS slanted FROM documents),
-fn AS (SELECT *, weight >= 600 AS bold FROM f0)"""
+FONTS = f"""f0 AS (SELECT doc_id, lang, upper(lang[1]) || lang[2:] || 'Sans' AS family, doc_id % 4 = 2 AS spaced, doc_id // 4 % 10 AS s, doc_id % {len(STYLES)} AS w FROM documents),
+f1 AS (SELECT *, CASE WHEN spaced THEN ([400, 400, 400, 700, 400, 400, 300, 500, 600, 900])[s + 1] ELSE ([{", ".join(str(v) for _, v in op.WEIGHTS)}, 400, 400, 400])[w + 1] END::BIGINT AS weight, doc_id % 3 = 0 OR spaced AND s IN (4, 5) AS slanted,
+  CASE WHEN spaced THEN s < 6 ELSE w IN ({[w for w, _ in op.WEIGHTS].index("bold")}, {len(STYLES) - 3}, {len(STYLES) - 2}, {len(STYLES) - 1}) END AS usual FROM f0),
+fn AS (SELECT *, weight >= 600 AS bold, NOT spaced AND doc_id % 4 = 3 AND doc_id % 3 <> 0 AND w = {[w for w, _ in op.WEIGHTS].index("thin")} AS thin FROM f1)"""
 
 
 def fonts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A font name for every document, out of its language and all weight words in turn, every third slanted, every second of a subset."""
-    style = F.initcap(F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.col("doc_id") % len(STYLES) + 1).cast("int")))
+    """A font name for every document, out of its language and all weight words in turn, every third slanted, every second of a subset, every fourth with its style words set apart by spaces."""
+    of = lambda words, i: F.initcap(F.get(F.array(*[F.lit(s) for s in words]), (i % len(words)).cast("int")))
     mark = F.when(F.col("doc_id") % 4 == 1, ",").otherwise("-")
-    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "ABCDEF+").otherwise(""), F.initcap("lang"), F.lit("Sans"), mark, style, F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 6 == 0, "Italic").otherwise("Oblique")).otherwise(""))
+    slant = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 6 == 0, "Italic").otherwise("Ital")).otherwise("")
+    dashed = F.concat(mark, of(STYLES, F.col("doc_id")), slant)
+    spaced = F.concat(F.lit(" "), of(op.STYLE_WORDS, F.floor(F.col("doc_id") / 4)), F.when(F.col("doc_id") % 3 == 0, " ITALIC").otherwise(""))
+    prefix = F.when(F.col("doc_id") % 8 == 2, "AB+").when(F.col("doc_id") % 2 == 0, "ABCDEF+").otherwise("")
+    name = F.concat(prefix, F.initcap("lang"), F.lit("Sans"), F.when(F.col("doc_id") % 4 == 2, spaced).otherwise(dashed))
     return op.normalise_fonts(derive.table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.lit(None).cast("int").alias("listed")))
 
 
-@query("font_names", f"WITH {FONTS} SELECT doc_id, family, weight, bold, slanted FROM fn")
+@query("font_names", f"WITH {FONTS} SELECT doc_id, family, weight, bold, slanted, usual FROM fn")
 def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fonts_of(spark, sf_dir).select("doc_id", "family", F.col("weight").cast("long").alias("weight"), "bold", "slanted")
+    return fonts_of(spark, sf_dir).select("doc_id", "family", F.col("weight").cast("long").alias("weight"), "bold", "slanted", "usual")
 
 
-FACES = [("en-r", "EnSans", False, False, "sans", True), ("en-b", "EnSans", True, False, "sans", False), ("en-bi", "EnSans", True, True, "sans", False), ("de-r", "DeSans", False, False, "sans", False)]
+#: face, family, bold, slanted, kind, plain, document fonts whose widths it has
+FACES = [
+    ("en-r", "En Sans", False, False, "sans", True, []), ("en-b", "EnSans", True, False, "sans", False, []), ("en-bi", "EnSans", True, True, "sans", False, []), ("de-r", "Other", False, False, "sans", False, ["DeSans"]),
+    ("de-b", "Other", True, False, "sans", False, ["de sans"]), ("fr-bi", "Pinned", True, True, "serif", False, ["FrSans"]), ("EsSans-Thin", "Exact", False, False, "mono", False, []),
+]
 
 
 @query(
     "look_alikes",
-    f"""WITH {FONTS} SELECT doc_id AS font, CASE WHEN lang = 'de' THEN 'de-r' WHEN lang = 'en' AND bold THEN CASE WHEN slanted THEN 'en-bi' ELSE 'en-b' END ELSE 'en-r' END AS face, lang IN ('de', 'en') AS same_family FROM fn""",
+    f"""WITH {FONTS}, a AS (SELECT doc_id AS font, CASE WHEN lang = 'fr' THEN 'fr-bi' WHEN lang = 'de' THEN CASE WHEN bold THEN 'de-b' ELSE 'de-r' END WHEN lang = 'en' AND bold THEN CASE WHEN slanted THEN 'en-bi' ELSE 'en-b' END WHEN lang = 'es' AND thin THEN 'EsSans-Thin' ELSE 'en-r' END AS face,
+CASE WHEN lang = 'fr' THEN 'pinned' WHEN lang IN ('de', 'en') THEN 'family' WHEN lang = 'es' AND thin THEN 'exact' ELSE 'plain' END AS found_by, usual, slanted, bold FROM fn)
+SELECT font, face, found_by, found_by IN ('exact', 'pinned') OR found_by = 'family' AND usual AND (face = 'en-bi' OR NOT slanted) AS same_widths FROM a""",
 )
 def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = spark.createDataFrame(FACES, "face string, family string, bold boolean, slanted boolean, kind string, plain boolean")
-    fonts = fonts_of(spark, sf_dir).select(F.col("doc_id").alias("font"), "family", "bold", "slanted", F.lit(None).cast("string").alias("kind"))
+    catalog = spark.createDataFrame(FACES, "face string, family string, bold boolean, slanted boolean, kind string, plain boolean, same_widths array<string>")
+    fonts = fonts_of(spark, sf_dir).select(F.col("doc_id").alias("font"), "name", "family", "bold", "slanted", "usual", F.lit(None).cast("string").alias("kind"))
     return op.look_alike(fonts, catalog)
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import SPAN
+from ..workspace import Workspace
 
 
 def write_spans(df: DataFrame, path: str, buckets: int = 64) -> None:
@@ -35,6 +43,44 @@ def scan_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("note is null").drop("note"), marked.where("note is not null").select("doc_id", "note")
 
 
+def scan_files(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Gzipped JSON lines of a folder that fit the schema, with their ``file``, and a quarantine (file, note) of files that hold none: empty, truncated, or nothing that can be read.
+
+    A file is unpacked where it is read, and must fit into a task; line by line, so one that breaks off gives the rows before the break and a note. Nothing readable in any file is an error.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = reader.select(F.col("path").alias("file"), "content")
+    # Spark reads no file without bytes; the listing that it keeps has them
+    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+(?=[^/])", "$1:/")
+    listed = spark.createDataFrame([(unquote(f),) for f in reader.inputFiles()], "file string").select(plain("file").alias("file"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                lines, note = [], None
+                try:
+                    with gzip.open(io.BytesIO(content), "rt", encoding="utf-8", errors="strict") as text:
+                        for line in text:
+                            lines.append(line)
+                except EOFError:
+                    note = "truncated"
+                except (OSError, zlib.error, UnicodeDecodeError):
+                    note = "unreadable"
+                rows = lines or [None]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(rows, pa.string()), pa.array([note] * len(rows), pa.string())], names=["file", "line", "note"])
+
+    lines = Workspace(spark, "files").write(files.mapInArrow(unpack, "file string, line string, note string").withColumn("file", plain("file")), "lines")
+    rows = lines.where("trim(line) <> ''").withColumn("_r", F.from_json("line", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    good = rows.where("_r._corrupt is null").select("file", "_r.*").drop("_corrupt")
+    if good.isEmpty():
+        raise ValueError(f"nothing in {folder} can be read")
+    bad = rows.groupBy("file").agg(F.count_if(F.col("_r._corrupt").isNull()).alias("_good"))
+    told = lines.groupBy("file").agg(F.max("note").alias("note")).join(bad, "file", "left")
+    note = F.coalesce("note", F.when(F.coalesce("_good", F.lit(0)) == 0, "no rows"))
+    empty = listed.join(lines.select("file").distinct(), "file", "left_anti").withColumn("note", F.lit("empty"))
+    return good, told.select("file", note.alias("note")).where("note is not null").unionByName(empty)
+
+
 def with_digest(df: DataFrame, col: str = "text") -> DataFrame:
     """Adds ``digest``, the SHA-256 of the content, which is a document's identity."""
     return df.withColumn("digest", F.sha2(F.coalesce(col, F.lit("")), 256))

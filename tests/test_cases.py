@@ -523,3 +523,39 @@ def test_long_logs_are_streamed(spark):
         assert not [1 for df in (a, m) if "FlatMapGroups" in df._jdf.queryExecution().toString()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_broken_files_are_quarantined(spark, tmp_path):
+    import gzip
+
+    rows_ = "\n".join(f'{{"doc_id": {i}, "lang": "en"}}' for i in range(5000))
+    whole = gzip.compress(rows_.encode())
+    for name, content in {"good": whole, "cut": whole[: len(whole) // 2], "empty": b"", "junk": b"x" * 50, "other": gzip.compress(b"no json"), "odd": gzip.compress(b'{"doc_id": 1}\nnot\n'), "bytes": gzip.compress(b"\xff\xfe")}.items():
+        (tmp_path / f"{name}.gz").write_bytes(content)
+    good, bad = ingest.scan_files(spark, str(tmp_path), "doc_id long, lang string")
+    assert {r.file.rpartition("/")[2]: r.note for r in bad.collect()} == {"cut.gz": "truncated", "empty.gz": "empty", "junk.gz": "unreadable", "other.gz": "no rows", "bytes.gz": "unreadable"}
+    n = {r.file.rpartition("/")[2]: r["count"] for r in good.groupBy("file").count().collect()}
+    assert n.pop("good.gz") == 5000 and n.pop("odd.gz") == 1 and 0 < n.pop("cut.gz") < 5000 and not n
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/a.gz").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        ingest.scan_files(spark, str(tmp_path / "none"), "doc_id long, lang string")
+
+
+def test_faces_exact_pinned_family_plain(spark):
+    listed = ["Calibri Bold", "ABC+X-Bold", "Y-LightItal", "CMBX10", "Calibri,Italic", "Shipped-Bold", "Nobody Black Italic", "Calibri Semi Bold"]
+    fonts = typography.normalise_fonts(spark.createDataFrame([(n, n, None) for n in listed], "font string, name string, listed int")).withColumn("kind", F.lit(None).cast("string"))
+    got = {r.name: (r.family, r.weight, r.bold, r.slanted, r.usual) for r in fonts.collect()}
+    assert got == {
+        "Calibri Bold": ("Calibri", 700, True, False, True), "ABC+X-Bold": ("X", 700, True, False, True), "Y-LightItal": ("Y", 300, False, True, False), "CMBX10": ("CMBX10", 400, False, False, True), "Calibri,Italic": ("Calibri", 400, False, True, True),
+        "Shipped-Bold": ("Shipped", 700, True, False, True), "Nobody Black Italic": ("Nobody", 900, True, True, False), "Calibri Semi Bold": ("Calibri Semi", 700, True, False, True),
+    }
+    catalog = spark.createDataFrame(
+        [("C-Regular", "Carlito", False, False, "sans", False, ["Calibri"]), ("C-Bold", "Carlito", True, False, "sans", False, ["Calibri"]), ("LM-Bold", "Latin Modern", True, False, "serif", False, ["CMBX10"]), ("Shipped-Bold", "Shipped", True, False, "sans", False, []), ("L-Regular", "Liberation", False, False, "sans", True, [])],
+        "face string, family string, bold boolean, slanted boolean, kind string, plain boolean, same_widths array<string>",
+    )
+    told = {r.font: (r.face, r.found_by, r.same_widths) for r in typography.look_alike(fonts, catalog).collect()}
+    assert told == {
+        "Calibri Bold": ("C-Bold", "family", True), "ABC+X-Bold": ("L-Regular", "plain", False), "Y-LightItal": ("L-Regular", "plain", False), "CMBX10": ("LM-Bold", "pinned", True), "Calibri,Italic": ("C-Regular", "family", False),
+        "Shipped-Bold": ("Shipped-Bold", "exact", True), "Nobody Black Italic": ("L-Regular", "plain", False), "Calibri Semi Bold": ("L-Regular", "plain", False),
+    }
