@@ -60,11 +60,15 @@ def best_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unprintable_census",
-    r"""WITH c AS (SELECT source, unnest(regexp_extract_all(text, '[\x00-\x09\x0B-\x1F\x7F-\x9F\xAD\x{200B}-\x{200F}\x{A0}]')) AS c FROM documents)
+    r"""WITH c AS (SELECT source, unnest(regexp_extract_all(text, '[\x00-\x09\x0B-\x1F\x7F-\x9F\xAD\x{200B}-\x{200F}\x{A0}]')) AS c FROM documents
+UNION ALL SELECT event_type, chr([9, 160, 173, 8203, 13][event_id % 5 + 1]) FROM events)
 SELECT source, CASE WHEN c = chr(9) THEN 'tab' ELSE 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0') END AS name, count(*)::BIGINT AS n FROM c GROUP BY ALL""",
 )
 def unprintable_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.visible_characters(derive.table(spark, sf_dir, "documents"), {"\t": "tab"}, ["source"])
+    """Documents, and a note an event with a tab, a space that does not break, a soft hyphen, a mark without width or a carriage return."""
+    odd = F.get(F.array(*[F.lit(chr(c)) for c in (9, 160, 173, 8203, 13)]), (F.col("event_id") % 5).cast("int"))
+    notes = derive.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("a b"), odd, F.lit("c\n")).alias("text"))
+    return op.visible_characters(derive.table(spark, sf_dir, "documents").select("source", "text").unionByName(notes), {"\t": "tab"}, ["source"])
 
 
 @query(

@@ -146,11 +146,17 @@ def clean_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "colliding_addresses",
-    r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n]*@[^ \n]*')) AS email FROM documents) SELECT lower(trim(email)) AS address, count(DISTINCT doc_id)::BIGINT AS accounts FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""",
+    r"""WITH w AS (SELECT doc_id AS account, unnest(regexp_extract_all(text, '[^ \n]*@[^ \n]*')) AS email FROM documents
+UNION ALL SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN ' U' || user_id % 40 || '@Mail.Example' ELSE 'u' || user_id % 40 || '@mail.example ' END FROM events)
+SELECT lower(trim(email)) AS address, count(DISTINCT account)::BIGINT AS accounts FROM w GROUP BY 1 HAVING count(DISTINCT account) > 1""",
 )
 def colliding_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = derive.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n]*@[^ \n]*"), F.lit(0))).alias("email"))
-    return op.colliding_addresses(docs, "doc_id")
+    """Addresses in documents, and those of accounts, which write forty addresses in their own ways."""
+    docs = derive.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("account"), F.explode(F.regexp_extract_all("text", F.lit(r"[^ \n]*@[^ \n]*"), F.lit(0))).alias("email"))
+    number = (F.col("user_id") % 40).cast("string")
+    written = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(" U"), number, F.lit("@Mail.Example"))).otherwise(F.concat(F.lit("u"), number, F.lit("@mail.example ")))
+    accounts = derive.table(spark, sf_dir, "events").select(F.col("user_id").alias("account"), written.alias("email")).distinct()
+    return op.colliding_addresses(docs.unionByName(accounts), "account")
 
 
 @query(
