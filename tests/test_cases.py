@@ -12,6 +12,7 @@ from foliomill.operators import amounts, dates, edits, layout, logs, messages, r
 from foliomill.operators import fidelity
 from foliomill.operators.spans import build_spans
 from foliomill.sources import ingest
+from foliomill.workspace import Workspace
 
 
 def rows(df):
@@ -168,9 +169,11 @@ def as_days(spark, names, cases, reader, to, year_of=2024):
         text_of[i] = first
         rows += [(i, " | ".join([first, *others]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    named, numeric = dates.named_dates(df, names), dates.numeric_with_weekdays(dates.numeric_dates(df, year_of), names)
+    work = Workspace(spark, "days")
+    named, numeric = work.write(dates.named_dates(df, names), "named"), work.write(dates.numeric_with_weekdays(dates.numeric_dates(df, year_of), names), "numeric")
     changes = df.select("doc_id", F.explode(F.sequence(F.to_date(F.lit("2026-03-14")), F.to_date(F.lit("2026-12-14")), F.expr("interval 1 month"))).alias("old"), F.to_date(F.lit(to)).alias("new"))
-    swaps = [dates.named_date_swaps(dates.settle(named, names, reader), names, changes), dates.date_swaps(df, dates.settle(numeric, names, reader, named), names, changes)]
+    settled = work.write(dates.settle(named, names, reader), "settled"), work.write(dates.settle(numeric, names, reader, named), "numbers")
+    swaps = [dates.named_date_swaps(settled[0], names, changes), dates.date_swaps(df, settled[1], names, changes)]
     return {text_of[r.doc_id]: r.text.split(" | ")[0] for r in text.rewrite_values(df, *swaps).collect()}
 
 
