@@ -162,6 +162,16 @@ def names(spark):
     return dates.date_names(spark, ["en", "de", "fr", "es", "it", "sv", "nl", "ro", "gl"])
 
 
+@pytest.fixture
+def interpreted(spark):
+    """Compiling the code of these plans takes far longer than their few rows."""
+    for k, v in (("wholeStage", "false"), ("factoryMode", "NO_CODEGEN")):
+        spark.conf.set(f"spark.sql.codegen.{k}", v)
+    yield
+    for k in ("wholeStage", "factoryMode"):
+        spark.conf.unset(f"spark.sql.codegen.{k}")
+
+
 def as_days(spark, names, cases, reader, to, year_of=2024):
     """Texts, each a document of its own or of those listed with it, whose first date becomes ``to``."""
     rows, text_of = [], {}
@@ -177,7 +187,7 @@ def as_days(spark, names, cases, reader, to, year_of=2024):
     return {text_of[r.doc_id]: r.text.split(" | ")[0] for r in text.rewrite_values(df, *swaps).collect()}
 
 
-def test_named_dates_are_rewritten_as_written(spark, names):
+def test_named_dates_are_rewritten_as_written(spark, names, interpreted):
     cases = {
         "on 14 March 2026.": "on 2 April 2026.", "MARCH 14th, 2026": "APRIL 2nd, 2026", "14 Mar. 2026": "2 Apr. 2026", "am 14. März 2026": "am 2. April 2026", "2026 March 14": "2026 April 2",
         "13-14 March 2026, 14 March 2026": "13-14 March 2026, 2 April 2026", "14 de marzo de 2026": "2 de abril de 2026", "Saturday, 14 March 2026": "Thursday, 2 April 2026", "SAT 14 MAR 2026": "THU 2 APR 2026",
@@ -191,7 +201,7 @@ def test_named_dates_are_rewritten_as_written(spark, names):
     assert as_days(spark, names, [(t,) for t in romanian], ["ro"], "2026-04-02") == romanian
 
 
-def test_months_that_languages_share_are_settled_or_left_alone(spark, names):
+def test_months_that_languages_share_are_settled_or_left_alone(spark, names, interpreted):
     shared = ["14 April 2026", "14 September 2026", "14 Mai 2026", "14 may 2026", "14 novembre 2026"]
     assert as_days(spark, names, [(t,) for t in shared], [], "2026-06-02") == {t: t for t in shared}
     assert as_days(spark, names, [(t,) for t in shared], ["en"], "2026-06-02") == {t: t for t in shared} | {"14 April 2026": "2 June 2026", "14 September 2026": "2 June 2026", "14 may 2026": "2 june 2026"}
@@ -203,7 +213,7 @@ def test_months_that_languages_share_are_settled_or_left_alone(spark, names):
     assert got == {"Due 14 mars 2026": "Due 2 april 2026", "14 novembre 2026": "14 novembre 2026", "14 mar 2026": "14 mar 2026", "14 dec 2026": "2 apr 2026"}
 
 
-def test_weekdays_beside_numbers(spark, names):
+def test_weekdays_beside_numbers(spark, names, interpreted):
     assert as_days(spark, names, [("Sam 14/03/2026",), ("Sat 2026-03-14",), ("Fri 14/03/2026",), ("sat 14.3.2026",)], ["fr", "en"], "2026-03-17") == {"Sam 14/03/2026": "Mar 17/03/2026", "Sat 2026-03-14": "Tue 2026-03-17", "Fri 14/03/2026": "Fri 17/03/2026", "sat 14.3.2026": "tue 17.3.2026"}
     # lunedì, lunes and lundi are all "lun": nothing settles which
     assert as_days(spark, names, [("lun 14/12/2026",)], [], "2026-03-17") == {"lun 14/12/2026": "lun 14/12/2026"}
