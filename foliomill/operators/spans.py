@@ -39,13 +39,13 @@ def assemble(merged: DataFrame) -> DataFrame:
     """
     side = lambda s: F.bround(F.col(f"bbox.{s}"), 2)
     fragment = F.struct("piece_no", "text", F.struct(*[side(s).alias(s) for s in ("x0", "y0", "x1", "y1")]).alias("bbox"), F.struct(F.bround("origin.x", 2).alias("x"), F.bround("origin.y", 2).alias("y")).alias("origin"))
-    first = lambda c: F.min_by(c, "piece_no").alias(c)
+    style = ("font", "font_object", "size", "color", "opacity", "dir")
     groups = merged.groupBy(*LINE, "grp").agg(
         F.array_sort(F.collect_list(fragment)).alias("parts"),
         F.struct(F.min(side("x0")).alias("x0"), F.min(side("y0")).alias("y0"), F.max(side("x1")).alias("x1"), F.max(side("y1")).alias("y1")).alias("bbox"),
-        *[first(c) for c in ("font", "font_object", "size", "color", "opacity", "dir")],
+        F.min_by(F.struct(*style), "piece_no").alias("style"),
     )
-    spans = groups.withColumn("text", F.concat_ws("", F.transform("parts", lambda x: x["text"]))).where(F.length(F.regexp_replace("text", r"\s", "")) > 0)
+    spans = groups.select("*", *[f"style.{c}" for c in style]).withColumn("text", F.concat_ws("", F.transform("parts", lambda x: x["text"]))).where(F.length(F.regexp_replace("text", r"\s", "")) > 0)
     order = Window.partitionBy("doc_id").orderBy("page", "line_no", "grp")
     return spans.select(
         "doc_id",
