@@ -94,9 +94,29 @@ def vouched_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.vouch_copies(copies_of(spark, sf_dir), widths_of(spark, sf_dir)).select("doc_id", "own", "other", "refusal")
 
 
-@query("pooled_letters")
+POOL_SQL = """WITH l AS (SELECT DISTINCT doc_id, letter, unicode(letter) AS cp FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ''), '')) AS letter FROM documents) WHERE letter <> ''),
+w AS (SELECT doc_id, letter, rank, 400.0 + cp % 7 * 50 + CASE WHEN rank = 2 AND doc_id % 3 = 0 AND cp % 5 = 0 THEN 2.0 ELSE 0.0 END AS width FROM l, (VALUES (0), (1), (2)) r(rank)
+  WHERE CASE rank WHEN 0 THEN cp % 3 <> 0 WHEN 1 THEN cp % 2 = 0 ELSE true END),
+p0 AS (SELECT doc_id, letter, rank, width FROM w WHERE rank = 0),
+j1 AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM w WHERE rank = 1) n WHERE NOT EXISTS (SELECT 1 FROM p0 WHERE p0.doc_id = n.doc_id)
+  OR (SELECT count(*) >= 3 AND max(abs(a.width - b.width)) <= 1.0 FROM w a JOIN p0 b ON a.doc_id = b.doc_id AND a.letter = b.letter AND a.letter <> ' ' WHERE a.rank = 1 AND a.doc_id = n.doc_id)),
+p1 AS (SELECT * FROM p0 UNION ALL SELECT doc_id, letter, rank, width FROM w SEMI JOIN j1 USING (doc_id) WHERE rank = 1 AND (doc_id, letter) NOT IN (SELECT (doc_id, letter) FROM p0)),
+j2 AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM w WHERE rank = 2) n WHERE NOT EXISTS (SELECT 1 FROM p1 WHERE p1.doc_id = n.doc_id)
+  OR (SELECT count(*) >= 3 AND max(abs(a.width - b.width)) <= 1.0 FROM w a JOIN p1 b ON a.doc_id = b.doc_id AND a.letter = b.letter AND a.letter <> ' ' WHERE a.rank = 2 AND a.doc_id = n.doc_id)),
+p2 AS (SELECT * FROM p1 UNION ALL SELECT doc_id, letter, rank, width FROM w SEMI JOIN j2 USING (doc_id) WHERE rank = 2 AND (doc_id, letter) NOT IN (SELECT (doc_id, letter) FROM p1))
+SELECT doc_id, doc_id || '-' || rank AS lender, count(*) AS letters FROM p2 GROUP BY ALL"""
+
+
+@query("pooled_letters", POOL_SQL)
 def pooled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = op.pool_letters(copies_of(spark, sf_dir), widths_of(spark, sf_dir))
+    """Three copies of a font for every document: of its own letters two hold a part each, the third all, with other widths in every third document."""
+    docs = derive.table(spark, sf_dir, "documents")
+    letters = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.regexp_replace("text", "\n", ""), ""))).alias("letter")).where("letter <> ''").withColumn("cp", code(F.col("letter")))
+    each = letters.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank")).where("case rank when 0 then cp % 3 <> 0 when 1 then cp % 2 = 0 else true end")
+    off = F.when((F.col("rank") == 2) & (F.col("doc_id") % 3 == 0) & (F.col("cp") % 5 == 0), 2.0).otherwise(0.0)
+    key = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("rank").cast("string")).alias("font_key")
+    copies = docs.select("doc_id", F.lit("Body").alias("name"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank")).select("*", key)
+    pooled = op.pool_letters(copies, each.select(key, "letter", (400.0 + F.col("cp") % 7 * 50 + off).alias("width")))
     return pooled.groupBy("doc_id", "lender").agg(F.count("*").alias("letters"))
 
 

@@ -27,7 +27,15 @@ def meter_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.meter_accounts(derive.opens(events_of(spark, sf_dir)), 10).select("account", "event_id", "month", "first", "admitted")
 
 
-@query("meter_browsers")
+@query(
+    "meter_browsers",
+    f"""WITH RECURSIVE {m.OPENS}, o AS (SELECT account AS browser, digest, event_id, us, row_number() OVER (PARTITION BY account ORDER BY us, event_id) AS n FROM opens),
+walk AS (SELECT browser, digest, event_id, us, n, [digest] AS held, us AS since, true AS admitted FROM o WHERE n = 1
+  UNION ALL SELECT browser, digest, event_id, us, n, CASE WHEN fresh THEN list_append(kept, digest) ELSE kept END, CASE WHEN fresh THEN us ELSE since END, fresh OR known
+  FROM (SELECT *, list_contains(kept, digest) AS known, NOT list_contains(kept, digest) AND len(kept) < 3 AS fresh
+    FROM (SELECT o.*, w.since, CASE WHEN o.us - w.since >= {op.KEPT_S * 1_000_000} THEN [] ELSE w.held END AS kept FROM walk w JOIN o ON o.browser = w.browser AND o.n = w.n + 1)))
+SELECT browser, digest, event_id, us, admitted FROM walk""",
+)
 def meter_browsers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.meter_browsers(derive.opens(events_of(spark, sf_dir)).withColumnRenamed("account", "browser"), 3)
 
