@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import edits as op
 from ..sources import derive
@@ -110,13 +111,33 @@ def page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(order_of(spark, sf_dir))
 
 
-@query("history_replay")
+# Every step of this log has one entry, so a remove takes whole steps.
+HISTORY_SQL = f"""WITH RECURSIVE {m.EVENTS}, a0 AS (SELECT user_id AS doc_id, event_id, k, CASE WHEN event_type = 'click' AND k % 2 = 0 THEN 'revise' WHEN event_type IN ('purchase', 'click') THEN 'add' WHEN event_type = 'view' THEN 'undo' WHEN event_type = 'signup' THEN 'redo' ELSE 'remove' END AS action FROM ev),
+l0 AS (SELECT *, max(CASE WHEN action IN ('add', 'revise') THEN event_id END) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) AS n FROM a0),
+log AS (SELECT *, CASE WHEN k % 2 = 0 THEN coalesce(before, event_id - k) ELSE event_id - k END AS gone FROM l0),
+walk AS (SELECT doc_id, 0::BIGINT AS n, []::STRUCT(e BIGINT, v VARCHAR, r BIGINT)[] AS done, []::STRUCT(e BIGINT, v VARCHAR, r BIGINT)[] AS undone FROM log GROUP BY doc_id
+  UNION ALL SELECT w.doc_id, w.n + 1,
+    CASE action WHEN 'add' THEN list_append(done, {{'e': event_id, 'v': k::VARCHAR, 'r': NULL::BIGINT}})
+      WHEN 'revise' THEN CASE WHEN k % 4 = 0 AND coalesce(done[-1].e = before, false) THEN list_append(done[:-2], {{'e': event_id, 'v': k::VARCHAR, 'r': done[-1].r}}) ELSE list_append(done, {{'e': event_id, 'v': k::VARCHAR, 'r': before}}) END
+      WHEN 'undo' THEN done[:-2] WHEN 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE list_filter(done, lambda x: x.e <> gone) END,
+    CASE WHEN action IN ('add', 'revise') THEN [] WHEN action = 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN action = 'redo' THEN undone[:-2] WHEN len(list_filter(done, lambda x: x.e = gone)) > 0 THEN [] ELSE undone END
+  FROM walk w JOIN log l ON l.doc_id = w.doc_id AND l.n = w.n + 1),
+last AS (SELECT doc_id, unnest(arg_max(done, n)) AS s FROM walk GROUP BY doc_id)
+SELECT doc_id, s.e AS entry, s.v AS value, s.r AS replaces FROM last"""
+
+
+@query("history_replay", HISTORY_SQL)
 def history_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's events as one log: purchases and clicks add, views undo, signups redo, errors remove."""
+    """Every user's events as one log: purchases and odd clicks add, even clicks revise the entry before (every other one folds), views undo, signups redo, errors remove (even ones the entry before, others any entry)."""
     e = derive.key_of(derive.table(spark, sf_dir, "events"))
-    action = F.when(F.col("event_type").isin("purchase", "click"), "add").when(F.col("event_type") == "view", "undo").when(F.col("event_type") == "signup", "redo").otherwise("remove")
-    log = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"), F.when(action == "remove", F.array(F.col("event_id") - F.col("k"))).otherwise(F.array("event_id")).alias("entries"), F.col("k").cast("string").alias("value"))
-    return op.replay_history(log)
+    kind, k = F.col("event_type"), F.col("k")
+    action = F.when((kind == "click") & (k % 2 == 0), "revise").when(kind.isin("purchase", "click"), "add").when(kind == "view", "undo").when(kind == "signup", "redo").otherwise("remove")
+    log = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"), k.alias("k"), k.cast("string").alias("value"), (k % 4 == 0).alias("folds"))
+    before = F.max(F.when(F.col("action").isin("add", "revise"), F.col("seq"))).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    log = log.withColumn("_before", before).withColumn("replaces", F.when(F.col("action") == "revise", F.col("_before")))
+    other = F.col("seq") - k
+    gone = F.when(k % 2 == 0, F.coalesce("_before", other)).otherwise(other)
+    return op.replay_history(log.withColumn("entries", F.array(F.when(F.col("action") == "remove", gone).otherwise(F.col("seq")))).drop("k", "_before"))
 
 
 CHAINS = """ins AS (SELECT user_id AS doc_id, event_id AS entry, CASE WHEN k % 3 <> 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS replaces, CASE WHEN k % 7 = 0 THEN '' ELSE 'new ' || k END AS text FROM ev WHERE event_type = 'signup')"""
