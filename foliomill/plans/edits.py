@@ -150,8 +150,6 @@ l AS (SELECT c.doc_id, c.root, max(c.entry) AS entry, arg_max(i.text, c.entry) A
 SELECT * FROM l WHERE text <> ''""",
 )
 def version_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     e = derive.key_of(derive.table(spark, sf_dir, "events")).where("event_type = 'signup'")
     before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     ins = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("entry"), F.when(F.col("k") % 3 != 0, before).alias("replaces"), F.when(F.col("k") % 7 == 0, "").otherwise(F.concat(F.lit("new "), F.col("k").cast("string"))).alias("text"))
