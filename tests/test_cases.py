@@ -386,6 +386,25 @@ def test_room_equals_a_full_scan(spark):
         assert got[d, k] == (0.0 if turned else max(min(walls) - b[2], 0.0)), (d, k)
 
 
+def test_walls_on_one_long_line(spark):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    n = 1500
+    x0 = r.integers(0, 2000, n).astype(float)
+    x1 = x0 + r.choice([0.0, 0.05, 5.0, 90.0, 400.0], n)
+    y0 = r.choice([0.0, 2.0, 15.0], n)
+    y1 = y0 + r.choice([12.0, 20.0], n)
+    rows = [(1, 0, i, (float(x0[i]), float(y0[i]), float(x1[i]), float(y1[i])), False) for i in range(n)]
+    spans = spark.createDataFrame(rows, "doc_id long, page int, ordinal long, bbox struct<x0:double,y0:double,x1:double,y1:double>, turned boolean")
+    got = {x.ordinal: x.wall for x in layout.text_walls(spans).collect()}
+    for i in range(n):
+        over = np.minimum(y1, y1[i]) - np.maximum(y0, y0[i])
+        kerned = (over > np.minimum(y1 - y0, y1[i] - y0[i]) / 2) & (x0 > x0[i]) & (x1 > x1[i])
+        ahead = (over > 0.1) & ((x0 >= x1[i] - 0.1) | kerned) & (np.arange(n) != i)
+        assert got.get(i) == (float(x0[ahead].min()) if ahead.any() else None), i
+
+
 def test_values_resolve(spark):
     df = spark.createDataFrame([(1, 0, 5, "a"), (1, 3, 9, "b"), (1, 5, 7, "c"), (1, 0, 2, "d")], "doc_id long, start int, stop int, kind string")
     assert rows(text.resolve_values(df)) == [(1, 0, 5, "a"), (1, 5, 7, "c")]
