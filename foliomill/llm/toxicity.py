@@ -8,7 +8,9 @@ text count as one, so its harmless words do not become insults.
 
 Labels are learned from a bounded sample (``max_rows`` labelled rows, the first by a hash of the
 key), split in three: the lexicon, the trees and the calibration each have rows of their own.
-Scoring is built-in functions over all rows.
+Scoring reads all rows in Arrow batches: words are told apart first, each distinct word of some
+6 MB of text is looked at once, and texts add up what their words have. Rates and logarithms of
+these counts are built-in functions.
 
 Edge cases: null text counts as empty and is scored like any other; a row with several labels is
 toxic if one says so; null labels are skipped; with no labelled rows or only one class the score
@@ -17,8 +19,12 @@ is that class's rate (0 without any); repeated rows get equal scores; extra colu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,13 +32,16 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_bucket, table, words_of
+from .common import Workspace, crc_bucket, table
+from .wordcodes import slices, word_codes
 
 # Fixed values.
 SEED_INSULTS = "idiot moron stupid pathetic worthless scum loser trash clown disgusting dumb fool imbecile jerk bastard idiota imbécile connard abruti estúpido imbécil dummkopf trottel arschloch".split()
 SECOND_PERSON = "you your yours yourself u du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tus".split()
 BEGINNINGS = (4, 6)
+LOOK_ALIKES = str.maketrans("013457@$!|", "oieastasil")
 FEATURES = ("strong", "weak", "strong_log", "near_person", "hidden_hits", "capitals", "shouted", "exclaims", "questions", "punctuation", "obfuscated", "words_log")
+COUNTS = ("words", "strong", "weak", "near", "hidden", "masked", "shouted", "capitals", "letters", "exclaims", "questions", "marks")
 
 
 @dataclass(frozen=True)
@@ -44,57 +53,112 @@ class ToxicityModel:
     rate: float
 
 
-def plain(word: Column) -> Column:
-    """Lower-case letters of a word's form without marks at its ends."""
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+def lowered(words: pa.Array) -> pa.Array:
+    """Lower-case forms; those of words beyond ASCII by Python's full mapping, as Spark's ``lower`` has it."""
+    beyond = pc.invert(pc.string_is_ascii(words))
+    return pc.replace_with_mask(pc.ascii_lower(words), beyond, pa.array([w.lower() for w in words.filter(beyond).to_pylist()], words.type))
 
 
-def unmasked(word: Column) -> Column:
-    """A word with look-alike digits and signs read as letters, and marks inside dropped."""
-    return F.regexp_replace(F.translate(F.lower(word), "013457@$!|", "oieastasil"), r"[^\p{L}]+", "")
+def plain(words: pa.Array) -> pa.Array:
+    """Lower-case letters of words' forms without marks at their ends."""
+    return pc.replace_substring_regex(lowered(words), r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """Adds ``_text``, ``_raw`` words and their ``_plain`` forms."""
-    df = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_raw", words_of(F.col("_text")))
-    return df.withColumn("_plain", F.transform("_raw", plain))
+def unmasked(words: pa.Array) -> pa.Array:
+    """Words with look-alike digits and signs read as letters, and marks inside dropped."""
+    read = pa.array([w.translate(LOOK_ALIKES) for w in lowered(words).to_pylist()], words.type)
+    return pc.replace_substring_regex(read, r"\P{L}+", "")
 
 
-def known(word: Column, lexicon: list[str]) -> Column:
-    """Whether the word or one of its beginnings is in the lexicon; a hash lookup."""
-    held = lexicon or ["\x00"]
-    out = F.concat(F.lit("="), word).isin(held)
+def known(words: pa.Array, lexicon: list[str]) -> pa.Array:
+    """Whether each word or one of its beginnings is in the lexicon; a hash lookup."""
+    held = pa.array(lexicon, words.type)
+    out = pc.is_in(pc.binary_join_element_wise("=", words, ""), value_set=held)
     for n in BEGINNINGS:
-        out = out | F.substring(word, 1, n).isin(held)
+        out = pc.or_(out, pc.is_in(pc.utf8_slice_codeunits(words, 0, n), value_set=held))
     return out
 
 
+def word_facts(words: pa.Array, strong: list[str], weak: list[str]) -> dict[str, np.ndarray]:
+    """What is asked of a word, for distinct words: flags, and numbers of characters of a kind."""
+    forms = plain(words)
+    masked = pc.and_not(pc.match_substring_regex(words, r"\p{L}[^\p{L}\x27’-]+\p{L}"), pc.match_substring_regex(words, r"[@/]|\p{L}{3,}[.,;:]\p{L}"))
+    hidden = np.zeros(len(words), bool)
+    hidden[masked.to_numpy(zero_copy_only=False)] = known(unmasked(words.filter(masked)), strong).to_numpy(zero_copy_only=False)
+    facts = {
+        "strong": known(forms, strong),
+        "weak": known(forms, weak),
+        "person": pc.is_in(forms, value_set=pa.array(SECOND_PERSON, words.type)),
+        "masked": masked,
+        "shouted": pc.match_substring_regex(words, r"^\p{Lu}{3,}\P{L}*$"),
+        "capitals": pc.count_substring_regex(words, r"\p{Lu}"),
+        "letters": pc.utf8_length(pc.replace_substring_regex(words, r"\P{L}+", "")),
+        "exclaims": pc.count_substring(words, "!"),
+        "questions": pc.count_substring(words, "?"),
+        "marks": pc.count_substring_regex(words, r"[#*$%&|<>.,;:\-_~^]"),
+    }
+    return {"hidden": hidden} | {k: v.to_numpy(zero_copy_only=False) for k, v in facts.items()}
+
+
+def text_counts(texts: pa.Array, strong: list[str], weak: list[str]) -> pa.Array:
+    """``COUNTS`` of every text. Each distinct word is looked at once; a text adds up what its words have."""
+    codes, words, n = word_codes(texts)
+    ends = np.concatenate([[0], np.cumsum(n)])
+
+    def before(of_words: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(of_words, dtype=np.int64)])
+
+    facts = {k: v[codes] for k, v in word_facts(words, strong, weak).items()}
+    hits, persons = np.flatnonzero(facts["strong"]), before(facts.pop("person"))
+    row = np.searchsorted(ends, hits, side="right") - 1
+    first = np.maximum(hits - 3, ends[row])
+    facts["near"] = np.zeros(len(codes), bool)
+    facts["near"][hits] = persons[np.minimum(first + 7, ends[row + 1])] > persons[first]
+    sums = {"words": n} | {k: np.diff(before(v)[ends]) for k, v in facts.items()}
+    return pa.StructArray.from_arrays([pa.array(sums[k], pa.int64()) for k in COUNTS], names=list(COUNTS))
+
+
+def over_slices(texts: pa.Array, body: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``body`` of texts, some 6 MB of them at a time."""
+    parts = [body(b.column("text")) for b in slices(iter([pa.record_batch([texts], names=["text"])]))]
+    return pa.concat_arrays(parts) if parts else body(texts)
+
+
+def valid_text() -> Column:
+    """``text`` as Arrow can read it: null is empty, bytes that are no UTF-8 are replaced."""
+    return F.make_valid_utf8(F.coalesce("text", F.lit("")))
+
+
+def plain_words(texts: pa.Array) -> pa.Array:
+    """The plain forms of every text's words."""
+    codes, words, n = word_codes(texts)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), plain(words).take(pa.array(codes)))
+
+
 def with_features(docs: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
-    df = prepared(docs)
-    p, raw, text = F.col("_plain"), F.col("_raw"), F.col("_text")
-    at = F.filter(F.transform(p, lambda w, i: F.when(known(w, strong), i)), lambda i: i.isNotNull())
-    masked = F.filter(raw, lambda w: w.rlike(r"\p{L}[^\p{L}\x27’-]+\p{L}") & ~w.rlike(r"[@/]|\p{L}{3,}[.,;:]\p{L}"))
-    df = df.withColumn("_at", at).withColumn("_masked", masked)
-    n, chars = F.greatest(F.size("_plain"), F.lit(1)).cast("double"), F.greatest(F.length("_text"), F.lit(1)).cast("double")
-    letters = F.greatest(F.length(F.regexp_replace(text, r"\P{L}+", "")), F.lit(1)).cast("double")
-    lost = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
-    near = F.filter("_at", lambda i: F.exists(F.slice(p, F.greatest(i - 2, F.lit(1)), F.lit(7)), lambda w: w.isin(SECOND_PERSON)))
+    def run(texts: pa.Array) -> pa.Array:
+        return over_slices(texts, lambda t: text_counts(t, strong, weak))
+
+    df = docs.withColumn("_text", valid_text())
+    df = df.withColumn("_counts", F.arrow_udf(run, ", ".join(f"{k}: long" for k in COUNTS).join(("struct<", ">")))("_text"))
+    found = lambda k: F.col(f"_counts.{k}").cast("double")
+    n, chars, letters = (F.greatest(x, F.lit(1)).cast("double") for x in (F.col("_counts.words"), F.length("_text"), F.col("_counts.letters")))
     return df.withColumns(
         {
-            "strong": F.size("_at") / n,
-            "weak": F.size(F.filter(p, lambda w: known(w, weak))) / n,
-            "strong_log": F.log1p(F.size("_at").cast("double")),
-            "near_person": F.size(near) / n,
-            "hidden_hits": F.size(F.filter("_masked", lambda w: known(unmasked(w), strong))) / n,
-            "capitals": F.length(F.regexp_replace(text, r"\P{Lu}+", "")) / letters,
-            "shouted": F.size(F.filter(raw, lambda w: w.rlike(r"^\p{Lu}{3,}\P{L}*$"))) / n,
-            "exclaims": lost("!") / chars,
-            "questions": lost("?") / chars,
-            "punctuation": lost("#*$%&|<>.,;:-_~^") / chars,
-            "obfuscated": F.size("_masked") / n,
-            "words_log": F.log1p(F.size("_plain").cast("double")),
+            "strong": found("strong") / n,
+            "weak": found("weak") / n,
+            "strong_log": F.log1p(found("strong")),
+            "near_person": found("near") / n,
+            "hidden_hits": found("hidden") / n,
+            "capitals": found("capitals") / letters,
+            "shouted": found("shouted") / n,
+            "exclaims": found("exclaims") / chars,
+            "questions": found("questions") / chars,
+            "punctuation": found("marks") / chars,
+            "obfuscated": found("masked") / n,
+            "words_log": F.log1p(found("words")),
         }
-    ).drop("_text", "_raw", "_plain", "_at", "_masked")
+    ).drop("_text", "_counts")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
@@ -108,7 +172,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
 
 def learn_lexicon(sample: DataFrame, support: int = 8, ratio: float = 8.0, size: int = 400) -> tuple[list[str], list[str]]:
     """Strong and weak entries by how many distinct words they follow in toxic and in other texts."""
-    df = prepared(sample).select("toxic", "_plain")
+    def run(texts: pa.Array) -> pa.Array:
+        return over_slices(texts, plain_words)
+
+    df = sample.select("toxic", F.arrow_udf(run, "array<string>")(valid_text()).alias("_plain"))
     p = F.col("_plain")
     pairs = F.transform(p, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(p, i - 1), F.lit("")).alias("before")))
     rows = df.select("toxic", F.explode(pairs).alias("x")).where("length(x.w) >= 4").select("toxic", "x.w", "x.before").distinct()

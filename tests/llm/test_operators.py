@@ -390,6 +390,71 @@ def test_toxicity_learns_invented_insults(spark, odd, none):
     assert toxicity.fit(d, lab.limit(0)).rate == 0.0
 
 
+def toxicity_brute(t, strong, weak):
+    """The features of one text, word by word."""
+    t = t or ""
+    kind = lambda c: "U" if unicodedata.category(c) == "Lu" else "L" if c.isalpha() else c
+    held = lambda w, lexicon: bool({f"={w}", w[:4], w[:6]} & set(lexicon))
+
+    def plain(w):
+        at = [i for i, c in enumerate(w.lower()) if c.isalpha() or c in "0123456789"]
+        return w.lower()[at[0] : at[-1] + 1] if at else ""
+
+    def is_masked(w):
+        k = "".join(kind(c) for c in w).replace("U", "L")
+        return bool(re.search("L[^L'’-]+L", k)) and not re.search("[@/]|L{3,}[.,;:]L", k)
+
+    raw = re.findall(SPACE, t)
+    forms, kinds, masked = [plain(w) for w in raw], [kind(c) for c in t], [w for w in raw if is_masked(w)]
+    at = [i for i, w in enumerate(forms) if held(w, strong)]
+    n, chars, letters = max(1, len(raw)), max(1, len(t)), max(1, sum(k in "UL" for k in kinds))
+    return {
+        "strong": len(at) / n,
+        "weak": sum(held(w, weak) for w in forms) / n,
+        "strong_log": math.log1p(len(at)),
+        "near_person": sum(any(w in toxicity.SECOND_PERSON for w in forms[max(i - 3, 0) : max(i - 3, 0) + 7]) for i in at) / n,
+        "hidden_hits": sum(held("".join(c for c in w.lower().translate(str.maketrans("013457@$!|", "oieastasil")) if c.isalpha()), strong) for w in masked) / n,
+        "capitals": kinds.count("U") / letters,
+        "shouted": sum(bool(re.fullmatch("U{3,}[^UL]*", "".join(kind(c) for c in w))) for w in raw) / n,
+        "exclaims": t.count("!") / chars,
+        "questions": t.count("?") / chars,
+        "punctuation": sum(c in "#*$%&|<>.,;:-_~^" for c in t) / chars,
+        "obfuscated": len(masked) / n,
+        "words_log": math.log1p(len(raw)),
+    }
+
+
+def test_toxicity_features_against_plain_python(spark, odd):
+    r = random.Random(8)
+    told = ["you", "YOU!", "tú", "idiot", "IDIOT", "Idiots,", "1d1ot", "id.iot", "i*d*i*o*t", "m0r0n", "mo-r0n", "d'accord", "TRASH!!!", "ÄÖÜ.", "gr@bnik", "x@y.z", "here.then", "...", "=", "\x85end\x85"]
+    parts = list("aAbBéÉßİΣς0134579@$!|.,;:-_~^#*%&<>?/'’") + ["\u2028", "\xa0", "\U0001f600", "中", "ǅ", "\u0301"]
+    rows = []
+    for i in range(400):
+        ws = [r.choice(told) if r.random() < 0.4 else "".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(25))]
+        rows.append((100 + i, "".join(w + r.choice([" ", "  ", "\n", "\t", "\x0b", " \x1c "]) for w in ws)))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    strong, weak = ["=idiot", "=moron", "grab", "fooled"], ["=trash", "tras", "=you"]
+    seen = Counter()
+    for x in toxicity.with_features(docs, strong, weak).collect():
+        want = toxicity_brute(x.text, strong, weak)
+        assert {k: x[k] for k in toxicity.FEATURES} == pytest.approx(want, abs=1e-12), x.text[:200]
+        seen.update(k for k, v in want.items() if v)
+    assert set(seen) == set(toxicity.FEATURES)
+    broken = spark.sql("select cast(x'61ff6220696469c3' as string) text")
+    assert toxicity.with_features(broken, strong, weak).collect()[0].words_log == math.log1p(2)
+
+
+def test_toxicity_looks_at_distinct_words_only(spark, monkeypatch):
+    plan = toxicity.with_features(spark.createDataFrame([("a b",)], "text string"), ["=a"], [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.lower() and plan.count("run(") == 1
+    asked, facts = [], toxicity.word_facts
+    monkeypatch.setattr(toxicity, "word_facts", lambda words, *lexica: asked.append(len(words)) or facts(words, *lexica))
+    got = toxicity.text_counts(pa.array(["you idiot " * 500, None, "idiot"] * 300), ["=idiot"], []).to_pylist()
+    assert asked == [2]
+    assert [(x["words"], x["strong"], x["near"]) for x in got] == [(1000, 500, 500), (0, 0, 0), (1, 1, 0)] * 300
+    assert not toxicity.text_counts(pa.array([], pa.string()), [], []).to_pylist()
+
+
 def rules_brute(t):
     t = t or ""
     w = re.findall(SPACE, t)
