@@ -150,6 +150,16 @@ def test_amounts_are_rewritten_as_written(spark):
     assert {t: got[i] for i, t in enumerate(cases)} == {t: want for t, (_, want) in cases.items()}
 
 
+def test_noughts_marked_as_negative_keep_their_marks(spark):
+    df = spark.createDataFrame([(0, "owed (£0.00)"), (1, "-$0.00 and $0.00"), (2, "(£0.00)")], "doc_id long, text string")
+    found = amounts.amounts(df, {"USD": 2, "GBP": 2})
+    assert sorted((r.written, r.negative) for r in found.where("doc_id = 1").collect()) == [("$0.00", False), ("-$0.00", True)]
+    to = F.when(F.col("doc_id") == 2, 5).when(F.col("negative"), -1000).otherwise(7).cast("decimal(38,9)")
+    changes = found.select("doc_id", "currency", "negative", F.col("amount").alias("old"), to.alias("new"))
+    got = {r.doc_id: r.text for r in text.rewrite_values(df, amounts.amount_swaps(found, changes)).collect()}
+    assert got == {0: "owed (£1000.00)", 1: "-$1000.00 and $7.00", 2: "£5.00"}
+
+
 def test_swaps_do_not_feed_each_other(spark):
     df = spark.createDataFrame([(0, "$10 then $5, $10"), (1, None)], "doc_id long, text string")
     found = amounts.amounts(df, {"USD": 2})
