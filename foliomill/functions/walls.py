@@ -152,3 +152,14 @@ def rooms(spans: Boxes, level: np.ndarray, art: Boxes, touch: float) -> np.ndarr
     np.maximum.at(margin, of, spans.x1)
     wall = np.minimum(np.minimum(text_walls(spans, level, touch), art_walls(spans, level, art, touch)), margin[of])
     return np.where(level, np.maximum(wall - spans.x1, 0.0), 0.0)
+
+
+def near_text(spans: Boxes, level: np.ndarray, art: Boxes, touch: float, lines: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece of art whether its height overlaps some level span's of its page, and whether it is taller than ``lines`` of the page's tallest level spans."""
+    r = Rows(spans.take(np.flatnonzero(level)))
+    near, tallest = np.zeros(len(art.x0), bool), np.full(len(art.x0), -np.inf)
+    begin = np.searchsorted(r.page, art.page)
+    for t, row in expanded(begin, np.searchsorted(r.page, art.page, "right") - begin):
+        np.maximum.at(tallest, t, r.y1[row] - r.y0[row])
+        near[t[np.minimum(art.y1[t], r.y1[row]) - np.maximum(art.y0[t], r.y0[row]) > touch]] = True
+    return near, art.y1 - art.y0 > lines * tallest

@@ -5,14 +5,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.operators import layout, typography
 from foliomill.operators import spans as spans_op
-from foliomill.operators import typography
 from foliomill.plans import registry
 from foliomill.sources import derive, typeset
 
 
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted(rows_of(df))
 
 
 def test_spans_of_whole_texts_equal_those_of_pieces(spark):
@@ -47,8 +51,32 @@ def test_widths_told_text_by_text_equal_a_join(spark, monkeypatch):
     assert near == [sorted(map(repr, ask().collect())) for ask in asked] and min(map(len, near)) > 5
 
 
-@pytest.mark.parametrize("name", ["room", "line_widths", "missing_letters", "width_changes"])
+@pytest.mark.parametrize("name", ["room", "line_widths", "missing_letters", "width_changes", "art_near_text"])
 def test_told_without_a_shuffle(spark, monkeypatch, name):
     monkeypatch.setattr(typeset, "FEW_BYTES", 0)
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" not in plan
+
+
+def test_rooms_and_art_of_whole_texts_equal_those_of_tables(spark):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, "".join(r.choice(["a", "bb", "sevensix", " ", " ", "\n", "elevenlette", "fourteenletter"]) for _ in range(r.randrange(500)))) for i in range(12)] + [(99, None)], "doc_id long, text string")
+    spans, art = spans_op.build_spans(derive.pieces(docs)), derive.art(docs)
+    assert rows(typeset.rooms(docs)) == rows(layout.room(spans, art))
+    near = layout.art_near_text(art, spans).select("doc_id", F.col("page").cast("long").alias("page"), "bbox.x0", "bbox.y0", "tall")
+    assert rows(typeset.art_near_text(docs)) == rows(near) and near.count() > 12
+
+
+def test_art_near_text_equals_a_full_scan(spark):
+    r = random.Random(4)
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    spans = [(d, p, k, (0.0, (y := float(r.randrange(300))), 9.0, y + r.choice([9.0, 12.0])), r.random() < 0.3) for d in range(3) for p in range(2) for k in range(5)]
+    art = [(d, p, (1.0, (y := float(r.randrange(300))), 2.0, y + r.choice([1.0, 5.0, 60.0]))) for d in range(4) for p in range(2) for _ in range(20)]
+    art += art[:5]
+    want = []
+    for d, p, a in art:
+        level = [s[3] for s in spans if s[:2] == (d, p) and not s[4]]
+        if any(min(a[3], s[3]) - max(a[1], s[1]) > 0.1 for s in level):
+            want.append((d, p, a[1], a[3] - a[1] > 4 * max(s[3] - s[1] for s in level)))
+    got = layout.art_near_text(spark.createDataFrame(art, f"doc_id long, page int, bbox {box}"), spark.createDataFrame(spans, f"doc_id long, page int, ordinal long, bbox {box}, turned boolean"))
+    assert rows(got.select("doc_id", "page", "bbox.y0", "tall")) == sorted(want)
