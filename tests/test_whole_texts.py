@@ -80,3 +80,17 @@ def test_art_near_text_equals_a_full_scan(spark):
             want.append((d, p, a[1], a[3] - a[1] > 4 * max(s[3] - s[1] for s in level)))
     got = layout.art_near_text(spark.createDataFrame(art, f"doc_id long, page int, bbox {box}"), spark.createDataFrame(spans, f"doc_id long, page int, ordinal long, bbox {box}, turned boolean"))
     assert rows(got.select("doc_id", "page", "bbox.y0", "tall")) == sorted(want)
+
+
+def test_values_of_fields_meet_only_spans_in_them(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    fields = spark.createDataFrame([(1, 0, (10.0, 10.0, 50.0, 40.0), "one  two"), (1, 0, (100.0, 10.0, 150.0, 40.0), "three")], f"doc_id long, page int, bbox {box}, value string")
+    texts = [("two", 20.0), ("one two", 20.0), ("three", 20.0), ("three", 120.0), ("one", 300.0), ("e\tt", 30.0)]
+    spans = spark.createDataFrame([(1, 0, i, (x, 12.0, x + 4, 24.0), t) for i, (t, x) in enumerate(texts)], f"doc_id long, page int, ordinal long, bbox {box}, text string")
+    got = layout.spans_in_fields(spans, fields)
+    assert rows(got) == [(1, 0), (1, 1), (1, 3), (1, 5)]
+    # the value is not among what the boxes are joined with
+    plan = registry.QUERIES["spans_in_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "x0" in joined and all("value" not in line for line in joined.splitlines() if "explode(" in line)
