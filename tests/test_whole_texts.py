@@ -51,7 +51,7 @@ def test_widths_told_text_by_text_equal_a_join(spark, monkeypatch):
     assert near == [sorted(map(repr, ask().collect())) for ask in asked] and min(map(len, near)) > 5
 
 
-@pytest.mark.parametrize("name", ["room", "line_widths", "missing_letters", "width_changes", "art_near_text"])
+@pytest.mark.parametrize("name", ["room", "line_widths", "missing_letters", "width_changes", "replaced_texts", "art_near_text"])
 def test_told_without_a_shuffle(spark, monkeypatch, name):
     monkeypatch.setattr(typeset, "FEW_BYTES", 0)
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
