@@ -1,6 +1,7 @@
 """Texts worked on whole, where they are read: against what a row a piece or a letter gives."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,9 @@ def test_values_of_fields_meet_only_spans_in_them(spark):
     assert "collect_list" not in plan
     joined = got._jdf.queryExecution().optimizedPlan().toString()
     assert "x0" in joined and all("value" not in line for line in joined.splitlines() if "explode(" in line)
+
+
+def test_counted_places_do_not_carry_their_texts(spark):
+    plan = registry.QUERIES["find_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftAnti" in line)
+    assert "AS _n#" in plan[at + 1] and not re.search(r"[\[ ](text|matches)#\d+[,\]]", plan[at + 1])
