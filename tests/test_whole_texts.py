@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.operators import layout, typography
+from foliomill.operators import edits, layout, typography
 from foliomill.operators import spans as spans_op
 from foliomill.plans import registry
 from foliomill.sources import derive, typeset
@@ -106,3 +106,26 @@ def test_counted_places_do_not_carry_their_texts(spark):
 def test_fits_join_once(spark):
     plan = registry.QUERIES["fits"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_page_operations_equal_a_fold_a_document(spark):
+    r = random.Random(5)
+    docs = [(i, r.randrange(1, 6)) for i in range(40)]
+    ops = [(r.randrange(45), k, r.choice(["rotate", "delete_page", "move_page", "replace"]), r.choice([None, 0, 1, 2, 3, 7]), 90, r.choice([None, 0, 1, 2])) for k in range(400)]
+    got = edits.fold_page_ops(spark.createDataFrame(ops, "doc_id long, position int, kind string, page int, degrees int, before int"), spark.createDataFrame(docs, "doc_id long, pages int"))
+    want = []
+    for d, n in docs:
+        order, turns = list(range(n)), [0] * n
+        for _, _, kind, page, degrees, before in (o for o in ops if o[0] == d and o[3] in order):
+            if page not in order:
+                continue
+            if kind == "rotate":
+                turns[page] = (turns[page] + degrees) % 360
+            elif kind == "delete_page" and len(order) > 1:
+                order.remove(page)
+            elif kind == "move_page" and before != page and (before is None or before in order):
+                order.remove(page)
+                order.insert(len(order) if before is None else order.index(before), page)
+        want += [(d, p, turns[p], order.index(p) if p in order else None) for p in range(n)]
+    assert sorted(map(str, rows_of(got))) == sorted(map(str, want))
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
